@@ -19,6 +19,16 @@ def _cents(value: Column) -> Column:
     return F.round(value, 2)
 
 
+def _with_columns_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator instead of a projection.
+
+    Catalyst repeats a projected expression in every filter above it. The sample's date arithmetic
+    and rounding are costly, so a generator makes them columns of their own, computed once per row.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def _zone_id(nation: str, unknown: int) -> Column:
     return F.when(F.col(nation) == 24, unknown).otherwise(F.col(nation) * 11 + 1).cast("long")
 
@@ -30,13 +40,14 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            "o_orderkey", "o_orderdate", _zone_id("c_nationkey", pickup_unknown).alias("PULocationID")
+            "o_orderkey",
+            F.expr("o_orderdate + INTERVAL '20' YEAR").alias("order_day"),
+            _zone_id("c_nationkey", pickup_unknown).alias("PULocationID"),
         )
     )
     suppliers = table(spark, sf_dir, "supplier").select(
         "s_suppkey", _zone_id("s_nationkey", dropoff_unknown).alias("DOLocationID")
     )
-    fare = _cents(2.5 + F.col("l_quantity") / 5 * (2 + 20 * F.col("l_discount")))
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_suppkey",
@@ -46,9 +57,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
             - 300
         ).alias("ride_seconds"),
         (F.col("l_quantity") / 5).alias("trip_distance"),
-        fare.alias("fare_amount"),
+        "l_discount",
+        "l_tax",
         (0.5 + F.col("l_linenumber") % 4).alias("extra"),
-        _cents(fare * F.col("l_tax") * 6).alias("tip_amount"),
         (1 + F.col("l_linenumber") % 3).cast("long").alias("VendorID"),
         F.when(F.col("l_linestatus") == "O", "yellow").otherwise("green").alias("color"),
         (1 + F.col("l_linenumber") % 6).cast("long").alias("passenger_count"),
@@ -58,32 +69,44 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         .cast("long")
         .alias("payment_type"),
     )
-    pickup = F.timestamp_add("SECOND", F.col("day_second"), F.expr("o_orderdate + INTERVAL '20' YEAR"))
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            "VendorID",
-            pickup.alias("pickup_datetime"),
-            F.timestamp_add("SECOND", F.col("ride_seconds"), pickup).alias("dropoff_datetime"),
-            "passenger_count",
-            "trip_distance",
-            "PULocationID",
-            "DOLocationID",
-            "fare_amount",
-            "extra",
-            "tip_amount",
-            (F.col("fare_amount") + F.col("extra") + F.col("tip_amount")).alias("total_amount"),
-            "payment_type",
-            "color",
-        )
+    lines = _with_columns_once(
+        lines,
+        fare_amount=_cents(2.5 + F.col("trip_distance") * (2 + 20 * F.col("l_discount"))),
+    )
+    lines = _with_columns_once(
+        lines, tip_amount=_cents(F.col("fare_amount") * F.col("l_tax") * 6)
+    )
+    rides = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        suppliers, F.col("l_suppkey") == F.col("s_suppkey")
+    )
+    rides = _with_columns_once(
+        rides,
+        pickup_datetime=F.timestamp_add("SECOND", F.col("day_second"), F.col("order_day")),
+        dropoff_datetime=F.timestamp_add(
+            "SECOND", F.col("day_second") + F.col("ride_seconds"), F.col("order_day")
+        ),
+    )
+    return rides.select(
+        "VendorID",
+        "pickup_datetime",
+        "dropoff_datetime",
+        "passenger_count",
+        "trip_distance",
+        "PULocationID",
+        "DOLocationID",
+        "fare_amount",
+        "extra",
+        "tip_amount",
+        (F.col("fare_amount") + F.col("extra") + F.col("tip_amount")).alias("total_amount"),
+        "payment_type",
+        "color",
     )
 
 
-def raw_trips(spark: SparkSession, sf_dir: str, color: str) -> DataFrame:
+def raw_trips(rides: DataFrame, color: str) -> DataFrame:
     """One color's trips in the raw layout of its files, tagged with the file's year and month."""
     prefix = {"green": "lpep", "yellow": "tpep"}[color]
-    rides = trips(spark, sf_dir).filter(F.col("color") == color)
+    rides = rides.filter(F.col("color") == color)
     raw = rides.select(
         "VendorID",
         F.col("pickup_datetime").alias(f"{prefix}_pickup_datetime"),
@@ -115,7 +138,8 @@ def raw_trips(spark: SparkSession, sf_dir: str, color: str) -> DataFrame:
 
 
 def raw_colors(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [raw_trips(spark, sf_dir, color) for color in ("yellow", "green")]
+    rides = trips(spark, sf_dir)
+    return [raw_trips(rides, color) for color in ("yellow", "green")]
 
 
 def _square(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
