@@ -100,7 +100,11 @@ def add_weather(
     days = (
         weather.filter(F.year("date").between(first, last))
         .groupBy("date")
-        .agg(*[F.first(name).alias(name) for name in ("tavg", "has_snow", "has_rain")])
+        .agg(
+            F.avg("tavg").alias("tavg"),
+            F.max("has_snow").alias("has_snow"),
+            F.max("has_rain").alias("has_rain"),
+        )
     )
     dated = features.withColumn("date", F.to_date("pickup_datetime"))
     return dated.join(F.broadcast(days), "date")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ FILE_NAME = r"(yellow|green)_tripdata_(\d{4})-(\d{2})\.parquet"
 
 TAG_COLUMNS = ("color", "file_year", "file_month")
 
+FOOTER_READERS = 16
+
 
 def normalise(df: DataFrame, extra: Sequence[str] = TAG_COLUMNS) -> DataFrame:
     """One spelling of the timestamps and one type per column; absent columns stay absent.
@@ -76,9 +79,16 @@ def list_trip_files(
 
 
 def _same_schema_groups(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
+    """Group files by the schema in their footer; footers are read side by side."""
+
+    def footer_schema(path: str) -> str:
+        return spark.read.parquet(path).schema.json()
+
+    with ThreadPoolExecutor(FOOTER_READERS) as pool:
+        schemas = list(pool.map(footer_schema, paths))
     groups: dict[str, list[str]] = defaultdict(list)
-    for path in paths:
-        groups[spark.read.parquet(path).schema.json()].append(path)
+    for path, schema in zip(paths, schemas):
+        groups[schema].append(path)
     return list(groups.values())
 
 
@@ -96,8 +106,8 @@ def tag_from_file_name(df: DataFrame) -> DataFrame:
 def read_trip_files(spark: SparkSession, root: str, **wanted) -> DataFrame:
     """All wanted monthly files as one table with ``color``, ``file_year`` and ``file_month``.
 
-    Files are grouped by footer schema and each group is one scan, so the job count depends on the
-    number of distinct schemas, not on the number of files.
+    Files are grouped by footer schema and each group is one scan, so the plan grows with the number
+    of distinct schemas, not with the number of files.
     """
     paths = list_trip_files(spark, root, **wanted)
     if not paths:
