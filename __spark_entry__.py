@@ -159,22 +159,58 @@ def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dates_as_text(daily), "tavg")
 
 
-def _speed_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rides = models.place_features(_speed_rides(spark, sf_dir), _zone_dim(spark, sf_dir))
-    return models.fit_speed_model(rides).report()
+def _place_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.place_features(_speed_rides(spark, sf_dir), _zone_dim(spark, sf_dir))
 
 
-def _speed_gbt_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _speed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = _place_rides(spark, sf_dir).select(*models.PLACE_FEATURES, "speed")
+    return rounded(rides, "speed")
+
+
+def _flow_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = _speed_rides(spark, sf_dir)
     rides = models.place_features(trips, _zone_dim(spark, sf_dir))
-    rides = models.add_flow(rides, speed.zone_pair_hour_count(trips))
-    return models.fit_speed_model(rides, models.FLOW_FEATURES).report()
+    return models.add_flow(rides, speed.zone_pair_hour_count(trips))
+
+
+def _speed_features_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = _flow_rides(spark, sf_dir).select(*models.FLOW_FEATURES, "speed")
+    return rounded(rides, "speed")
+
+
+def _weather_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = weather.daily_weather(sample_tables.weather(spark, sf_dir))
+    return models.add_weather(_place_rides(spark, sf_dir), daily)
+
+
+def _speed_features_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = _weather_rides(spark, sf_dir).select(*models.WEATHER_FEATURES, "speed")
+    return rounded(rides, "speed", "tavg")
+
+
+def _tip_regression_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = models.tip_regression_rides(sample_tables.trips(spark, sf_dir))
+    table = models.tip_features(rides, models.RATIO_LABEL, models.TIP_REGRESSION_FEATURES)
+    return rounded(table, "tip_ratio", "duration", "other_amount")
+
+
+def _tip_class_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = models.tip_class_rides(sample_tables.trips(spark, sf_dir))
+    table = models.tip_features(rides, models.BUCKET_LABEL, models.TIP_CLASS_FEATURES, True)
+    return rounded(table, "duration", "other_amount")
+
+
+def _speed_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fit_speed_model(_place_rides(spark, sf_dir)).report()
+
+
+def _speed_gbt_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fit_speed_model(_flow_rides(spark, sf_dir), models.FLOW_FEATURES).report()
 
 
 def _speed_gbt_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rides = models.place_features(_speed_rides(spark, sf_dir), _zone_dim(spark, sf_dir))
-    rides = models.add_weather(rides, weather.daily_weather(sample_tables.weather(spark, sf_dir)))
-    return models.fit_speed_model(rides, models.WEATHER_FEATURES).report()
+    return models.fit_speed_model(_weather_rides(spark, sf_dir), models.WEATHER_FEATURES).report()
 
 
 def _tip_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,6 +432,11 @@ def queries() -> dict[str, Query]:
         "facility_map": _facility_map,
         "parking_counterexamples": _parking_counterexamples,
         # models
+        "speed_features": _speed_features,
+        "speed_features_flow": _speed_features_flow,
+        "speed_features_weather": _speed_features_weather,
+        "tip_regression_features": _tip_regression_features,
+        "tip_class_features": _tip_class_features,
         "speed_gbt": _speed_gbt,
         "speed_gbt_flow": _speed_gbt_flow,
         "speed_gbt_weather": _speed_gbt_weather,

@@ -334,6 +334,47 @@ ETL_SPEED = """
          round(speed, 6) AS speed, weekday, round(tip_percentage, 6) AS tip_percentage, hour
   FROM rides"""
 
+PLACED = (
+    SPEED
+    + ","
+    + ZONES
+    + """,
+placed AS (
+  SELECT weekday, hour, PULocationID, DOLocationID, speed, pickup_datetime,
+         p.x0 + 0.5::DOUBLE AS pickup_longitude, p.y0 + 0.5::DOUBLE AS pickup_latitude,
+         d.x0 + 0.5::DOUBLE AS dropoff_longitude, d.y0 + 0.5::DOUBLE AS dropoff_latitude
+  FROM rides
+  JOIN zones p ON PULocationID = p.LocationID
+  JOIN zones d ON DOLocationID = d.LocationID
+)"""
+)
+PLACE = """weekday, hour, pickup_longitude, pickup_latitude, dropoff_longitude, dropoff_latitude,
+         round(speed, 6) AS speed"""
+WEATHER = """
+weather AS (
+  SELECT day, round((30 + n % 60 - 32) / 1.8::DOUBLE, 6) AS tavg,
+         CAST(n % 11 = 0 OR n % 17 = 0 AS INTEGER) AS has_snow,
+         CAST(n % 7 <> 0 AND n % 5 = 0 AS INTEGER) AS has_rain
+  FROM (SELECT day, dayofyear(day) AS n
+        FROM (SELECT DISTINCT CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL '20' YEAR AS DATE) AS day
+              FROM orders))
+)"""
+
+
+def _tip_rides(where: str, columns: str) -> str:
+    return f"""WITH {TRIPS}
+  SELECT {columns}, PULocationID, DOLocationID, trip_distance, fare_amount,
+         CAST(dayofweek(pickup_datetime) + 1 AS INTEGER) AS day,
+         CAST(hour(pickup_datetime) AS INTEGER) AS hour,
+         round(CAST(duration AS DOUBLE) / 60, 6) AS duration
+  FROM trips
+  WHERE payment_type = 1 AND VendorID < 3 AND year(pickup_datetime) BETWEEN 2017 AND 2021
+    AND duration / 60.0 <= 180 AND total_amount <= 120 AND trip_distance <= 20
+    AND total_amount - tip_amount - fare_amount <= 20
+    AND fare_amount BETWEEN 2.5::DOUBLE + 2 * trip_distance AND 2.5::DOUBLE + 3.5::DOUBLE * trip_distance
+    AND {where}"""
+
+
 SPEED_ZONE_PAIRS = "hour, weekday, PULocationID, DOLocationID"
 
 
@@ -363,13 +404,28 @@ def all_queries() -> dict[str, str]:
         "zone_dim": f"""WITH {ZONES}
   SELECT LocationID, zone, borough, x0 + 0.5::DOUBLE AS longitude, y0 + 0.5::DOUBLE AS latitude
   FROM zones""",
-        "weather_daily": """
-  SELECT strftime(day, '%Y-%m-%d') AS date, round((30 + n % 60 - 32) / 1.8::DOUBLE, 6) AS tavg,
-         CAST(n % 11 = 0 OR n % 17 = 0 AS INTEGER) AS has_snow,
-         CAST(n % 7 <> 0 AND n % 5 = 0 AS INTEGER) AS has_rain
-  FROM (SELECT day, dayofyear(day) AS n
-        FROM (SELECT DISTINCT CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL '20' YEAR AS DATE) AS day
-              FROM orders))""",
+        "weather_daily": f"""WITH {WEATHER}
+  SELECT strftime(day, '%Y-%m-%d') AS date, tavg, has_snow, has_rain FROM weather""",
+        "speed_features": f"WITH {PLACED} SELECT {PLACE} FROM placed",
+        "speed_features_flow": f"""WITH {PLACED}
+  SELECT {PLACE}, count(*) OVER (PARTITION BY {SPEED_ZONE_PAIRS}) AS count FROM placed""",
+        "speed_features_weather": f"""WITH {PLACED}, {WEATHER}
+  SELECT {PLACE}, tavg, has_snow, has_rain
+  FROM placed JOIN weather ON CAST(pickup_datetime AS DATE) = day""",
+        "tip_regression_features": _tip_rides(
+            "trip_distance > 0 AND fare_amount >= 2.5"
+            " AND tip_amount / (total_amount - tip_amount) < 0.5::DOUBLE",
+            """round(tip_amount / (total_amount - tip_amount) * 100, 6) AS tip_ratio,
+         CAST(month(pickup_datetime) AS INTEGER) AS month,
+         round((total_amount - fare_amount - tip_amount) / (total_amount - tip_amount), 6)
+           AS other_amount""",
+        ),
+        "tip_class_features": _tip_rides(
+            "tip_amount / (total_amount - tip_amount) <= 0.4::DOUBLE",
+            """CAST(least(ceil(10 * tip_amount / (total_amount - tip_amount)), 3) AS INTEGER)
+           AS tip_range_index,
+         round((total_amount - fare_amount - tip_amount) / total_amount, 6) AS other_amount""",
+        ),
         "trips_per_year": _time("year"),
         "trips_per_month": _time("month"),
         "trips_per_weekday": _time("weekday"),

@@ -276,12 +276,29 @@ def tip_feature_stage(label: str, other_of_total: bool = False) -> SQLTransforme
 
 
 RATIO_LABEL = "try_divide(tip_amount, total_amount - tip_amount) * 100 AS tip_ratio"
+BUCKET = "ceil(try_divide(10 * tip_amount, total_amount - tip_amount))"
 BUCKET_LABEL = (
-    "CAST(least(ceil(try_divide(10 * tip_amount, total_amount - tip_amount)), 3) AS INT)"
+    f"CAST(CASE WHEN {BUCKET} <= 2 THEN {BUCKET} WHEN {BUCKET} > 2 THEN 3 END AS INT)"
     " AS tip_range_index"
 )
 
 
+def tip_regression_rides(trips: DataFrame) -> DataFrame:
+    return tip_filter(trips, 0.5, inclusive=False, min_fare=2.5)
+
+
+def tip_class_rides(trips: DataFrame) -> DataFrame:
+    return tip_filter(trips, 0.4, inclusive=True, min_fare=None)
+
+
+def tip_features(
+    rides: DataFrame, label: str, features: Sequence[str], other_of_total: bool = False
+) -> DataFrame:
+    """The label and the inputs of a tip model as plain columns."""
+    name = label.rsplit(" ", 1)[-1]
+    return tip_feature_stage(label, other_of_total).transform(rides).select(name, *features)
+
+
 def tip_pipeline(
     estimator: Estimator, label: str, features: Sequence[str], other_of_total: bool = False
 ) -> Pipeline:
@@ -293,7 +310,7 @@ def tip_pipeline(
 def fit_tip_regressor(trips: DataFrame, trees: int = 20, depth: int = 5, seed: int = 17) -> Fitted:
     """Boosted trees for the tip percentage."""
     ensure_checkpoint_dir(trips.sparkSession)
-    rides = tip_filter(trips, 0.5, inclusive=False, min_fare=2.5)
+    rides = tip_regression_rides(trips)
     train, validation = split_rows(rides, [0.75, 0.25], seed)
     booster = GBTRegressor(
         featuresCol="features", labelCol="tip_ratio", maxIter=trees, maxDepth=depth, seed=seed
@@ -315,7 +332,7 @@ def fit_tip_classifier(
 ) -> Fitted:
     """A random forest for the tip bucket in ten-percent steps, scored by f1."""
     ensure_checkpoint_dir(trips.sparkSession)
-    rides = tip_filter(trips, 0.4, inclusive=True, min_fare=None)
+    rides = tip_class_rides(trips)
     train, validation = split_rows(rides, [0.75, 0.25], seed)
     forest = RandomForestClassifier(
         featuresCol="features",
