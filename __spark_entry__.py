@@ -23,6 +23,7 @@ from tripweave.plans import (  # noqa: E402
     zone_counts,
     zones,
 )
+from tripweave.session import cut_lineage  # noqa: E402
 from tripweave.sources import lookups, sample_tables  # noqa: E402
 from tripweave.sources.tripdata import trips_union  # noqa: E402
 
@@ -311,13 +312,18 @@ def _subway_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facilities.count_per_zone(_subway(spark, sf_dir), "sub_stn_nums")
 
 
+def _lot_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facilities.lot_figures(_lots(spark, sf_dir))
+
+
 def _facility_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lots = cut_lineage(_lot_figures(spark, sf_dir))
     shown = facilities.facility_map(
         sample_tables.zones(spark, sf_dir),
         bus_stop_nums=_bus_stop_counts(spark, sf_dir),
         sub_stn_nums=_subway_counts(spark, sf_dir),
-        lot_nums=_lot_counts(spark, sf_dir),
-        lot_area=_lot_areas(spark, sf_dir),
+        lot_nums=lots,
+        lot_area=lots,
     )
     return rounded(shown, "value", digits=AREA_DIGITS)
 
@@ -325,8 +331,7 @@ def _facility_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parking_counterexamples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facilities.parking_counterexamples(
         zone_counts.zone_counts_total(_monthly(spark, sf_dir)),
-        _lot_counts(spark, sf_dir),
-        _lot_areas(spark, sf_dir),
+        _lot_figures(spark, sf_dir),
         sample_tables.zones(spark, sf_dir),
     )
 

@@ -5,7 +5,6 @@ import random
 
 import pytest
 
-from tripweave.operators import quantiles
 from tripweave.operators.quantiles import grouped_quantiles
 
 PROBABILITIES = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q9": 0.999, "q10": 1.0}
@@ -38,13 +37,12 @@ def rows():
     return made
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_equals_sorting(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", [None, 0])
+def test_equals_sorting(spark, rows, limit):
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
     stats = {"n": ("count", None), "known": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v"),
              "mean": ("avg", "v")}
-    found = grouped_quantiles(df, ["k"], "v", PROBABILITIES, stats)
+    found = grouped_quantiles(df, ["k"], "v", PROBABILITIES, stats, broadcast_bytes=limit)
     got = {r.k: r for r in found.collect()}
     want = brute(rows)
     assert set(got) == set(want)

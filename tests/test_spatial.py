@@ -100,8 +100,8 @@ def zone_table(spark, layout):
     return spark.createDataFrame(rows, "LocationID long, zone string, borough string, the_geom string")
 
 
-@pytest.mark.parametrize("cell", [0.4, 1.0, 50.0])
-def test_points_get_the_first_zone_in_order(spark, layout, cell):
+@pytest.mark.parametrize(("cell", "limit"), [(0.4, None), (1.0, None), (50.0, None), (1.0, 0)])
+def test_points_get_the_first_zone_in_order(spark, layout, cell, limit):
     rng = random.Random(7)
     points = [(i, rng.uniform(-8, 8), rng.uniform(-8, 8)) for i in range(400)]
     # A third of all points at one place, and one without coordinates.
@@ -109,7 +109,7 @@ def test_points_get_the_first_zone_in_order(spark, layout, cell):
     table = spark.createDataFrame(
         [(i, f"POINT ({x!r} {y!r})") for i, x, y in points] + [(-1, None)], "id long, the_geom string"
     )
-    found = match_points(table, zone_table(spark, layout), cell=cell).collect()
+    found = match_points(table, zone_table(spark, layout), cell=cell, broadcast_bytes=limit).collect()
     got = {r.id: r.LocationID for r in found}
     assert len(found) == len(points) + 1 and got.pop(-1) is None
     for i, x, y in points:
@@ -117,15 +117,15 @@ def test_points_get_the_first_zone_in_order(spark, layout, cell):
     assert any(v is None for v in got.values()) and len(set(got.values())) > 5
 
 
-@pytest.mark.parametrize("cell", [0.05, 0.5])
-def test_areas_get_the_first_zone_they_meet(spark, layout, cell):
+@pytest.mark.parametrize(("cell", "limit"), [(0.05, None), (0.5, None), (0.5, 0)])
+def test_areas_get_the_first_zone_they_meet(spark, layout, cell, limit):
     rng = random.Random(9)
     areas = [
         (i, star(rng, rng.uniform(-9, 9), rng.uniform(-9, 9), 10 ** rng.uniform(-2, 1.3), 6))
         for i in range(150)
     ]
     table = spark.createDataFrame([(i, wkt(ring)) for i, ring in areas], "id long, the_geom string")
-    found = match_areas(table, zone_table(spark, layout), cell=cell).collect()
+    found = match_areas(table, zone_table(spark, layout), cell=cell, broadcast_bytes=limit).collect()
     assert len(found) == len(areas)
     got = {r.id: r.LocationID for r in found}
     for i, ring in areas:

@@ -218,14 +218,14 @@ def match_facilities(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.kind == "lots":
         sizes = facilities.area_per_zone(placed).repartition(1)
         sinks.write_table(sizes, f"{args.out}/lot_area")
+        sinks.write_table(facilities.lot_figures(placed).repartition(1), f"{args.out}/figures")
 
 
 def parking_counterexamples(spark: SparkSession, args: argparse.Namespace) -> None:
     """Zones where traffic and parking rank alike, from the outputs of the two jobs above."""
     chosen = facilities.parking_counterexamples(
         spark.read.parquet(f"{args.counts}/total"),
-        spark.read.parquet(f"{args.lots}/lot_nums"),
-        spark.read.parquet(f"{args.lots}/lot_area"),
+        spark.read.parquet(f"{args.lots}/figures"),
         _zone_shapes(spark, args.zones),
     )
     sinks.write_report(chosen, args.out, ["LocationID"])

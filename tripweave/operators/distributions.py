@@ -8,33 +8,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins from the smallest to the largest value, empty bins included.
+def histograms(df: DataFrame, values: Sequence[str], bins: int = 10) -> DataFrame:
+    """Equal-width bins of several columns, from each column's smallest to its largest value.
 
-    The last bin is closed on both sides. The bounds are a scalar subquery, so rows are binned
-    where they are read and only bin counts are shuffled.
+    The last bin is closed on both sides and empty bins are included. All bounds are one scalar
+    subquery and all columns are binned in one more scan; only bin counts are shuffled.
     """
-    values = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    bounds = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
-    placed = values.select("_v", bounds.alias("_b"))
-    width = F.col("_b.hi") - F.col("_b.lo")
-    position = F.coalesce(
-        F.floor(F.try_divide((F.col("_v") - F.col("_b.lo")) * bins, width)), F.lit(0)
+    columns = {name: F.col(name).cast("double") for name in values}
+    bounds = df.agg(
+        F.struct(
+            *[
+                F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias(name)
+                for name, column in columns.items()
+            ]
+        )
+    ).scalar()
+    wide = df.select(
+        *[column.alias(f"_v{i}") for i, column in enumerate(columns.values())],
+        bounds.alias("_b"),
+    )
+
+    def placed(i: int, name: str) -> Column:
+        value, low, high = F.col(f"_v{i}"), F.col("_b")[name]["lo"], F.col("_b")[name]["hi"]
+        position = F.floor(F.try_divide((value - low) * bins, high - low))
+        return F.struct(
+            F.lit(name).alias("feature"),
+            F.when(
+                value.isNotNull(),
+                F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)),
+            ).alias("bin"),
+        )
+
+    counted = (
+        wide.select(F.inline(F.array(*[placed(i, name) for i, name in enumerate(columns)])))
+        .filter(F.col("bin").isNotNull())
+        .groupBy("feature", "bin")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    counted = placed.groupBy(F.least(position, F.lit(bins - 1)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("_n")
+    every = df.sparkSession.range(bins).select(
+        F.explode(F.array(*[F.lit(name) for name in columns])).alias("feature"),
+        F.col("id").alias("bin"),
+        bounds.alias("_b"),
     )
-    numbers = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    edges = numbers.join(counted, "bin", "left").select("bin", "_n", bounds.alias("_b"))
-    step = (F.col("_b.hi") - F.col("_b.lo")) / bins
-    return edges.select(
+    low = F.coalesce(*[F.when(F.col("feature") == n, F.col("_b")[n]["lo"]) for n in columns])
+    high = F.coalesce(*[F.when(F.col("feature") == n, F.col("_b")[n]["hi"]) for n in columns])
+    step = (high - low) / bins
+    return every.join(counted, ["feature", "bin"], "left").select(
+        "feature",
         "bin",
-        (F.col("_b.lo") + F.col("bin") * step).alias("bin_start"),
-        (F.col("_b.lo") + (F.col("bin") + 1) * step).alias("bin_end"),
+        (low + F.col("bin") * step).alias("bin_start"),
+        (low + (F.col("bin") + 1) * step).alias("bin_end"),
         F.coalesce("_n", F.lit(0)).alias("count"),
     )
 
 
+def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    return histograms(df, [value], bins).drop("feature")
+
+
 def share_within(df: DataFrame, group: str, count: str = "count") -> Column:
     """Share of an already aggregated count in its group's sum."""
     return F.col(count) / F.sum(count).over(Window.partitionBy(group))

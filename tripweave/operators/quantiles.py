@@ -15,11 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.session import BROADCAST_ROWS, cut_lineage
+from tripweave.session import broadcast_if_small, cut_lineage
 
 # name of the result column -> (aggregate, source column)
 Stats = Mapping[str, tuple[str, str | None]]
 
+# A generous size for one (group, bin) row: keys, bin and rank.
+TARGET_BYTES = 256
+
 
 def value_bin(value: Column, per_unit: int) -> Column:
     """A step function that never decreases; steps widen with the magnitude of the value."""
@@ -53,8 +56,13 @@ def _merged(stats: Stats) -> list[Column]:
     return columns
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[key].eqNullSafe(right[key]) for key in keys])
+def _same_keys(keys: Sequence[str]) -> Column:
+    """The keys of one side equal those of the other, which carry the prefix ``_of_``."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+
+
+def _renamed_keys(keys: Sequence[str]) -> list[Column]:
+    return [F.col(key).alias(f"_of_{key}") for key in keys]
 
 
 def grouped_quantiles(
@@ -65,6 +73,7 @@ def grouped_quantiles(
     stats: Stats | None = None,
     per_unit: int = 1024,
     accuracy: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """One row per group: the wanted quantiles of ``value`` and the wanted aggregates.
 
@@ -109,7 +118,7 @@ def grouped_quantiles(
                     holds,
                     F.struct(
                         F.lit(i).alias("_q"),
-                        F.col("_bin").alias("_bin"),
+                        F.col("_bin").alias("_in_bin"),
                         (rank - before).alias("_rank"),
                     ),
                 )
@@ -120,15 +129,13 @@ def grouped_quantiles(
     finds = F.filter(
         F.array(*[F.col(f"_find_{i}") for i in range(len(wanted))]), lambda find: find.isNotNull()
     )
-    targets = groups.select(*keys, F.inline(finds))
-    if groups.count() * len(wanted) <= BROADCAST_ROWS:
-        targets = F.broadcast(targets)
+    targets = broadcast_if_small(
+        groups.select(*_renamed_keys(keys), F.inline(finds)), TARGET_BYTES, broadcast_bytes
+    )
 
-    bin_of_row = binned.select(*keys, value, "_bin")
-    on_bin = _same_keys(bin_of_row, targets, keys) & (bin_of_row["_bin"] == targets["_bin"])
     tied = (
-        bin_of_row.join(targets, on_bin)
-        .select(*[bin_of_row[key] for key in keys], value, "_q", "_rank")
+        binned.select(*keys, value, "_bin")
+        .join(targets, _same_keys(keys) & (F.col("_bin") == F.col("_in_bin")))
         .groupBy(*keys, "_q", "_rank", value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -137,7 +144,7 @@ def grouped_quantiles(
     picks = (
         tied.withColumn("_upto", upto)
         .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-        .groupBy(*keys)
+        .groupBy(*_renamed_keys(keys))
         .agg(
             *[
                 F.max(F.when(F.col("_q") == i, F.col(value))).alias(name)
@@ -145,6 +152,4 @@ def grouped_quantiles(
             ]
         )
     )
-    return groups.join(picks, _same_keys(groups, picks, keys), "left").select(
-        *[groups[key] for key in keys], *stats, *quantiles
-    )
+    return groups.join(picks, _same_keys(keys), "left").select(*keys, *stats, *quantiles)

@@ -3,9 +3,9 @@
 The zones are laid out once on a grid: one row per grid cell with the zones that may reach into it,
 in file order. Each point then has exactly one cell, so the match is one equi-join in which the
 large side is neither exploded nor grouped afterwards: candidates are tested within the row, and a
-row without a match stays, with NULL zone columns. Zone tables are small, so Spark's own size check
-normally makes this a broadcast join without any shuffle of the points; if the grid is too large
-for that, it becomes a shuffled join on the cell, where adaptive execution splits crowded cells.
+row without a match stays, with NULL zone columns. The grid is measured: if it is small, as zone
+tables are, the join is a broadcast without any shuffle of the points; if not, it is shuffled on the
+cell, where adaptive execution splits crowded cells.
 
 Areas use one grid per size class, with cells twice as wide from class to class: an area goes to
 the first class whose cells are at least as wide as itself and is filed under its centre's cell;
@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.functions import geometry as geo
+from tripweave.session import broadcast_if_small
 
 SIZE_CLASSES = 8
 # Half a cell and a margin for rounding at cell borders.
 PADDING = 0.51
+# Generous sizes in a broadcast grid: a zone's names and box, and one side of its outline.
+ZONE_BYTES, EDGE_BYTES = 512, 64
 
 
 def with_geometry(zones: DataFrame, wkt: str = "the_geom") -> DataFrame:
@@ -47,7 +50,13 @@ def _cell_range(low: Column, high: Column, size: Column) -> Column:
 
 
 def _zone_grid(
-    zones: DataFrame, keep: Sequence[str], order: str, wkt: str, cell: float, classes: int
+    zones: DataFrame,
+    keep: Sequence[str],
+    order: str,
+    wkt: str,
+    cell: float,
+    classes: int,
+    broadcast_bytes: int | None,
 ) -> DataFrame:
     """One row per size class and grid cell with the zones near it, in file order."""
     shaped = with_geometry(zones.select(order, *[c for c in keep if c != order], wkt), wkt)
@@ -75,7 +84,7 @@ def _zone_grid(
     candidate = F.struct(
         F.col(order).alias("_order"), *[c for c in keep], "_box", "_edges", "_starts"
     )
-    return spread.groupBy("_level", "_cx", "_cy").agg(
+    grid = spread.groupBy("_level", "_cx", "_cy").agg(
         F.array_sort(
             F.collect_list(candidate),
             lambda a, b: F.when(a["_order"] < b["_order"], -1)
@@ -83,6 +92,12 @@ def _zone_grid(
             .otherwise(0),
         ).alias("_near")
     )
+    near_bytes = F.aggregate(
+        F.col("_near"),
+        F.lit(64),
+        lambda total, zone: total + ZONE_BYTES + EDGE_BYTES * F.size(zone["_edges"]),
+    )
+    return broadcast_if_small(grid, near_bytes, broadcast_bytes)
 
 
 def _first_match(rows: DataFrame, grid: DataFrame, keep: Sequence[str], test) -> DataFrame:
@@ -102,12 +117,13 @@ def match_points(
     point_wkt: str = "the_geom",
     zone_wkt: str = "the_geom",
     cell: float = 1.0,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add the columns of the first zone that strictly contains each point.
 
     ``cell`` should be about as wide as a typical zone.
     """
-    grid = _zone_grid(zones, keep, order, zone_wkt, cell, classes=1)
+    grid = _zone_grid(zones, keep, order, zone_wkt, cell, 1, broadcast_bytes)
     placed = points.withColumn("_point", geo.wkt_point(F.col(point_wkt)))
     size = F.lit(float(cell))
     x, y = F.col("_point.x"), F.col("_point.y")
@@ -135,6 +151,7 @@ def match_areas(
     zone_wkt: str = "the_geom",
     cell: float = 0.25,
     classes: int = SIZE_CLASSES,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add the columns of the first zone that intersects each area.
 
@@ -142,7 +159,7 @@ def match_areas(
     """
     if classes < 2:
         raise ValueError("areas need at least two size classes")
-    grid = _zone_grid(zones, keep, order, zone_wkt, cell, classes)
+    grid = _zone_grid(zones, keep, order, zone_wkt, cell, classes, broadcast_bytes)
     shaped = areas.withColumn("_shape", geo.wkt_polygons(F.col(area_wkt))).select(
         *areas.columns,
         geo.bounding_box(F.col("_shape")).alias("_box"),

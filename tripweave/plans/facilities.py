@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tripweave.operators.ranking import first_and_last, half_flag
 from tripweave.operators.zone_match import match_areas, match_points
+from tripweave.session import cut_lineage
 
 # Columns of the parking lot table that no report uses.
 LOT_DROPS = ("the_geom", "FEAT_CODE", "SUB_CODE", "STATUS", "SHAPE_Leng")
@@ -37,6 +38,13 @@ def area_per_zone(placed: DataFrame, area: str = "SHAPE_Area") -> DataFrame:
     return placed.groupBy("ID").agg(F.sum(area).alias("lot_area")).orderBy(F.desc("lot_area"), "ID")
 
 
+def lot_figures(placed: DataFrame, area: str = "SHAPE_Area") -> DataFrame:
+    """Lots and their area per zone, from one pass."""
+    return placed.groupBy("ID").agg(
+        F.count(F.lit(1)).alias("lot_nums"), F.sum(area).alias("lot_area")
+    )
+
+
 def facility_map(zones: DataFrame, **measures: DataFrame) -> DataFrame:
     """Per-zone measures with the zone shapes, one row per measure and zone.
 
@@ -56,13 +64,15 @@ def facility_map(zones: DataFrame, **measures: DataFrame) -> DataFrame:
 
 
 def parking_counterexamples(
-    totals: DataFrame, lots: DataFrame, areas: DataFrame, zones: DataFrame, each: int = 5
+    totals: DataFrame, lots: DataFrame, zones: DataFrame, each: int = 5
 ) -> DataFrame:
     """Zones where traffic and parking rank alike, against the idea that parking replaces taxis.
 
     Zones are halved by trip count (per direction) and by lot count or lot area; a zone whose
     halves agree is a counterexample. The busiest and the quietest few of every comparison count.
+    Both inputs have a row per zone; they are computed once for the four comparisons.
     """
+    totals, lots = cut_lineage(totals), cut_lineage(lots)
     traffic = {
         direction: half_flag(
             totals.filter(F.col("direction") == direction).select("LocationID", "trip_count"),
@@ -74,7 +84,7 @@ def parking_counterexamples(
     }
     parking = [
         half_flag(lots, "lot_nums", "ID", "parking_half"),
-        half_flag(areas, "lot_area", "ID", "parking_half"),
+        half_flag(lots, "lot_area", "ID", "parking_half"),
     ]
     alike = []
     for ranked in parking:

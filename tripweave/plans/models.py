@@ -19,7 +19,7 @@ from pyspark.storagelevel import StorageLevel
 from tripweave.operators import quality
 from tripweave.operators.sampling import sample_with_replacement, split_rows
 from tripweave.plans.zones import with_both_zones
-from tripweave.schema import FIRST_YEAR, LAST_YEAR
+from tripweave.schema import FIRST_YEAR, LAST_YEAR, TIP_INPUT_COLUMNS
 from tripweave.session import ensure_checkpoint_dir
 
 # Model inputs and the grid that is searched.
@@ -111,14 +111,18 @@ def add_weather(
 
 
 @contextmanager
-def _kept(*frames: DataFrame) -> Iterator[None]:
-    for frame in frames:
-        frame.persist(StorageLevel.MEMORY_AND_DISK)
+def _kept(rides: DataFrame) -> Iterator[DataFrame]:
+    """Keep the training rows while trees are grown, in even partitions.
+
+    Growing trees passes over the rows once per level and tree, so uneven partitions would cost
+    their delay many times over.
+    """
+    partitions = int(rides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rides = rides.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield
+        yield rides
     finally:
-        for frame in frames:
-            frame.unpersist()
+        rides.unpersist()
 
 
 def regression_scores(predicted: DataFrame, label: str, part: str) -> DataFrame:
@@ -189,8 +193,8 @@ def fit_speed_model(
 ) -> Fitted:
     """Fit one grid point on three quarters of the rides and score it on the rest."""
     ensure_checkpoint_dir(rides.sparkSession)
-    train, validation = split_rows(rides.select(*features, "speed"), [0.75, 0.25], seed)
-    with _kept(train, validation):
+    with _kept(rides.select(*features, "speed")) as kept:
+        train, validation = split_rows(kept, [0.75, 0.25], seed)
         model = speed_pipeline(features, step_size, depth, trees, seed).fit(train)
         rows = [
             tuple(row)
@@ -227,8 +231,7 @@ def search_speed_model(
         parallelism=parallelism,
         seed=seed,
     )
-    kept = rides.select(*features, "speed")
-    with _kept(kept):
+    with _kept(rides.select(*features, "speed")) as kept:
         found = search.fit(kept)
     points = [
         (float(point[booster.stepSize]), int(point[booster.maxDepth]), float(rmse))
@@ -310,12 +313,12 @@ def tip_pipeline(
 def fit_tip_regressor(trips: DataFrame, trees: int = 20, depth: int = 5, seed: int = 17) -> Fitted:
     """Boosted trees for the tip percentage."""
     ensure_checkpoint_dir(trips.sparkSession)
-    rides = tip_regression_rides(trips)
-    train, validation = split_rows(rides, [0.75, 0.25], seed)
+    rides = tip_regression_rides(trips.select(*TIP_INPUT_COLUMNS))
     booster = GBTRegressor(
         featuresCol="features", labelCol="tip_ratio", maxIter=trees, maxDepth=depth, seed=seed
     )
-    with _kept(train, validation):
+    with _kept(rides) as kept:
+        train, validation = split_rows(kept, [0.75, 0.25], seed)
         model = tip_pipeline(booster, RATIO_LABEL, TIP_REGRESSION_FEATURES).fit(train)
         rows = [
             tuple(row)
@@ -332,8 +335,7 @@ def fit_tip_classifier(
 ) -> Fitted:
     """A random forest for the tip bucket in ten-percent steps, scored by f1."""
     ensure_checkpoint_dir(trips.sparkSession)
-    rides = tip_class_rides(trips)
-    train, validation = split_rows(rides, [0.75, 0.25], seed)
+    rides = tip_class_rides(trips.select(*TIP_INPUT_COLUMNS))
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol="tip_range_index",
@@ -342,7 +344,8 @@ def fit_tip_classifier(
         seed=seed,
     )
     f1 = MulticlassClassificationEvaluator(labelCol="tip_range_index", metricName="f1")
-    with _kept(train, validation):
+    with _kept(rides) as kept:
+        train, validation = split_rows(kept, [0.75, 0.25], seed)
         model = tip_pipeline(forest, BUCKET_LABEL, TIP_CLASS_FEATURES, other_of_total).fit(train)
         rows = [
             ("score", f"{part}_f1", float(f1.evaluate(model.transform(frame))))

@@ -85,11 +85,7 @@ def tip_feature_points(features: DataFrame) -> DataFrame:
 
 def tip_histograms(points: DataFrame, bins: int = 10) -> DataFrame:
     """Histograms of tip ratio and other charges, told apart by ``feature``."""
-    parts = [
-        dist.histogram(points, name, bins).select(F.lit(name).alias("feature"), "*")
-        for name in ("tip_ratio", "other_amount")
-    ]
-    return parts[0].unionByName(parts[1])
+    return dist.histograms(points, ["tip_ratio", "other_amount"], bins)
 
 
 def tip_overview(trips: DataFrame) -> DataFrame:

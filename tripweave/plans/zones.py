@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.functions import geometry as geo
+from tripweave.session import broadcast_if_small
+
+# A generous size for one zone's id, names and centre.
+ZONE_BYTES = 256
 
 
 def zone_dimension(zones: DataFrame, wkt: str = "the_geom") -> DataFrame:
@@ -27,8 +31,9 @@ def zone_dimension(zones: DataFrame, wkt: str = "the_geom") -> DataFrame:
 def with_both_zones(trips: DataFrame, zones: DataFrame, *columns: str) -> DataFrame:
     """Add zone columns for both ends, prefixed ``PU`` and ``DO``; unknown zones drop out.
 
-    Neither join is hinted: Spark broadcasts the zones when their size allows it.
+    The zones are measured once; both joins are broadcasts unless the zone table is large.
     """
+    zones = broadcast_if_small(zones.select("LocationID", *columns), ZONE_BYTES)
     for end in ("PU", "DO"):
         side = zones.select(
             F.col("LocationID").alias(f"{end}LocationID"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Rows a lookup derived from the data may have before it is shuffled instead of broadcast.
-BROADCAST_ROWS = 200_000
+# Bytes a lookup may have before it is shuffled instead of broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -42,3 +43,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, so that later plans start from the files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int | None = None) -> DataFrame:
+    """Compute a lookup once, measure it, and hint a broadcast only when it is small.
+
+    Spark cannot tell the size of an aggregate or an exploded table beforehand and would shuffle
+    the large side of the join first. Beyond the limit there is no hint: the join is shuffled, and
+    adaptive execution splits crowded keys.
+    """
+    df = cut_lineage(df)
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    measured = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first().bytes
+    return F.broadcast(df) if measured <= (BROADCAST_BYTES if limit is None else limit) else df
