@@ -254,11 +254,17 @@ def _on_located(plan: Callable[..., DataFrame], *round_columns: str, **options)
     return lambda spark, sf_dir: rounded(plan(_located(spark, sf_dir), **options), *round_columns)
 
 
-def _report(**options) -> Query:
+def _report(
+    plan: Callable[..., DataFrame] = tips.tip_by_location,
+    order: str = "avg",
+    index: str = "locationID",
+    ratio: str = "avg",
+    **options,
+) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = tips.tip_by_location(_located(spark, sf_dir))
+        result = plan(_located(spark, sf_dir))
         lookup = sample_tables.zone_lookup(spark, sf_dir)
-        return rounded(tips.location_report(lookup, result, "avg", **options), "avg")
+        return rounded(tips.location_report(lookup, result, order, index, **options), ratio)
 
     return query
 
@@ -367,6 +373,7 @@ def queries() -> dict[str, Query]:
         # speed
         "zone_speed_box": _on_speed(speed.zone_speed_box),
         "zone_speed_box_ref": _on_speed(speed.zone_speed_box, as_reference=True),
+        "zone_speed_median": _on_speed(speed.zone_speed_median),
         "speed_by_hour_weekday": _on_speed(speed.speed_by_hour_weekday, "average"),
         "slowest_destinations": _on_speed(speed.slowest_destinations),
         "fastest_destinations": _on_speed(speed.fastest_destinations),
@@ -417,6 +424,14 @@ def queries() -> dict[str, Query]:
         "location_report_full": _report(),
         "location_report_min_count": _report(above=REPORT_THRESHOLD),
         "location_report_top20": _report(above=REPORT_THRESHOLD, top=20),
+        "location_report_pickup": _report(tips.tip_by_pickup, index="PULocationID"),
+        "location_report_dropoff": _report(tips.tip_by_dropoff, index="DOLocationID"),
+        "location_report_petty": _report(
+            tips.petty_by_location, order="petty_ratio", ratio="petty_ratio"
+        ),
+        "location_report_generous": _report(
+            tips.generous_by_location, order="count", ratio="generous_ratio"
+        ),
         "tip_location_map": _location_map,
         # pickups and dropoffs
         "pickup_counts": lambda s, d: zone_counts.pickup_counts(_counted(s, d)),

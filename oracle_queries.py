@@ -318,6 +318,16 @@ def _subset(test: str, ratio: str) -> str:
   FROM ends GROUP BY locationID HAVING count(*) FILTER ({test}) > 0"""
 
 
+def _subset_report(test: str, ratio: str) -> str:
+    return f"""WITH {LOCATED}, {ZONES}
+  SELECT l.LocationID AS locationID, Borough, Zone, service_zone, count, {ratio}
+  FROM lookup l LEFT JOIN (
+    SELECT locationID, count(*) FILTER ({test}) AS count,
+           round(count(*) FILTER ({test}) / count(*), 6) AS {ratio}
+    FROM ends GROUP BY locationID HAVING count(*) FILTER ({test}) > 0
+  ) r ON l.LocationID = r.locationID"""
+
+
 def _subset_ref(test: str, ratio: str) -> str:
     return f"""WITH {LOCATED}, {_combined("every", "TRUE")}, {_combined("part", test)}
   SELECT locationID, CAST(p.count AS BIGINT) AS count, round(p.count / t.count, 6) AS {ratio}
@@ -442,6 +452,8 @@ def all_queries() -> dict[str, str]:
         "zone_speed_box": f"WITH {SPEED} {BOX.format(ends=BOTH_ENDS)}",
         "zone_speed_box_ref": f"""WITH {SPEED}
   {BOX.format(ends="SELECT PULocationID AS LocationID, speed FROM rides")}""",
+        "zone_speed_median": f"""WITH {SPEED}
+  SELECT PULocationID, round(median(speed), 2) AS median FROM rides GROUP BY PULocationID""",
         "speed_by_hour_weekday": f"""WITH {SPEED}
   SELECT hour, weekday, round(avg(speed), 6) AS average FROM rides GROUP BY hour, weekday""",
         "slowest_destinations": f"""WITH {SPEED}
@@ -538,6 +550,20 @@ cells AS (
         "location_report_min_count": f"WITH {LOCATED}, {ZONES} {REPORT} {NAMED} WHERE count > 100",
         "location_report_top20": f"""WITH {LOCATED}, {ZONES} {REPORT} {NAMED} WHERE count > 100
   ORDER BY b.avg DESC NULLS LAST, l.LocationID LIMIT 20""",
+        "location_report_pickup": f"""WITH {LOCATED}, {ZONES}
+  SELECT l.LocationID AS PULocationID, Borough, Zone, service_zone, round(avg, 6) AS avg, median, count
+  FROM lookup l LEFT JOIN (
+    SELECT PULocationID, avg(tip_ratio) AS avg, quantile_disc(tip_ratio, 0.5) AS median,
+           count(*) AS count FROM located GROUP BY PULocationID
+  ) r ON l.LocationID = r.PULocationID""",
+        "location_report_dropoff": f"""WITH {LOCATED}, {ZONES}
+  SELECT l.LocationID AS DOLocationID, Borough, Zone, service_zone, round(avg, 6) AS avg, median, count
+  FROM lookup l LEFT JOIN (
+    SELECT DOLocationID, avg(tip_ratio) AS avg, quantile_disc(tip_ratio, 0.5) AS median,
+           count(*) AS count FROM located GROUP BY DOLocationID
+  ) r ON l.LocationID = r.DOLocationID""",
+        "location_report_petty": _subset_report("tip_amount = 0", "petty_ratio"),
+        "location_report_generous": _subset_report("tip_ratio >= 0.4::DOUBLE", "generous_ratio"),
         "tip_location_map": f"""WITH {LOCATED}, {ZONES}
   SELECT z.LocationID, zone, borough, the_geom, round(avg, 6) AS avg, max, count
   FROM zones z LEFT JOIN by_location b ON z.LocationID = b.locationID""",

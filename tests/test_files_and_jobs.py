@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tripweave import jobs
 from tripweave.plans import cleaning, zone_counts
-from tripweave.sources import sample_tables, sinks, tripdata
+from tripweave.sources import sample_tables, sinks, tripdata, views
 
 
 def write_as(df, path, name):
@@ -79,6 +79,13 @@ def test_rerun_replaces_only_its_partitions(spark, tmp_path):
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 9]
 
 
+def test_registered_tables_answer_sql(spark):
+    views.register(rides=spark.range(3), places=spark.range(2))
+    assert spark.sql("SELECT count(*) AS n FROM rides JOIN places USING (id)").first().n == 2
+    views.register(rides=spark.range(1))
+    assert spark.table("rides").count() == 1
+
+
 def csv_rows(path):
     rows = []
     for name in sorted(glob.glob(f"{path}/**/part-*.csv", recursive=True)):

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tripweave.operators.quantiles import grouped_quantiles
+from tripweave.operators.quantiles import grouped_median, grouped_quantiles
 
 PROBABILITIES = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q9": 0.999, "q10": 1.0}
 
@@ -69,3 +69,11 @@ def test_one_pass_form_has_the_same_columns(spark, rows):
     quick = grouped_quantiles(df, ["k"], "v", {"m": 0.5}, stats, accuracy=1_000_000)
     assert exact.columns == quick.columns
     assert {(r.k, r.m, r.n) for r in exact.collect()} == {(r.k, r.m, r.n) for r in quick.collect()}
+
+
+def test_median_of_even_and_odd_groups(spark):
+    groups = {"odd": [3.0, 1.0, 2.0], "even": [4.0, 1.0, 2.0, 9.0], "pair": [0.125, 0.126], "one": [5.5],
+              "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    found = {r.k: r.median for r in grouped_median(df, ["k"], "v").collect()}
+    assert found == {"odd": 2.0, "even": 3.0, "pair": 0.13, "one": 5.5, "none": None}

@@ -9,7 +9,7 @@ values are counted together before they are ranked.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +20,9 @@ from tripweave.session import broadcast_if_small, cut_lineage
 # name of the result column -> (aggregate, source column)
 Stats = Mapping[str, tuple[str, str | None]]
 
+# a quantile's share, or its rank as an expression over the group's number of values
+Place = float | Callable[[Column], Column]
+
 # A generous size for one (group, bin) row: keys, bin and rank.
 TARGET_BYTES = 256
 
@@ -69,7 +72,7 @@ def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    quantiles: Mapping[str, float],
+    quantiles: Mapping[str, Place],
     stats: Stats | None = None,
     per_unit: int = 1024,
     accuracy: int | None = None,
@@ -109,7 +112,8 @@ def grouped_quantiles(
     )
     wanted = []
     for i, p in enumerate(quantiles.values()):
-        rank = F.greatest(F.ceil(F.col("_total") * F.lit(float(p))), F.lit(1))
+        total = F.col("_total")
+        rank = p(total) if callable(p) else F.greatest(F.ceil(total * F.lit(float(p))), F.lit(1))
         before = F.col("_upto") - F.col("_n")
         holds = (before < rank) & (rank <= F.col("_upto"))
         wanted.append(
@@ -153,3 +157,19 @@ def grouped_quantiles(
         )
     )
     return groups.join(picks, _same_keys(keys), "left").select(*keys, *stats, *quantiles)
+
+
+def grouped_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", digits: int = 2
+) -> DataFrame:
+    """The rounded median per group; of an even number of values, the mean of the middle two."""
+    middle = grouped_quantiles(
+        df,
+        keys,
+        value,
+        {
+            "_low": lambda total: F.floor((total + 1) / 2),
+            "_high": lambda total: F.floor(total / 2) + 1,
+        },
+    )
+    return middle.select(*keys, F.round((F.col("_low") + F.col("_high")) / 2, digits).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import trip_columns as tc
 from tripweave.operators import distributions as dist
-from tripweave.operators.quantiles import grouped_quantiles
+from tripweave.operators.quantiles import grouped_median, grouped_quantiles
 from tripweave.operators.sampling import sample_with_replacement
 from tripweave.operators.trip_ends import at_both_ends
 from tripweave.plans.zones import with_both_zones
@@ -39,6 +39,11 @@ def zone_speed_box(
     )
 
 
+def zone_speed_median(trips: DataFrame) -> DataFrame:
+    """Median speed per pickup zone to two digits."""
+    return grouped_median(trips, ["PULocationID"], "speed")
+
+
 def speed_by_hour_weekday(trips: DataFrame) -> DataFrame:
     return (
         trips.groupBy("hour", "weekday")
