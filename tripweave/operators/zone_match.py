@@ -1,11 +1,12 @@
 """Which zone does a point or an area lie in? First zone in file order wins.
 
 The zones are laid out once on a grid: one row per grid cell with the zones that may reach into it,
-in file order. Each point then has exactly one cell, so the match is one equi-join in which the
-large side is neither exploded nor grouped afterwards: candidates are tested within the row, and a
-row without a match stays, with NULL zone columns. The grid is measured: if it is small, as zone
-tables are, the join is a broadcast without any shuffle of the points; if not, it is shuffled on the
-cell, where adaptive execution splits crowded cells.
+in file order, each with the part of its outline that matters there. Each point then has exactly
+one cell, so the match is one equi-join in which the large side is neither exploded nor grouped
+afterwards: candidates are tested within the row, and a row without a match stays, with NULL zone
+columns. The grid is measured: if it is small, as zone tables are, the join is a broadcast without
+any shuffle of the points; if not, it is shuffled on the cell, where adaptive execution splits
+crowded cells.
 
 Areas use one grid per size class, with cells twice as wide from class to class: an area goes to
 the first class whose cells are at least as wide as itself and is filed under its centre's cell;
@@ -26,6 +27,8 @@ from tripweave.session import broadcast_if_small
 SIZE_CLASSES = 8
 # Half a cell and a margin for rounding at cell borders.
 PADDING = 0.51
+# The same margin for points, which need no padding otherwise.
+ROUNDING = 0.01
 # Generous sizes in a broadcast grid: a zone's names and box, and one side of its outline.
 ZONE_BYTES, EDGE_BYTES = 512, 64
 
@@ -81,10 +84,26 @@ def _zone_grid(
             )
         ),
     )
+    # Of a zone's outline a cell keeps only the sides that a ray to the right from within the cell
+    # (or from within its padding) can meet; without any, the zone does not reach the cell.
+    margin = F.col("_size") * (PADDING if classes > 1 else ROUNDING)
+    left = F.col("_cx") * F.col("_size") - margin
+    bottom = F.col("_cy") * F.col("_size") - margin
+    top_edge = (F.col("_cy") + 1) * F.col("_size") + margin
+    clipped = F.filter(
+        F.col("_edges"),
+        lambda e: single
+        | (
+            (F.greatest(e["ax"], e["bx"]) >= left)
+            & (F.greatest(e["ay"], e["by"]) >= bottom)
+            & (F.least(e["ay"], e["by"]) <= top_edge)
+        ),
+    )
+    local = spread.withColumn("_edges", clipped).filter(F.size("_edges") > 0)
     candidate = F.struct(
         F.col(order).alias("_order"), *[c for c in keep], "_box", "_edges", "_starts"
     )
-    grid = spread.groupBy("_level", "_cx", "_cy").agg(
+    grid = local.groupBy("_level", "_cx", "_cy").agg(
         F.array_sort(
             F.collect_list(candidate),
             lambda a, b: F.when(a["_order"] < b["_order"], -1)
