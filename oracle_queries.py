@@ -393,7 +393,9 @@ def all_queries() -> dict[str, str]:
     return {
         "etl_general": f"""WITH {TRIPS}
   SELECT VendorID, pickup_datetime, dropoff_datetime, trip_distance, PULocationID, DOLocationID,
-         fare_amount, tip_amount, total_amount, CAST(payment_type AS INTEGER) AS payment_type
+         fare_amount, tip_amount, total_amount, CAST(payment_type AS INTEGER) AS payment_type, color,
+         CAST(year(pickup_datetime) AS INTEGER) AS file_year,
+         CAST(month(pickup_datetime) AS INTEGER) AS file_month
   FROM trips WHERE payment_type = 1 AND trip_distance > 0 AND total_amount > 0""",
         "etl_payment_clean": f"""WITH {TRIPS}
   SELECT pickup_datetime, dropoff_datetime, CAST(1 AS BIGINT) AS RatecodeID, PULocationID,

@@ -37,12 +37,13 @@ def rows():
     return made
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_equals_sorting(spark, rows, limit):
+@pytest.mark.parametrize(("limit", "bin_rows"), [(None, 1_000_000), (0, 1_000_000), (None, 20), (None, 0)])
+def test_equals_sorting(spark, rows, limit, bin_rows):
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
     stats = {"n": ("count", None), "known": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v"),
              "mean": ("avg", "v")}
-    found = grouped_quantiles(df, ["k"], "v", PROBABILITIES, stats, broadcast_bytes=limit)
+    found = grouped_quantiles(df, ["k"], "v", PROBABILITIES, stats, bin_rows=bin_rows,
+                              broadcast_bytes=limit)
     got = {r.k: r for r in found.collect()}
     want = brute(rows)
     assert set(got) == set(want)
@@ -77,3 +78,12 @@ def test_median_of_even_and_odd_groups(spark):
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
     found = {r.k: r.median for r in grouped_median(df, ["k"], "v").collect()}
     assert found == {"odd": 2.0, "even": 3.0, "pair": 0.13, "one": 5.5, "none": None}
+
+
+def test_not_a_number_and_infinity_sort_last(spark):
+    values = [float("nan"), float("inf"), 1.0, -float("inf"), 2.0]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    places = {f"q{i}": (lambda n, i=i: n * 0 + i) for i in range(1, 6)}
+    row = grouped_quantiles(df, ["k"], "v", places).first()
+    assert [row[f"q{i}"] for i in range(1, 5)] == [-float("inf"), 1.0, 2.0, float("inf")]
+    assert math.isnan(row.q5)

@@ -26,7 +26,6 @@ from tripweave.schema import BOROUGH_ORDER
 from tripweave.session import cut_lineage
 from tripweave.sources import lookups, sinks, tripdata
 
-FILE_PARTITIONS = ("color", "file_year", "file_month")
 
 
 def _zone_shapes(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +48,7 @@ def clean(spark: SparkSession, args: argparse.Namespace) -> None:
         "union": lambda: tripdata.trips_union([raw]),
     }
     cleaned = rules[args.kind]()
-    sinks.write_table(cleaned, args.out, *[c for c in FILE_PARTITIONS if c in cleaned.columns])
+    sinks.write_table(cleaned, args.out, *[c for c in tripdata.TAG_COLUMNS if c in cleaned.columns])
 
 
 def time_report(spark: SparkSession, args: argparse.Namespace) -> None:

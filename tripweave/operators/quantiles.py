@@ -3,8 +3,9 @@
 First pass: count values per (group, bin), where a bin is a monotone step function of the value.
 Partial aggregation leaves at most one row per group and bin of each task, however many rows a
 group holds, and one group's bins spread over all reducers. The running count over the bins tells
-which bin holds each wanted rank. Second pass: only rows of those bins are looked at again; equal
-values are counted together before they are ranked.
+which bin holds each wanted rank. Only rows of those bins are looked at again. If such a bin still
+holds many different values, it is divided into finer bins in another pass; in the end equal values
+are counted together and the few different ones are ranked.
 """
 
 from __future__ import annotations
@@ -26,10 +27,17 @@ Place = float | Callable[[Column], Column]
 # A generous size for one (group, bin) row: keys, bin and rank.
 TARGET_BYTES = 256
 
+# Rows of one bin that may be ranked in one task; fuller bins are divided further, up to the
+# resolution of a double.
+BIN_ROWS = 1_000_000
+# Powers of two, so that the finer bins divide the coarser ones exactly.
+PER_UNIT, FINER, LEVELS = 2**10, 2**12, 4
+
 
 def value_bin(value: Column, per_unit: int) -> Column:
     """A step function that never decreases; steps widen with the magnitude of the value."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * per_unit)
+    step = F.floor(F.signum(value) * F.log1p(F.abs(value)) * float(per_unit))
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(step)
 
 
 def _partial(stats: Stats) -> list[Column]:
@@ -68,14 +76,42 @@ def _renamed_keys(keys: Sequence[str]) -> list[Column]:
     return [F.col(key).alias(f"_of_{key}") for key in keys]
 
 
+def _find(place: Column, number: int) -> Column:
+    """Of a group's bins, in order, the one that holds a rank, and the rank within it."""
+    before = F.col("_upto") - F.col("_n")
+    holds = (before < place) & (place <= F.col("_upto"))
+    return F.max(
+        F.when(
+            holds,
+            F.struct(
+                F.lit(number).alias("_q"),
+                F.col("_bin").alias("_in_bin"),
+                (place - before).alias("_rank"),
+                F.col("_n").alias("_held"),
+                F.col("_lo").alias("_lo"),
+                F.col("_hi").alias("_hi"),
+            ),
+        )
+    )
+
+
+def _bin_counts(value: str) -> list[Column]:
+    return [F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]
+
+
+def _running(*groups: str, order: str) -> Column:
+    so_far = Window.partitionBy(*groups).orderBy(order)
+    return F.sum("_n").over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, Place],
     stats: Stats | None = None,
-    per_unit: int = 1024,
     accuracy: int | None = None,
+    bin_rows: int = BIN_ROWS,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """One row per group: the wanted quantiles of ``value`` and the wanted aggregates.
@@ -99,59 +135,56 @@ def grouped_quantiles(
 
     sources = {source for _, source in stats.values() if source}
     rows = df.select(*keys, *sorted(sources | {value}))
-    binned = rows.withColumn("_bin", value_bin(F.col(value), per_unit))
 
-    # Windows below run over a group's bins, never over its rows.
-    counts = binned.groupBy(*keys, "_bin").agg(F.count(value).alias("_n"), *_partial(stats))
-    by_bin = Window.partitionBy(*keys).orderBy("_bin")
+    # Windows here run over a group's bins, never over its rows.
+    counts = (
+        rows.withColumn("_bin", value_bin(F.col(value), PER_UNIT))
+        .groupBy(*keys, "_bin")
+        .agg(*_bin_counts(value), *_partial(stats))
+    )
     profile = counts.withColumns(
         {
-            "_upto": F.sum("_n").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)),
+            "_upto": _running(*keys, order="_bin"),
             "_total": F.sum("_n").over(Window.partitionBy(*keys)),
         }
     )
-    wanted = []
-    for i, p in enumerate(quantiles.values()):
-        total = F.col("_total")
-        rank = p(total) if callable(p) else F.greatest(F.ceil(total * F.lit(float(p))), F.lit(1))
-        before = F.col("_upto") - F.col("_n")
-        holds = (before < rank) & (rank <= F.col("_upto"))
-        wanted.append(
-            F.max(
-                F.when(
-                    holds,
-                    F.struct(
-                        F.lit(i).alias("_q"),
-                        F.col("_bin").alias("_in_bin"),
-                        (rank - before).alias("_rank"),
-                    ),
-                )
-            ).alias(f"_find_{i}")
+    total = F.col("_total")
+    ranks = [
+        p(total) if callable(p) else F.greatest(F.ceil(total * F.lit(float(p))), F.lit(1))
+        for p in quantiles.values()
+    ]
+    names = [f"_find_{i}" for i in range(len(ranks))]
+    groups = cut_lineage(
+        profile.groupBy(*keys).agg(
+            *_merged(stats), *[_find(rank, i).alias(names[i]) for i, rank in enumerate(ranks)]
         )
-    groups = cut_lineage(profile.groupBy(*keys).agg(*_merged(stats), *wanted))
-
-    finds = F.filter(
-        F.array(*[F.col(f"_find_{i}") for i in range(len(wanted))]), lambda find: find.isNotNull()
-    )
-    targets = broadcast_if_small(
-        groups.select(*_renamed_keys(keys), F.inline(finds)), TARGET_BYTES, broadcast_bytes
     )
+    found = F.filter(F.array(*names), lambda find: find.isNotNull())
+    targets = cut_lineage(groups.select(*_renamed_keys(keys), F.inline(found)))
+
+    settled, targets = _settle(targets)
+    answers = [settled]
+    per_unit = PER_UNIT
+    for _ in range(LEVELS):
+        left = targets.agg(F.count(F.lit(1)).alias("open"), F.max("_held").alias("held")).first()
+        if not left.open:
+            break
+        last = left.held <= bin_rows or per_unit >= PER_UNIT * FINER ** (LEVELS - 1)
+        inside = _rows_of_bins(rows, keys, value, targets, per_unit, broadcast_bytes)
+        if last:
+            answers.append(_rank_values(inside, keys, value))
+            break
+        per_unit *= FINER
+        targets = cut_lineage(_divide(inside, keys, value, per_unit))
+        settled, targets = _settle(targets)
+        answers.append(settled)
 
-    tied = (
-        binned.select(*keys, value, "_bin")
-        .join(targets, _same_keys(keys) & (F.col("_bin") == F.col("_in_bin")))
-        .groupBy(*keys, "_q", "_rank", value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    by_value = Window.partitionBy(*keys, "_q").orderBy(value)
-    upto = F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
     picks = (
-        tied.withColumn("_upto", upto)
-        .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-        .groupBy(*_renamed_keys(keys))
+        reduce(DataFrame.unionByName, answers)
+        .groupBy(*[f"_of_{key}" for key in keys])
         .agg(
             *[
-                F.max(F.when(F.col("_q") == i, F.col(value))).alias(name)
+                F.max(F.when(F.col("_q") == i, F.col("_answer"))).alias(name)
                 for i, name in enumerate(quantiles)
             ]
         )
@@ -159,6 +192,62 @@ def grouped_quantiles(
     return groups.join(picks, _same_keys(keys), "left").select(*keys, *stats, *quantiles)
 
 
+def _settle(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A bin whose smallest and largest value agree needs no further look."""
+    one_value = F.col("_lo") == F.col("_hi")
+    keys = [name for name in targets.columns if name.startswith("_of_")]
+    settled = targets.filter(one_value).select(*keys, "_q", F.col("_lo").alias("_answer"))
+    return settled, targets.filter(~one_value).drop("_lo", "_hi")
+
+
+def _rows_of_bins(
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    targets: DataFrame,
+    per_unit: int,
+    broadcast_bytes: int | None,
+) -> DataFrame:
+    """The rows that fall into a wanted bin, once per quantile that wants it."""
+    wanted = broadcast_if_small(targets.drop("_held"), TARGET_BYTES, broadcast_bytes)
+    placed = rows.select(*keys, value, value_bin(F.col(value), per_unit).alias("_bin"))
+    same_bin = F.col("_bin") == F.col("_in_bin")
+    return placed.join(wanted, _same_keys(keys) & same_bin).select(*keys, value, "_q", "_rank")
+
+
+def _divide(inside: DataFrame, keys: Sequence[str], value: str, per_unit: int) -> DataFrame:
+    """Find each rank's bin among the finer bins of the bin that held it."""
+    finer = (
+        inside.withColumn("_bin", value_bin(F.col(value), per_unit))
+        .groupBy(*keys, "_q", "_rank", "_bin")
+        .agg(*_bin_counts(value))
+        .withColumn("_upto", _running(*keys, "_q", order="_bin"))
+    )
+    before = F.col("_upto") - F.col("_n")
+    return finer.filter((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))).select(
+        *_renamed_keys(keys),
+        "_q",
+        F.col("_bin").alias("_in_bin"),
+        (F.col("_rank") - before).alias("_rank"),
+        F.col("_n").alias("_held"),
+        "_lo",
+        "_hi",
+    )
+
+
+def _rank_values(inside: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Count equal values together and pick the one that holds the rank."""
+    tied = (
+        inside.groupBy(*keys, "_q", "_rank", value)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", _running(*keys, "_q", order=value))
+    )
+    before = F.col("_upto") - F.col("_n")
+    return tied.filter((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))).select(
+        *_renamed_keys(keys), "_q", F.col(value).alias("_answer")
+    )
+
+
 def grouped_median(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "median", digits: int = 2
 ) -> DataFrame:

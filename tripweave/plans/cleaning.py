@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripweave.functions import trip_columns as tc
 from tripweave.operators import quality
 from tripweave.schema import FIRST_YEAR, LAST_YEAR, TIP_INPUT_COLUMNS
-from tripweave.sources.tripdata import normalise, union_trips
+from tripweave.sources.tripdata import TAG_COLUMNS, normalise, union_trips
 
 # Columns the time table does not keep.
 TIME_DROPS = (
@@ -34,11 +34,12 @@ TIME_DROPS = (
 
 
 def clean_general(parts: Sequence[DataFrame]) -> DataFrame:
-    """Card-paid trips with a distance and a bill, in ten columns."""
+    """Card-paid trips with a distance and a bill, in ten columns and the tags of their file."""
     rides = union_trips(parts)
     rides = quality.paid_by(rides, 1)
     rides = quality.total_positive(quality.distance_within(rides))
-    return rides.select(*TIP_INPUT_COLUMNS).withColumn(
+    tags = [name for name in TAG_COLUMNS if name in rides.columns]
+    return rides.select(*TIP_INPUT_COLUMNS, *tags).withColumn(
         "payment_type", F.col("payment_type").cast("int")
     )
 
