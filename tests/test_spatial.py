@@ -68,9 +68,12 @@ def test_wkt(spark):
     assert parsed[1] == [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.5], [0.0, 0.0]]]]
     assert parsed[2][0][0][0] == [-1.0, -2.5]
     assert parsed[3] is None and parsed[4] is None
-    points = spark.createDataFrame([("POINT (-73.9 40.7)",), ("point(1 2)",), ("x",)], "t string")
-    found = [tuple(r[0]) for r in points.select(geo.wkt_point(F.col("t"))).collect()]
-    assert found == [(-73.9, 40.7), (1.0, 2.0), (None, None)]
+    texts = ["POINT (-73.9 40.7)", "point(1 2)", "  Point\t( 1e-3 \n  -2.5 )  ", "x", "POINT Z (1 2 3)",
+             "POINT (1 2 3)", "MULTIPOINT (1 2)", "POINT EMPTY", "POINT (a b)", "POINT (1)"]
+    points = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in points.select(geo.wkt_point(F.col("t"))).collect()]
+    assert found[:3] == [["-73.9", "40.7"], ["1", "2"], ["1e-3", "-2.5"]]
+    assert all(pair == [""] for pair in found[3:])
 
 
 def test_holes_and_borders(spark):
@@ -100,7 +103,7 @@ def zone_table(spark, layout):
     return spark.createDataFrame(rows, "LocationID long, zone string, borough string, the_geom string")
 
 
-@pytest.mark.parametrize(("cell", "limit"), [(0.4, None), (1.0, None), (50.0, None), (1.0, 0)])
+@pytest.mark.parametrize(("cell", "limit"), [(0.05, None), (0.4, None), (1.0, None), (50.0, None), (1.0, 0)])
 def test_points_get_the_first_zone_in_order(spark, layout, cell, limit):
     rng = random.Random(7)
     points = [(i, rng.uniform(-8, 8), rng.uniform(-8, 8)) for i in range(400)]

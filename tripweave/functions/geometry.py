@@ -16,14 +16,13 @@ NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 
 def wkt_point(text: Column) -> Column:
-    """``POINT (x y)`` as a struct of x and y."""
-    pattern = rf"(?i)^\s*POINT\s*\(\s*({NUMBER})\s+({NUMBER})\s*\)\s*$"
+    """``POINT (x y)`` as an array of its two numbers' texts; an empty text for anything else.
 
-    def part(i: int) -> Column:
-        found = F.regexp_extract(text, pattern, i)
-        return F.when(found != "", found).cast("double")
-
-    return F.struct(part(1).alias("x"), part(2).alias("y"))
+    Callers keep the array as a column and cast its items: items of a parsed struct would be parsed
+    again wherever they are used.
+    """
+    pattern = rf"(?i)^\s*POINT\s*\(\s*({NUMBER}\s+{NUMBER})\s*\)\s*$"
+    return F.split(F.regexp_extract(text, pattern, 1), r"\s+")
 
 
 def wkt_polygons(text: Column) -> Column:

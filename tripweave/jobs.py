@@ -1,4 +1,4 @@
-"""Command line jobs: ``spark-submit -m``-style entry points that read tables and write reports.
+"""Command line jobs that read tables and write reports.
 
     python -m tripweave.jobs JOB --help
 """

@@ -100,8 +100,13 @@ def _zone_grid(
         ),
     )
     local = spread.withColumn("_edges", clipped).filter(F.size("_edges") > 0)
+    # A zone without a side near the cell that holds its middle holds all of it.
+    right = (F.col("_cx") + 1) * F.col("_size") + margin
+    far = ~F.exists(F.col("_edges"), lambda e: F.least(e["ax"], e["bx"]) <= right)
+    middle = [(F.col(c) + 0.5) * F.col("_size") for c in ("_cx", "_cy")]
+    local = local.withColumn("_whole", far & geo.inside(F.col("_edges"), *middle))
     candidate = F.struct(
-        F.col(order).alias("_order"), *[c for c in keep], "_box", "_edges", "_starts"
+        F.col(order).alias("_order"), *[c for c in keep], "_box", "_edges", "_starts", "_whole"
     )
     grid = local.groupBy("_level", "_cx", "_cy").agg(
         F.array_sort(
@@ -119,9 +124,14 @@ def _zone_grid(
     return broadcast_if_small(grid, near_bytes, broadcast_bytes)
 
 
-def _first_match(rows: DataFrame, grid: DataFrame, keep: Sequence[str], test) -> DataFrame:
+def _first_match(
+    rows: DataFrame, grid: DataFrame, keep: Sequence[str], test, skip_test: Column
+) -> DataFrame:
+    """``skip_test``: being in a cell that the first zone holds wholly is a match."""
     joined = rows.join(grid, ["_level", "_cx", "_cy"], "left")
-    match = F.get(F.filter(F.col("_near"), test), F.lit(0))
+    first = F.get(F.col("_near"), F.lit(0))
+    tested = F.get(F.filter(F.col("_near"), test), F.lit(0))
+    match = F.when(skip_test & first["_whole"], first).otherwise(tested)
     own = [c for c in rows.columns if not c.startswith("_")]
     return joined.select(*own, match.alias("_match")).select(
         *own, *[F.col("_match")[c].alias(c) for c in keep]
@@ -135,17 +145,21 @@ def match_points(
     order: str = "LocationID",
     point_wkt: str = "the_geom",
     zone_wkt: str = "the_geom",
-    cell: float = 1.0,
+    cell: float = 0.25,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add the columns of the first zone that strictly contains each point.
 
-    ``cell`` should be about as wide as a typical zone.
+    ``cell`` should be well below the width of a typical zone: points in cells that one zone holds
+    wholly need no test.
     """
     grid = _zone_grid(zones, keep, order, zone_wkt, cell, 1, broadcast_bytes)
     placed = points.withColumn("_point", geo.wkt_point(F.col(point_wkt)))
+    placed = placed.withColumns(
+        {name: F.get("_point", F.lit(i)).try_cast("double") for i, name in enumerate(("_x", "_y"))}
+    )
     size = F.lit(float(cell))
-    x, y = F.col("_point.x"), F.col("_point.y")
+    x, y = F.col("_x"), F.col("_y")
     filed = placed.withColumns(
         {"_level": F.lit(0), "_cx": _cell_of(x, size), "_cy": _cell_of(y, size)}
     )
@@ -158,7 +172,7 @@ def match_points(
             & geo.strictly_inside(zone["_edges"], x, y)
         )
 
-    return _first_match(filed, grid, keep, contains)
+    return _first_match(filed, grid, keep, contains, F.lit(True))
 
 
 def match_areas(
@@ -208,4 +222,4 @@ def match_areas(
             F.col("_edges"), F.col("_starts"), zone["_edges"], zone["_starts"]
         )
 
-    return _first_match(filed, grid, keep, meets)
+    return _first_match(filed, grid, keep, meets, F.lit(False))

@@ -19,7 +19,7 @@ def _zone_columns(matched: DataFrame) -> DataFrame:
     return matched.withColumnRenamed("LocationID", "ID")
 
 
-def point_zones(points: DataFrame, zones: DataFrame, cell: float = 1.0) -> DataFrame:
+def point_zones(points: DataFrame, zones: DataFrame, cell: float = 0.25) -> DataFrame:
     """Each stop with the first zone that contains it; stops outside all zones stay."""
     return _zone_columns(match_points(points, zones, cell=cell)).drop("the_geom")
 
