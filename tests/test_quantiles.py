@@ -37,7 +37,7 @@ def rows():
     return made
 
 
-@pytest.mark.parametrize(("limit", "bin_rows"), [(None, 1_000_000), (0, 1_000_000), (None, 20), (None, 0)])
+@pytest.mark.parametrize(("limit", "bin_rows"), [(2**26, 1_000_000), (0, 1_000_000), (2**26, 20), (0, 0)])
 def test_equals_sorting(spark, rows, limit, bin_rows):
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
     stats = {"n": ("count", None), "known": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v"),

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.session import broadcast_if_small, cut_lineage
+from tripweave.session import BROADCAST_BYTES, cut_lineage
 
 # name of the result column -> (aggregate, source column)
 Stats = Mapping[str, tuple[str, str | None]]
@@ -112,7 +112,7 @@ def grouped_quantiles(
     stats: Stats | None = None,
     accuracy: int | None = None,
     bin_rows: int = BIN_ROWS,
-    broadcast_bytes: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per group: the wanted quantiles of ``value`` and the wanted aggregates.
 
@@ -160,9 +160,7 @@ def grouped_quantiles(
         )
     )
     found = F.filter(F.array(*names), lambda find: find.isNotNull())
-    targets = cut_lineage(groups.select(*_renamed_keys(keys), F.inline(found)))
-
-    settled, targets = _settle(targets)
+    settled, targets = _settle(groups.select(*_renamed_keys(keys), F.inline(found)))
     answers = [settled]
     per_unit = PER_UNIT
     for _ in range(LEVELS):
@@ -170,7 +168,10 @@ def grouped_quantiles(
         if not left.open:
             break
         last = left.held <= bin_rows or per_unit >= PER_UNIT * FINER ** (LEVELS - 1)
-        inside = _rows_of_bins(rows, keys, value, targets, per_unit, broadcast_bytes)
+        wanted = targets.drop("_held")
+        if left.open * TARGET_BYTES <= broadcast_bytes:
+            wanted = F.broadcast(wanted)
+        inside = _rows_of_bins(rows, keys, value, wanted, per_unit)
         if last:
             answers.append(_rank_values(inside, keys, value))
             break
@@ -204,12 +205,10 @@ def _rows_of_bins(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
-    targets: DataFrame,
+    wanted: DataFrame,
     per_unit: int,
-    broadcast_bytes: int | None,
 ) -> DataFrame:
     """The rows that fall into a wanted bin, once per quantile that wants it."""
-    wanted = broadcast_if_small(targets.drop("_held"), TARGET_BYTES, broadcast_bytes)
     placed = rows.select(*keys, value, value_bin(F.col(value), per_unit).alias("_bin"))
     same_bin = F.col("_bin") == F.col("_in_bin")
     return placed.join(wanted, _same_keys(keys) & same_bin).select(*keys, value, "_q", "_rank")
