@@ -66,7 +66,7 @@ def facility_map(zones: DataFrame, **measures: DataFrame) -> DataFrame:
 def parking_counterexamples(
     totals: DataFrame, lots: DataFrame, zones: DataFrame, each: int = 5
 ) -> DataFrame:
-    """Zones where traffic and parking rank alike, against the idea that parking replaces taxis.
+    """Zones where traffic and parking rank alike, against the idea that parking replaces trips.
 
     Zones are halved by trip count (per direction) and by lot count or lot area; a zone whose
     halves agree is a counterexample. The busiest and the quietest few of every comparison count.
