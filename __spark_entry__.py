@@ -27,6 +27,14 @@ from tripweave.session import cut_lineage  # noqa: E402
 from tripweave.sources import lookups, sample_tables  # noqa: E402
 from tripweave.sources.tripdata import trips_union  # noqa: E402
 
+try:  # the training-text operators are optional: the library works without them
+    import corpus_pipeline
+    from tripweave.llm import queries as text_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tripweave.llm"):
+        raise
+    text_queries = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Location reports keep zones with more trips than this, as in the published ">100" reports.
@@ -349,6 +357,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per named analysis; each takes (spark, sf_dir)."""
+    found = trip_queries()
+    if text_queries:
+        found |= text_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def trip_queries() -> dict[str, Query]:
     return {
         # cleaning
         "etl_general": _etl_general,
@@ -467,4 +482,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL; sampled and fitted results have none."""
-    return oracle_queries.all_queries()
+    found = oracle_queries.all_queries()
+    if text_queries:
+        found |= text_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
