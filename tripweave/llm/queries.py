@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import byte_bpe, license_scan, line_dedup, sharding
+from tripweave.llm import (
+    byte_bpe,
+    decontaminate,
+    language_id,
+    license_scan,
+    line_dedup,
+    quality_rules,
+    sharding,
+    toxicity,
+)
+from tripweave.session import broadcast_if_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +42,50 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents)
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: CRC-32 of its id as text, modulo 5."""
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(number.cast("binary")) % 5 == 0
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(documents.where(~held_out()))
+    found = language_id.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held_out()))
+    judged = toxicity.judge(documents, model)
+    return judged.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    # Ids of trusted documents; beyond a measured size the join is shuffled.
+    trusted = broadcast_if_small(
+        labels.where("quality = 1 AND doc_id IS NOT NULL")
+        .select(F.col("doc_id").alias("__trusted"))
+        .distinct(),
+        16,
+    )
+    marked = documents.join(trusted, F.col("doc_id") == F.col("__trusted"), "left")
+    counts = quality_rules.bucket_counts(marked, F.col("text"), F.col("__trusted").isNotNull())
+    return quality_rules.judge(documents, quality_rules.log_ratios(counts.collect())).drop("text")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(documents, table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated"
+    )
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -52,9 +106,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_language_id": op2_language_id,
+        "op3_toxicity": op3_toxicity,
+        "op4_quality_rules": op4_quality_rules,
         "op7_license_scan": op7_license_scan,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_sharding": op9_sharding,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
