@@ -24,8 +24,8 @@ from pyspark.sql.functions import arrow_udf
 from tripweave.llm import text_blocks
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0  # added to every bucket of both multinomials
-THRESHOLD = -0.12  # mean log ratio that a kept document reaches
+SMOOTHING = 10.0  # trusted n-grams added to every bucket of both multinomials
+THRESHOLD = -0.1  # mean log ratio that a kept document reaches
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 REPEAT_WINDOW = 3
@@ -80,14 +80,16 @@ def bucket_counts(df: DataFrame, text: Column, trusted: Column) -> DataFrame:
 
 def log_ratios(counts: list) -> np.ndarray:
     """Log of trusted over raw probability per bucket; all 0 without trusted n-grams."""
-    raw = np.full(BUCKETS, SMOOTHING)
-    target = np.full(BUCKETS, SMOOTHING)
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counts:
         raw[row.bucket] += row.raw
         target[row.bucket] += row.target
-    if not any(row.target for row in counts):
+    if not target.any():
         return np.zeros(BUCKETS)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    # Raw counts are scaled to as many n-grams as were trusted. So smoothing weighs the same on both
+    # sides, and a rare n-gram that no trusted document happens to hold says little.
+    scaled = raw * (target.sum() / raw.sum())
+    return np.log(target + SMOOTHING) - np.log(scaled + SMOOTHING)
 
 
 def _repeated(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
