@@ -13,6 +13,7 @@ from tripweave.llm import (
     language_id,
     license_scan,
     line_dedup,
+    ngram_join,
     quality_rules,
     sharding,
     toxicity,
@@ -86,6 +87,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_join.find_components(documents)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -109,6 +116,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": op2_language_id,
         "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
+        "op6_ngram_join": op6_ngram_join,
         "op7_license_scan": op7_license_scan,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_sharding": op9_sharding,
