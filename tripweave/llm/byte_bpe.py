@@ -250,8 +250,8 @@ class Tokenizer:
             yield data, machine.feed(data)
         yield b"", machine.close()
 
-    def digest(self, text: str) -> tuple[int, str, str, bool]:
-        """Token count, SHA-256 of the ids and of the decoded bytes, whether the text came back."""
+    def digest(self, text: str) -> tuple[int, str, str, bool, np.ndarray]:
+        """Token count, SHA-256 of ids and of decoded bytes, whether the text came back, the ids."""
         ids = self.encode(text)
         decoded, at, same = hashlib.sha256(), 0, True
         for data, piece in self.stream(ids):
@@ -263,6 +263,7 @@ class Tokenizer:
             hashlib.sha256(ids.tobytes()).hexdigest(),
             decoded.hexdigest(),
             same and at == len(text),
+            ids,
         )
 
 
@@ -284,19 +285,27 @@ def _each(data: bytes, pattern: str, function, kind: pa.DataType):
     return run
 
 
-DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,round_trip:boolean>"
+DIGEST = (
+    "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,round_trip:boolean,ids:array<int>>"
+)
 _DIGEST = pa.struct(
     [
         ("n_tokens", pa.int64()),
         ("ids_sha256", pa.string()),
         ("decoded_sha256", pa.string()),
         ("round_trip", pa.bool_()),
+        ("ids", pa.list_(pa.int32())),
     ]
 )
 
 
 def _digest_row(tokenizer: Tokenizer, text: str | None) -> dict:
-    return dict(zip(_DIGEST.names, tokenizer.digest(text or "")))
+    row = dict(zip(_DIGEST.names, tokenizer.digest(text or "")))
+    return row | {"ids": row["ids"].astype("int32")}
+
+
+def _short_digest_row(tokenizer: Tokenizer, text: str | None) -> dict:
+    return dict(zip(_DIGEST.names, tokenizer.digest(text or "")[:-1]))
 
 
 def _ids_row(tokenizer: Tokenizer, text: str | None) -> np.ndarray:
@@ -329,15 +338,23 @@ def decoded_text(ids: Column, ranks: bytes, pattern: str) -> Column:
     return decode(ids)
 
 
-def token_digest(df: DataFrame, text: str, ranks: bytes, pattern: str) -> DataFrame:
-    """Encode and decode ``text``; adds n_tokens, ids_sha256, decoded_sha256 and round_trip."""
+def token_digest(
+    df: DataFrame, text: str, ranks: bytes, pattern: str, ids: str | None = None
+) -> DataFrame:
+    """Encode and decode ``text``; adds n_tokens, ids_sha256, decoded_sha256 and round_trip.
+
+    With a name in ``ids`` the token ids are a column too.
+    """
+    row = _digest_row if ids else _short_digest_row
 
     @arrow_udf(DIGEST)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _each(ranks, pattern, _digest_row, _DIGEST)(batches)
-
-    added = ("n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
-    kept = [F.col(f"`{name}`") for name in df.columns if name not in added]
-    return df.select(*kept, digest(F.col(text)).alias("__digest")).select(
-        *[c for c in df.columns if c not in added], "__digest.*"
-    )
+        yield from _each(ranks, pattern, row, _DIGEST)(batches)
+
+    added = ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
+    kept = [name for name in df.columns if name not in (*added, ids)]
+    digested = df.select(*[F.col(f"`{name}`") for name in kept], digest(F.col(text)).alias("__digest"))
+    results = [F.col(f"__digest.{name}") for name in added]
+    if ids:
+        results.append(F.col("__digest.ids").alias(ids))
+    return digested.select(*[F.col(f"`{name}`") for name in kept], *results)

@@ -196,7 +196,8 @@ def hits(windows: Windows, text: Column) -> Column:
                     rows.append((len(own), turns.tolist(), sorted(listed.get(t, ()))))
             yield pa.array([dict(zip(("n_words", "spans", "items"), r)) for r in rows], _HITS)
 
-    return find(text)
+    # Declared nondeterministic so that a filter on the result does not search twice.
+    return find.asNondeterministic()(text)
 
 
 def _merged_length(spans: list[list[int]]) -> int:

@@ -24,7 +24,6 @@ are 58-bit hashes with their rarity, so equality holds but for chance.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tripweave.llm import text_blocks
-from tripweave.session import broadcast_if_small, ensure_checkpoint_dir
+from tripweave.llm.storage import stored
+from tripweave.session import broadcast_if_small
 
 PERCENT = 90
 WORDS = 3
@@ -57,14 +57,6 @@ def _hasher() -> text_blocks.Hasher:
     return text_blocks.Hasher(seed=11, fold=_LOWER)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder as a table, so that later steps read their columns only."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_rarity(df: DataFrame, text: Column, buckets: int = RARITY_BUCKETS) -> np.ndarray:
     """Log2 of the occurrences of the words of each bucket over all texts (at most ``buckets`` rows)."""
 

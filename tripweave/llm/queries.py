@@ -17,6 +17,7 @@ from tripweave.llm import (
     quality_rules,
     sharding,
     toxicity,
+    warc,
 )
 from tripweave.session import broadcast_if_small
 
@@ -87,6 +88,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder, _, top = warc.archive_pages(pages)
+    return warc.look_up(pages.select("page_id", "url"), folder, top)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = ngram_join.find_components(documents)
@@ -116,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": op2_language_id,
         "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
+        "op5_warc": op5_warc,
         "op6_ngram_join": op6_ngram_join,
         "op7_license_scan": op7_license_scan,
         "op8_byte_bpe": op8_byte_bpe,
