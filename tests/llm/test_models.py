@@ -1,0 +1,170 @@
+"""Language, toxicity and quality models: learning, held-out accuracy and defined cases."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tripweave.llm import language_id, quality_rules, toxicity
+from tripweave.llm import queries as text_queries
+
+LANGUAGES = {"aa": "ka lo mi tu ne so".split(), "bb": "schr pfl zwei acht über".split()}
+
+
+def sentences(rng, lang, n):
+    return " ".join("".join(rng.choices(LANGUAGES[lang], k=2)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def language_model(documents_of):
+    rng = random.Random(1)
+    rows = [(i, sentences(rng, l, 30), l) for i, l in enumerate(["aa", "bb"] * 60)]
+    return language_id.fit(documents_of(rows))
+
+
+def test_language_of_new_texts(language_model, documents_of):
+    rng = random.Random(2)
+    rows = [(i, sentences(rng, l, 12), l) for i, l in enumerate(["aa", "bb"] * 20)]
+    for row in language_id.identify(documents_of(rows), language_model).collect():
+        assert row.lang_pred == row.lang and not row.rejected and 0.5 < row.score <= 1
+
+
+def test_strange_and_wordless_texts_are_rejected(language_model, odd, empty, documents_of):
+    strange = language_id.identify(documents_of([(1, "Ωμέγα жизнь 漢字 ليس " * 5)]), language_model).first()
+    assert strange.rejected
+    found = {(r.doc_id, r.text): r for r in language_id.identify(odd, language_model).collect()}
+    for key in [(1, None), (2, ""), (6, "…§¶ ‑‑ ★")]:
+        assert (found[key].lang_pred, found[key].score, found[key].rejected) == ("und", 0.0, True)
+    assert language_id.identify(empty, language_model).count() == 0
+
+
+def test_without_labels_nothing_is_known(odd, documents_of):
+    model = language_id.fit(odd)
+    assert model is None
+    assert {r.lang_pred for r in language_id.identify(odd, model).collect()} == {"und"}
+    one = language_id.fit(documents_of([(1, "only one label", "xx")]))
+    row = language_id.identify(documents_of([(2, "more words")]), one).first()
+    assert (row.lang_pred, row.score) == ("xx", 1.0)
+
+
+def test_columns_of_results_are_replaced(language_model, documents_of):
+    frame = documents_of([(1, "kalo", "aa")]).withColumn("score", F.lit("mine")).withColumn("rejected", F.lit(3))
+    row = language_id.identify(frame, language_model).first()
+    assert row.asDict().keys() >= {"lang", "source"} and isinstance(row.score, float)
+
+
+def test_held_out_language_accuracy(spark, small):
+    found = text_queries.queries()["op2_language_id"](spark, small)
+    truth = text_queries.table(spark, small, "documents").select("doc_id", "lang")
+    rows = found.where("held_out").join(truth, "doc_id").collect()
+    assert len(rows) > 20 and sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
+
+
+def labelled(spark, documents_of, groups):
+    rng = random.Random(3)
+    plain = "the weather report says that it will rain over hills and towns".split()
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        words = rng.choices(plain, k=10) + (["awful"] if bad else [])
+        # In the labelled texts one group is named more often where the text is toxic.
+        words.append(groups[0] if bad or i % 9 == 0 else groups[1])
+        rng.shuffle(words)
+        rows.append((i, f"{i} " + " ".join(words)))
+        labels.append((i, int(bad)))
+    return documents_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_swapping_group_names_hardly_moves_the_score(spark, documents_of, monkeypatch):
+    documents, labels = labelled(spark, documents_of, ("muslim", "christian"))
+    probe = documents_of([(1, "a muslim family in town"), (2, "a christian family in town"), (3, "awful")])
+
+    def scores(penalty):
+        monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+        monkeypatch.setattr(toxicity.train, "__defaults__", (penalty,))
+        rows = toxicity.judge(probe, toxicity.fit(documents, labels)).collect()
+        return {r.doc_id: r.score for r in rows}
+
+    free, bound = scores(0.0), scores(50.0)
+    assert free[1] - free[2] > 3 * abs(bound[1] - bound[2])
+    assert bound[1] < 0.5 and bound[3] > 0.5
+
+
+def test_toxicity_of_odd_texts(spark, documents_of, odd, empty):
+    documents, labels = labelled(spark, documents_of, ("women", "men"))
+    model = toxicity.fit(documents, labels)
+    rows = toxicity.judge(odd, model).collect()
+    assert len(rows) == 12 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    by_id = {r.doc_id: r.score for r in rows}
+    assert by_id[1] == by_id[2] == by_id[3]
+    assert toxicity.judge(empty, model).count() == 0
+
+
+def test_toxicity_without_or_with_one_label(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.judge(odd, toxicity.fit(odd, none)).collect()} == {0.0}
+    mixed = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1)], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity.judge(odd, toxicity.fit(odd, mixed)).collect()} == {1}
+
+
+def test_toxic_words_are_caught(spark):
+    folder = "/root/testdata/sf0.01"
+    found = text_queries.queries()["op3_toxicity"](spark, folder)
+    texts = text_queries.table(spark, folder, "documents").select("doc_id", F.lower("text").alias("t"))
+    rows = found.join(texts, "doc_id").collect()
+    bad = [len(re.findall(r"\b(?:trash|pathetic|idiot|worthless|disgusting|stupid|clown|scum|loser|moron)\b", r.t)) for r in rows]
+    many = [r.predicted for r, n in zip(rows, bad) if n >= 4]
+    none = [r.predicted for r, n in zip(rows, bad) if n == 0]
+    assert np.mean(many) > 0.9 and np.mean(none) < 0.05
+
+
+def base_figures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    seen, later = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            later += line in seen
+            seen.add(line)
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(words), sum(map(len, words)), symbols, later, len(covered)
+
+
+def test_base_figures_of_all_sample_texts(spark, small, odd):
+    ratios = np.zeros(quality_rules.BUCKETS)
+    texts = text_queries.table(spark, small, "documents").select("doc_id", "text")
+    twice = odd.select("doc_id", F.concat_ws("\n", "text", "text", F.lit("a b a b a b a")).alias("text"))
+    for row in quality_rules.judge(texts.union(odd.select("doc_id", "text")).union(twice), ratios).collect():
+        got = (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words)
+        assert got == base_figures(row.text)
+        assert row.base_failed == (got[0] < 50 or 100 * got[4] > 50 * got[0])
+        assert not (row.kept and row.base_failed)
+
+
+def test_untrusted_style_falls_below_the_threshold(documents_of):
+    rng = random.Random(4)
+    good = "rain falls over hills and towns while people walk home slowly".split()
+    rows = [(i, " ".join(rng.choices(good, k=80))) for i in range(60)]
+    rows += [(100 + i, " ".join(w + "$$$" for w in rng.choices(good, k=80))) for i in range(20)]
+    frame = documents_of(rows)
+    counts = quality_rules.bucket_counts(frame, F.col("text"), F.col("doc_id") < 30).collect()
+    found = quality_rules.judge(frame, quality_rules.log_ratios(counts)).collect()
+    assert {r.doc_id for r in found if r.kept} == set(range(60))
+
+
+def test_counts_cover_every_ngram(odd):
+    words = sum(len((r.text or "").split()) for r in odd.collect())
+    pairs = sum(max(len((r.text or "").split()) - 1, 0) for r in odd.collect())
+    counts = quality_rules.bucket_counts(odd, F.col("text"), F.lit(None).cast("boolean")).collect()
+    assert sum(r.raw for r in counts) == words + pairs and not any(r.target for r in counts)
+    assert not quality_rules.log_ratios(counts).any()
+
+
+def test_quality_of_an_empty_table(empty):
+    assert quality_rules.bucket_counts(empty, F.col("text"), F.lit(True)).count() == 0
+    assert quality_rules.judge(empty, np.zeros(quality_rules.BUCKETS)).count() == 0

@@ -34,11 +34,12 @@ BUCKETS = 1 << 14
 DIMENSIONS = 16
 SIZES = (1, 2, 3)
 EPOCHS = 6
+LEAST_STEPS = 400  # a small sample is passed more often
 BATCH = 64
 RATE = 0.5
 CALIBRATION_SHARE = 5  # one in so many sampled rows calibrates
 REJECTED_SHARE = 0.001  # of rightly labelled texts that may be rejected
-HIGHEST_THRESHOLD = 0.5
+HIGHEST_THRESHOLD = 0.6
 
 # Bytes of letters: ASCII letters and all of non-ASCII; the text is lower-cased by Spark before.
 _LETTERS = text_blocks.byte_class(lambda b: b >= 0x80 or 0x61 <= b <= 0x7A)
@@ -173,9 +174,11 @@ def train(rows: list, seed: int = 7) -> Model | None:
     bias = np.zeros(len(labels), np.float32)
     layer += rng.normal(0, 0.1, layer.shape).astype(np.float32)
     averages = np.zeros((BATCH, BUCKETS), np.float32)
-    steps = EPOCHS * max(1, -(-len(fit) // BATCH))
+    batches = -(-len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps = epochs * batches
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(fit))
         for begin in range(0, len(fit), BATCH):
             part = [fit[i] for i in order[begin : begin + BATCH]]
