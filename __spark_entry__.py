@@ -211,15 +211,24 @@ def _tip_class_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _speed_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.fit_speed_model(_place_rides(spark, sf_dir)).report()
+    return models.search_speed_model(_place_rides(spark, sf_dir)).table()
 
 
 def _speed_gbt_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.fit_speed_model(_flow_rides(spark, sf_dir), models.FLOW_FEATURES).report()
+    return models.search_speed_model(_flow_rides(spark, sf_dir), models.FLOW_FEATURES).table()
 
 
 def _speed_gbt_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.fit_speed_model(_weather_rides(spark, sf_dir), models.WEATHER_FEATURES).report()
+    return models.search_speed_model(_weather_rides(spark, sf_dir), models.WEATHER_FEATURES).table()
+
+
+def _speed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.split_figures(_speed_rides(spark, sf_dir), "speed"), "mean")
+
+
+def _tip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = models.tip_regression_rides(sample_tables.trips(spark, sf_dir))
+    return rounded(models.split_figures(rides, "tip_amount"), "mean")
 
 
 def _tip_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +420,7 @@ def trip_queries() -> dict[str, Query]:
         "speed_histogram": _on_speed(speed.speed_histogram, "bin_start", "bin_end"),
         "duration_histogram": _on_speed(speed.duration_histogram, "bin_start", "bin_end"),
         "speed_weekday_hour_pivot": _pivot,
-        "tip_speed_points": _on_speed(speed.tip_speed_points),
+        "tip_speed_points": _on_speed(speed.tip_speed_points, "speed", "tip_percentage"),
         "zone_speed_map": _zone_speed_map,
         # tips
         "tip_by_vendor": lambda s, d: rounded(tips.tip_by_vendor(_features(s, d)), "mean"),
@@ -472,6 +481,8 @@ def trip_queries() -> dict[str, Query]:
         "speed_features_weather": _speed_features_weather,
         "tip_regression_features": _tip_regression_features,
         "tip_class_features": _tip_class_features,
+        "speed_split": _speed_split,
+        "tip_split": _tip_split,
         "speed_gbt": _speed_gbt,
         "speed_gbt_flow": _speed_gbt_flow,
         "speed_gbt_weather": _speed_gbt_weather,

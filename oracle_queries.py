@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from tripweave.schema import TIP_RANGE_LABELS
 
+TRIP_KEY = "pickup_datetime::VARCHAR, dropoff_datetime::VARCHAR, PULocationID, DOLocationID"
+TIP_REGRESSION = """trip_distance > 0 AND fare_amount >= 2.5
+    AND tip_amount / (total_amount - tip_amount) < 0.5::DOUBLE"""
+
 TRIPS = """
 base AS (
   SELECT *,
@@ -371,6 +377,31 @@ weather AS (
 )"""
 
 
+def _share(columns: str, seed: int = 17) -> str:
+    """The number that samples and splits draw for a row."""
+    text = f"concat_ws('|', {columns}, '{seed}')"
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+def _poisson_copies(share: str, fraction: float) -> str:
+    """Copies of a row in a sample with replacement: steps of the distribution below its share."""
+    limits, mass, total, k = [], math.exp(-fraction), 0.0, 0
+    while 1.0 - total > 1e-15 and mass > 0.0:
+        total += mass
+        limits.append(min(total, 1.0))
+        k += 1
+        mass *= fraction / k
+    return " + ".join(f"CAST({share} >= {limit!r}::DOUBLE AS INTEGER)" for limit in limits[:-1])
+
+
+def _split(source: str, label: str) -> str:
+    share = _share("pickup_datetime::VARCHAR, PULocationID, DOLocationID")
+    return f"""
+  SELECT part, count(*) AS trips, round(avg({label}), 6) AS mean
+  FROM (SELECT *, CASE WHEN {share} < 0.75::DOUBLE THEN 'train' ELSE 'validation' END AS part FROM {source})
+  GROUP BY part"""
+
+
 def _tip_rides(where: str, columns: str) -> str:
     return f"""WITH {TRIPS}
   SELECT {columns}, PULocationID, DOLocationID, trip_distance, fare_amount,
@@ -408,6 +439,16 @@ def all_queries() -> dict[str, str]:
          CAST(month(pickup_datetime) AS INTEGER) AS file_month
   FROM trips WHERE payment_type IN (1, 2) AND trip_distance > 0 AND total_amount > 0""",
         "etl_time": f"WITH {TIME} SELECT * FROM timed",
+        "tip_speed_points": f"""WITH {SPEED},
+drawn AS (
+  SELECT speed, tip_percentage, unnest(range({_poisson_copies(_share(TRIP_KEY), 0.005)})) FROM rides
+)
+  SELECT round(speed, 6) AS speed, round(tip_percentage, 6) AS tip_percentage
+  FROM drawn WHERE tip_percentage > 0""",
+        "speed_split": f"WITH {SPEED} {_split('rides', 'speed')}",
+        "tip_split": _split(
+            f"({_tip_rides(TIP_REGRESSION, 'pickup_datetime, tip_amount')})", "tip_amount"
+        ),
         "etl_speed": f"WITH {SPEED} {ETL_SPEED}",
         "etl_speed_ref": f"WITH {SPEED_REF} {ETL_SPEED}",
         "trips_union": f"""WITH {TRIPS}
@@ -425,8 +466,7 @@ def all_queries() -> dict[str, str]:
   SELECT {PLACE}, tavg, has_snow, has_rain
   FROM placed JOIN weather ON CAST(pickup_datetime AS DATE) = day""",
         "tip_regression_features": _tip_rides(
-            "trip_distance > 0 AND fare_amount >= 2.5"
-            " AND tip_amount / (total_amount - tip_amount) < 0.5::DOUBLE",
+            TIP_REGRESSION,
             """round(tip_amount / (total_amount - tip_amount) * 100, 6) AS tip_ratio,
          CAST(month(pickup_datetime) AS INTEGER) AS month,
          round((total_amount - fare_amount - tip_amount) / (total_amount - tip_amount), 6)

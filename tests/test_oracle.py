@@ -3,13 +3,13 @@
 import pytest
 
 import __spark_entry__ as registered
+import oracle_queries
 from check_oracle import compare, connect
 
-QUERIES = registered.queries()
-ORACLES = registered.oracle_sql()
-# Sampled or fitted results have no SQL.
+QUERIES = registered.trip_queries()
+ORACLES = oracle_queries.all_queries()
+# Fitted results have no SQL.
 WITHOUT_SQL = {
-    "tip_speed_points",
     "speed_gbt",
     "speed_gbt_flow",
     "speed_gbt_weather",

@@ -26,6 +26,18 @@ from tripweave.schema import BOROUGH_ORDER
 from tripweave.session import cut_lineage
 from tripweave.sources import lookups, sinks, tripdata
 
+# Kinds of cleaning that take every file of the folder unless --years says otherwise.
+ALL_YEARS = ("speed", "union")
+
+
+def _wanted(args: argparse.Namespace, study_years: bool) -> dict:
+    """The months to read: --years and --colors, else the study years or all years."""
+    chosen = {"colors": args.colors} if args.colors else {}
+    if args.years:
+        chosen["years"] = args.years
+    elif not study_years:
+        chosen["years"] = None
+    return chosen
 
 
 def _zone_shapes(spark: SparkSession, path: str) -> DataFrame:
@@ -39,13 +51,14 @@ def _speed_rides(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def clean(spark: SparkSession, args: argparse.Namespace) -> None:
     """Clean the monthly trip files under --raw; --kind names the rules."""
-    raw = tripdata.read_trip_files(spark, args.raw)
+    # The parts keep their own columns, which the payment rules look at.
+    parts = tripdata.read_trip_parts(spark, args.raw, **_wanted(args, args.kind not in ALL_YEARS))
     rules = {
-        "general": lambda: cleaning.clean_general([raw]),
-        "payment": lambda: cleaning.clean_by_payment([raw]),
-        "time": lambda: cleaning.clean_time([raw]),
-        "speed": lambda: cleaning.clean_speed(raw),
-        "union": lambda: tripdata.trips_union([raw]),
+        "general": lambda: cleaning.clean_general(parts),
+        "payment": lambda: cleaning.clean_by_payment(parts),
+        "time": lambda: cleaning.clean_time(parts),
+        "speed": lambda: cleaning.clean_speed(tripdata.union_trips(parts)),
+        "union": lambda: tripdata.trips_union(parts),
     }
     cleaned = rules[args.kind]()
     sinks.write_table(cleaned, args.out, *[c for c in tripdata.TAG_COLUMNS if c in cleaned.columns])
@@ -72,13 +85,12 @@ def time_report(spark: SparkSession, args: argparse.Namespace) -> None:
 def speed_report(spark: SparkSession, args: argparse.Namespace) -> None:
     """Speed per zone, hour, weekday and zone pair, and the speed charts."""
     rides = _speed_rides(spark, args)
-    by_hour = speed.speed_by_hour_weekday(rides)
+    by_hour = cut_lineage(speed.speed_by_hour_weekday(rides))
+    medians = cut_lineage(speed.destination_medians(rides))
     sinks.write_report(speed.zone_speed_box(rides), f"{args.out}/box_plot", ["LocationID"])
     sinks.write_report(by_hour, f"{args.out}/24hour_speed", ["average"])
-    sinks.write_report(speed.slowest_destinations(rides), f"{args.out}/worst10", ["median"])
-    sinks.write_report(
-        speed.fastest_destinations(rides), f"{args.out}/best10", [F.desc("median")]
-    )
+    sinks.write_report(speed.slowest_of(medians), f"{args.out}/worst10", ["median"])
+    sinks.write_report(speed.fastest_of(medians), f"{args.out}/best10", [F.desc("median")])
     sinks.write_report(speed.speed_weekday_hour_pivot(by_hour), f"{args.out}/24hour_pivot", ["weekday"])
     sinks.write_report(speed.speed_histogram(rides), f"{args.out}/speed_distribution", ["bin"])
     sinks.write_report(speed.duration_histogram(rides), f"{args.out}/duration_distribution", ["bin"])
@@ -117,11 +129,10 @@ def borough_report(spark: SparkSession, args: argparse.Namespace) -> None:
     """Speed and trip count per borough pair, ranked and as chord links."""
     rides = _speed_rides(spark, args)
     dim = zones.zone_dimension(_zone_shapes(spark, args.zones))
-    pairs = speed.borough_pair_speed(rides, dim)
-    sinks.write_report(pairs, f"{args.out}/borough_speed", ["PUborough", "DOborough"])
-    sinks.write_report(
-        speed.borough_pair_count(rides, dim), f"{args.out}/borough_count", ["PUborough", "DOborough"]
-    )
+    figures = cut_lineage(speed.borough_pair_figures(rides, dim))
+    pairs, keys = figures.drop("count"), ["PUborough", "DOborough"]
+    sinks.write_report(pairs, f"{args.out}/borough_speed", keys)
+    sinks.write_report(figures.drop("avg_speed"), f"{args.out}/borough_count", keys)
     sinks.write_report(
         speed.borough_pair_ranked(pairs, BOROUGH_ORDER), f"{args.out}/borough_rank", ["avg_speed"]
     )
@@ -187,7 +198,7 @@ def tips_location(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def count_zones(spark: SparkSession, args: argparse.Namespace) -> None:
     """Monthly pickups and dropoffs per zone from the trip files under --raw, and their sums."""
-    raw = tripdata.read_trip_files(spark, args.raw)
+    raw = tripdata.read_trip_files(spark, args.raw, **_wanted(args, study_years=True))
     monthly = zone_counts.monthly_zone_counts(zone_counts.counted_rides(raw))
     table = f"{args.out}/monthly"
     sinks.write_table(monthly, table, "direction", "color", "year", "month")
@@ -249,10 +260,13 @@ def train_speed(spark: SparkSession, args: argparse.Namespace) -> None:
         daily = weather.daily_weather(lookups.read_weather(spark, args.weather))
         rides_in = models.add_weather(rides_in, daily)
         features = models.WEATHER_FEATURES
-    found, table = models.search_speed_model(rides_in, features, args.step_sizes, args.depths)
-    sinks.save_model(found.bestModel, f"{args.out}/model")
-    sinks.write_report(table, f"{args.out}/grid", ["rmse"])
-    weights = models.feature_importances(found.bestModel, features, rides_in)
+    searched = models.search_speed_model(rides_in, features, args.step_sizes, args.depths)
+    for point in searched.points:
+        sinks.save_model(point.model, f"{args.out}/models/{point.step_size}-{point.depth}")
+    best = searched.best()
+    sinks.save_model(best.model, f"{args.out}/model")
+    sinks.write_report(searched.table(), f"{args.out}/grid", ["rmse"])
+    weights = models.feature_importances(best.model, features, rides_in)
     sinks.write_report(weights, f"{args.out}/importances", [F.desc("value")])
 
 
@@ -277,7 +291,13 @@ def _parser() -> argparse.ArgumentParser:
         return sub
 
     kinds = ["general", "payment", "time", "speed", "union"]
-    job(clean, "raw").add_argument("--kind", choices=kinds, required=True)
+    def raw_job(run: Callable) -> argparse.ArgumentParser:
+        sub = job(run, "raw")
+        sub.add_argument("--years", type=int, nargs="+", help="years of files to read")
+        sub.add_argument("--colors", nargs="+", choices=["yellow", "green"])
+        return sub
+
+    raw_job(clean).add_argument("--kind", choices=kinds, required=True)
     job(time_report, "trips")
     job(speed_report, "trips")
     job(flow_report, "trips").add_argument("--fraction", type=float)
@@ -288,7 +308,7 @@ def _parser() -> argparse.ArgumentParser:
     location.add_argument("--lookup")
     location.add_argument("--above", type=int, default=1000)
     location.add_argument("--as-reference", action="store_true")
-    job(count_zones, "raw")
+    raw_job(count_zones)
     match = job(match_facilities, "facilities", "zones")
     match.add_argument("--kind", choices=["bus", "subway", "lots"], required=True)
     match.add_argument("--cell", type=float, required=True, help="grid width, in map units")
@@ -298,9 +318,11 @@ def _parser() -> argparse.ArgumentParser:
     extra = train.add_mutually_exclusive_group()
     extra.add_argument("--flow")
     extra.add_argument("--weather")
-    train.add_argument("--fraction", type=float, default=0.05)
-    train.add_argument("--step-sizes", type=float, nargs="+", default=list(models.STEP_SIZES))
-    train.add_argument("--depths", type=int, nargs="+", default=list(models.DEPTHS))
+    train.add_argument(
+        "--fraction", type=float, help="train on a with-replacement sample of this share (default: all rows)"
+    )
+    train.add_argument("--step-sizes", type=float, nargs="+", help="default: those of the features' grid")
+    train.add_argument("--depths", type=int, nargs="+", help="default: those of the features' grid")
     tip = job(train_tip, "trips")
     tip.add_argument("--kind", choices=["regressor", "classifier"], required=True)
     return parser

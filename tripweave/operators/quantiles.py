@@ -1,11 +1,11 @@
 """Exact discrete quantiles per group, without bringing a group together in one task.
 
-First pass: count values per (group, bin), where a bin is a monotone step function of the value.
+Two passes read the source. First: count values per (group, bin), where a bin is a monotone step function of the value.
 Partial aggregation leaves at most one row per group and bin of each task, however many rows a
 group holds, and one group's bins spread over all reducers. The running count over the bins tells
 which bin holds each wanted rank. Only rows of those bins are looked at again. If such a bin still
-holds many different values, it is divided into finer bins in another pass; in the end equal values
-are counted together and the few different ones are ranked.
+holds many different values, the rows of such bins are written once and divided into finer bins from
+there; in the end equal values are counted together and the few different ones are ranked.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def grouped_quantiles(
     found = F.filter(F.array(*names), lambda find: find.isNotNull())
     settled, targets = _settle(groups.select(*_renamed_keys(keys), F.inline(found)))
     answers = [settled]
-    per_unit = PER_UNIT
+    per_unit, source, again = PER_UNIT, rows, ()
     for _ in range(LEVELS):
         left = targets.agg(F.count(F.lit(1)).alias("open"), F.max("_held").alias("held")).first()
         if not left.open:
@@ -171,10 +171,14 @@ def grouped_quantiles(
         wanted = targets.drop("_held")
         if left.open * TARGET_BYTES <= broadcast_bytes:
             wanted = F.broadcast(wanted)
-        inside = _rows_of_bins(rows, keys, value, wanted, per_unit)
+        inside = _rows_of_bins(source, keys, value, wanted, per_unit, again)
         if last:
             answers.append(_rank_values(inside, keys, value))
             break
+        if not again:
+            # From here on only these rows are read, no longer the source.
+            inside = cut_lineage(inside)
+            source, again = inside.drop("_rank"), ("_q",)
         per_unit *= FINER
         targets = cut_lineage(_divide(inside, keys, value, per_unit))
         settled, targets = _settle(targets)
@@ -207,11 +211,18 @@ def _rows_of_bins(
     value: str,
     wanted: DataFrame,
     per_unit: int,
+    again: Sequence[str] = (),
 ) -> DataFrame:
-    """The rows that fall into a wanted bin, once per quantile that wants it."""
-    placed = rows.select(*keys, value, value_bin(F.col(value), per_unit).alias("_bin"))
-    same_bin = F.col("_bin") == F.col("_in_bin")
-    return placed.join(wanted, _same_keys(keys) & same_bin).select(*keys, value, "_q", "_rank")
+    """The rows that fall into a wanted bin, once per quantile that wants it.
+
+    ``again`` is ``_q`` for rows that were taken for a quantile before and serve only that one.
+    """
+    placed = rows.select(*keys, *again, value, value_bin(F.col(value), per_unit).alias("_bin"))
+    same = _same_keys(keys) & (F.col("_bin") == F.col("_in_bin"))
+    if again:
+        placed = placed.withColumnRenamed("_q", "_for")
+        same &= F.col("_for") == F.col("_q")
+    return placed.join(wanted, same).select(*keys, value, "_q", "_rank")
 
 
 def _divide(inside: DataFrame, keys: Sequence[str], value: str, per_unit: int) -> DataFrame:

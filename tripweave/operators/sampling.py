@@ -13,22 +13,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Beyond this the probability of no copy, exp(-fraction), is too small for a double.
+LARGEST_FRACTION = 700.0
 
-def row_fraction(df: DataFrame, seed: int) -> Column:
-    """A number in [0, 1) fixed by the row and the seed."""
+
+def row_fraction(df: DataFrame, seed: int, by: Sequence[str] | None = None) -> Column:
+    """A number in [0, 1) fixed by the row, or by its columns ``by``, and the seed.
+
+    With ``by`` it is made of the MD5 of their text, which other systems have too.
+    """
+    if by is not None:
+        text = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in by], F.lit(str(seed)))
+        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
     bits = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns], F.lit(seed))
     return F.shiftrightunsigned(bits, 11) / float(1 << 53)
 
 
-def sample_with_replacement(df: DataFrame, fraction: float, seed: int = 17) -> DataFrame:
+def sample_with_replacement(
+    df: DataFrame, fraction: float, seed: int = 17, by: Sequence[str] | None = None
+) -> DataFrame:
     """Each row appears k times with Poisson(``fraction``) probability."""
+    if not 0 <= fraction <= LARGEST_FRACTION:
+        raise ValueError(f"the fraction must lie between 0 and {LARGEST_FRACTION}")
     limits, mass, total, k = [], math.exp(-fraction), 0.0, 0
     while 1.0 - total > 1e-15 and mass > 0.0:
         total += mass
         limits.append(min(total, 1.0))
         k += 1
         mass *= fraction / k
-    u = row_fraction(df, seed)
+    u = row_fraction(df, seed, by)
     copies = F.lit(0)
     for limit in limits[:-1]:
         copies = copies + (F.col("_u") >= limit).cast("int")
@@ -38,9 +51,12 @@ def sample_with_replacement(df: DataFrame, fraction: float, seed: int = 17) -> D
     )
 
 
-def split_rows(df: DataFrame, weights: Sequence[float], seed: int = 17) -> list[DataFrame]:
-    """Split into disjoint parts with the given weights; copies of a row stay together."""
-    u, total, low, parts = row_fraction(df, seed), sum(weights), 0.0, []
+def split_rows(
+    df: DataFrame, weights: Sequence[float], seed: int = 17, by: Sequence[str] | None = None
+) -> list[DataFrame]:
+    """Split into disjoint parts with the given weights; rows equal (in ``by``) stay together."""
+    u = row_fraction(df, seed, by)
+    total, low, parts = sum(weights), 0.0, []
     for i, weight in enumerate(weights):
         high = low + weight / total
         last = i == len(weights) - 1

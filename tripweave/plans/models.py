@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -20,7 +21,7 @@ from tripweave.operators import quality
 from tripweave.operators.sampling import sample_with_replacement, split_rows
 from tripweave.plans.zones import with_both_zones
 from tripweave.schema import FIRST_YEAR, LAST_YEAR, TIP_INPUT_COLUMNS
-from tripweave.session import ensure_checkpoint_dir
+from tripweave.session import broadcast_if_small, ensure_checkpoint_dir
 
 # Model inputs and the grid that is searched.
 PLACE_FEATURES = (
@@ -45,8 +46,17 @@ TIP_REGRESSION_FEATURES = (
     "fare_amount",
 )
 TIP_CLASS_FEATURES = TIP_REGRESSION_FEATURES[1:]
-STEP_SIZES = (0.3, 0.4, 0.5)
-DEPTHS = (6, 7, 8)
+# Step sizes and depths that are searched, by the features.
+GRIDS = {
+    PLACE_FEATURES: ((0.3, 0.4, 0.5), (7, 8)),
+    FLOW_FEATURES: ((0.3, 0.4, 0.5), (6, 7, 8)),
+    WEATHER_FEATURES: ((0.3,), (8,)),
+}
+# Three quarters of the trips train; a trip's key decides, so that equal trips stay together.
+SPLIT_WEIGHTS = (0.75, 0.25)
+SPLIT_KEY = ("pickup_datetime", "PULocationID", "DOLocationID")
+# Generous sizes of one row of the flow table and of one day.
+FLOW_BYTES, DAY_BYTES = 64, 64
 
 
 @dataclass
@@ -80,34 +90,32 @@ def place_features(
     )
 
 
-def add_flow(features: DataFrame, flow: DataFrame) -> DataFrame:
+def add_flow(
+    features: DataFrame, flow: DataFrame, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Add how many trips share the zone pair, hour and weekday.
 
-    A plain four-key join: the flow table may be large, so its size decides the strategy at run
-    time, and adaptive execution splits crowded keys.
+    The flow table is bounded by zones x zones x 168. It is measured: up to the limit the trips are
+    not shuffled; beyond it they are, and adaptive execution splits crowded keys.
     """
-    return features.join(flow, ["PULocationID", "DOLocationID", "hour", "weekday"])
+    measured = broadcast_if_small(flow, FLOW_BYTES, broadcast_bytes)
+    return features.join(measured, ["PULocationID", "DOLocationID", "hour", "weekday"])
 
 
 def add_weather(
-    features: DataFrame, weather: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR
+    features: DataFrame, weather: DataFrame, broadcast_bytes: int | None = None
 ) -> DataFrame:
-    """Add the day's weather.
+    """Add the day's weather; trips of days without weather are left out.
 
-    Weather holds one row per calendar day of the study years, a bound that does not grow with the
-    trips, so it is broadcast.
+    The table of days is measured before it is broadcast.
     """
-    days = (
-        weather.filter(F.year("date").between(first, last))
-        .groupBy("date")
-        .agg(
-            F.avg("tavg").alias("tavg"),
-            F.max("has_snow").alias("has_snow"),
-            F.max("has_rain").alias("has_rain"),
-        )
+    days = weather.groupBy("date").agg(
+        F.avg("tavg").alias("tavg"),
+        F.max("has_snow").alias("has_snow"),
+        F.max("has_rain").alias("has_rain"),
     )
     dated = features.withColumn("date", F.to_date("pickup_datetime"))
-    return dated.join(F.broadcast(days), "date")
+    return dated.join(broadcast_if_small(days, DAY_BYTES, broadcast_bytes), "date")
 
 
 @contextmanager
@@ -183,75 +191,102 @@ def speed_pipeline(
     return Pipeline(stages=[_assembler(features), booster])
 
 
-def fit_speed_model(
-    rides: DataFrame,
-    features: Sequence[str] = PLACE_FEATURES,
-    step_size: float = 0.3,
-    depth: int = 6,
-    trees: int = 20,
-    seed: int = 17,
-) -> Fitted:
-    """Fit one grid point on three quarters of the rides and score it on the rest."""
-    ensure_checkpoint_dir(rides.sparkSession)
-    with _kept(rides.select(*features, "speed")) as kept:
-        train, validation = split_rows(kept, [0.75, 0.25], seed)
-        model = speed_pipeline(features, step_size, depth, trees, seed).fit(train)
-        rows = [
-            tuple(row)
-            for part, frame in (("train", train), ("validation", validation))
-            for row in regression_scores(model.transform(frame), "speed", part).collect()
-        ]
-    return Fitted(model, _score_rows(rides, rows), feature_importances(model, features, rides))
+def split_trips(rides: DataFrame, seed: int = 17) -> list[DataFrame]:
+    """Training and validation trips."""
+    return split_rows(rides, SPLIT_WEIGHTS, seed, by=SPLIT_KEY)
+
+
+def split_figures(rides: DataFrame, label: str, seed: int = 17) -> DataFrame:
+    """Rows and mean label of the training and the validation part."""
+    parts = zip(("train", "validation"), split_trips(rides, seed))
+    figures = [
+        part.agg(F.count(F.lit(1)).alias("trips"), F.avg(label).alias("mean")).select(
+            F.lit(name).alias("part"), "trips", "mean"
+        )
+        for name, part in parts
+    ]
+    return figures[0].unionByName(figures[1])
+
+
+@dataclass
+class GridPoint:
+    """A fitted point of the grid and its scores on the validation part."""
+
+    step_size: float
+    depth: int
+    model: PipelineModel
+    r2: float | None
+    rmse: float | None
+
+
+@dataclass
+class Search:
+    points: list[GridPoint]
+    like: DataFrame
+
+    def best(self) -> GridPoint:
+        """The point of least rmse; without validation rows the first."""
+        return min(self.points, key=lambda p: (p.rmse is None, p.rmse or 0.0))
+
+    def table(self) -> DataFrame:
+        rows = [(float(p.step_size), int(p.depth), p.r2, p.rmse) for p in self.points]
+        schema = "step_size double, depth int, r2 double, rmse double"
+        return self.like.sparkSession.createDataFrame(rows, schema)
 
 
 def search_speed_model(
     rides: DataFrame,
     features: Sequence[str] = PLACE_FEATURES,
-    step_sizes: Sequence[float] = STEP_SIZES,
-    depths: Sequence[int] = DEPTHS,
+    step_sizes: Sequence[float] | None = None,
+    depths: Sequence[int] | None = None,
     trees: int = 20,
     parallelism: int = 3,
     seed: int = 17,
-) -> tuple[TrainValidationSplitModel, DataFrame]:
-    """Search the grid; returns the best model and the validation rmse of every point."""
+) -> Search:
+    """Fit every point of the grid on three quarters of the rides and score it on the rest."""
+    own_steps, own_depths = GRIDS[tuple(features)]
     ensure_checkpoint_dir(rides.sparkSession)
-    pipeline = speed_pipeline(features, trees=trees, seed=seed)
-    booster = pipeline.getStages()[-1]
-    grid = (
-        ParamGridBuilder()
-        .addGrid(booster.stepSize, list(step_sizes))
-        .addGrid(booster.maxDepth, list(depths))
-        .build()
-    )
-    search = TrainValidationSplit(
-        estimator=pipeline,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol="speed", metricName="rmse"),
-        trainRatio=0.75,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    with _kept(rides.select(*features, "speed")) as kept:
-        found = search.fit(kept)
-    points = [
-        (float(point[booster.stepSize]), int(point[booster.maxDepth]), float(rmse))
-        for point, rmse in zip(grid, found.validationMetrics)
+    grid = [(s, d) for s in step_sizes or own_steps for d in depths or own_depths]
+    columns = dict.fromkeys((*features, "speed", *SPLIT_KEY))
+    with _kept(rides.select(*columns)) as kept:
+        train, validation = split_trips(kept, seed)
+
+        def point(step_size: float, depth: int) -> GridPoint:
+            model = speed_pipeline(features, step_size, depth, trees, seed).fit(train)
+            scores = regression_scores(model.transform(validation), "speed", "validation").collect()
+            found = {row.name: row.value for row in scores}
+            return GridPoint(
+                step_size, depth, model, found["validation_r2"], found["validation_rmse"]
+            )
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            points = list(pool.map(inheritable_thread_target(lambda p: point(*p)), grid))
+    return Search(points, rides)
+
+
+def tip_filter_stage(max_ratio: float, inclusive: bool, min_fare: float | None) -> SQLTransformer:
+    """Which trips the tip models take, as a SQL stage: a saved model refuses the same trips."""
+    seconds = "(unix_timestamp(dropoff_datetime) - unix_timestamp(pickup_datetime))"
+    tests = [
+        "payment_type = 1",
+        "VendorID < 3",
+        f"year(pickup_datetime) BETWEEN {FIRST_YEAR} AND {LAST_YEAR}",
+        "total_amount <= 120D",
+        "trip_distance <= 20D",
+        "total_amount - tip_amount - fare_amount <= 20D",
+        f"{seconds} / 60 <= 180",
+        "fare_amount BETWEEN 2.5D + 2 * trip_distance AND 2.5D + 3.5D * trip_distance",
+        f"try_divide(tip_amount, total_amount - tip_amount) {'<=' if inclusive else '<'} {max_ratio}D",
     ]
-    table = rides.sparkSession.createDataFrame(points, "step_size double, depth int, rmse double")
-    return found, table
+    if min_fare is not None:
+        tests += [f"fare_amount >= {min_fare}D", "trip_distance > 0D", "trip_distance < 180D"]
+    return SQLTransformer(statement=f"SELECT * FROM __THIS__ WHERE {' AND '.join(tests)}")
 
 
 def tip_filter(trips: DataFrame, max_ratio: float, inclusive: bool, min_fare: float | None) -> DataFrame:
-    """Trips that the tip models learn from."""
-    rides = quality.main_vendors(quality.paid_by(trips, 1))
-    rides = quality.years_within(rides, columns=("pickup_datetime",))
-    rides = quality.bill_caps(rides)
-    rides = quality.at_most_minutes(rides, 180)
-    rides = quality.fare_in_band(rides)
-    if min_fare is not None:
-        rides = quality.distance_within(quality.fare_at_least(rides, min_fare), 0, 180)
-    ratio = F.try_divide(F.col("tip_amount"), F.col("total_amount") - F.col("tip_amount"))
-    return rides.filter(ratio <= max_ratio if inclusive else ratio < max_ratio)
+    """Trips that the tip models learn from; the range of years is also pushed to the scan."""
+    near = quality.years_within(trips, columns=("pickup_datetime",))
+    return tip_filter_stage(max_ratio, inclusive, min_fare).transform(near)
 
 
 def tip_feature_stage(label: str, other_of_total: bool = False) -> SQLTransformer:
@@ -270,8 +305,6 @@ def tip_feature_stage(label: str, other_of_total: bool = False) -> SQLTransforme
                dayofweek(pickup_datetime) AS day,
                hour(pickup_datetime) AS hour,
                month(pickup_datetime) AS month,
-               year(pickup_datetime) AS year,
-               try_divide(trip_distance, {seconds}) * 3600 AS avg_speed,
                try_divide(total_amount - fare_amount - tip_amount, {whole}) AS other_amount
         FROM __THIS__
         """
@@ -286,12 +319,16 @@ BUCKET_LABEL = (
 )
 
 
+REGRESSION_RULES = {"max_ratio": 0.5, "inclusive": False, "min_fare": 2.5}
+CLASS_RULES = {"max_ratio": 0.4, "inclusive": True, "min_fare": None}
+
+
 def tip_regression_rides(trips: DataFrame) -> DataFrame:
-    return tip_filter(trips, 0.5, inclusive=False, min_fare=2.5)
+    return tip_filter(trips, **REGRESSION_RULES)
 
 
 def tip_class_rides(trips: DataFrame) -> DataFrame:
-    return tip_filter(trips, 0.4, inclusive=True, min_fare=None)
+    return tip_filter(trips, **CLASS_RULES)
 
 
 def tip_features(
@@ -303,10 +340,16 @@ def tip_features(
 
 
 def tip_pipeline(
-    estimator: Estimator, label: str, features: Sequence[str], other_of_total: bool = False
+    estimator: Estimator, rules: dict, label: str, features: Sequence[str], other_of_total: bool = False
 ) -> Pipeline:
+    """Row filter, features, vector and trees: all that a raw trip needs."""
     return Pipeline(
-        stages=[tip_feature_stage(label, other_of_total), _assembler(features, True), estimator]
+        stages=[
+            tip_filter_stage(**rules),
+            tip_feature_stage(label, other_of_total),
+            _assembler(features, True),
+            estimator,
+        ]
     )
 
 
@@ -318,8 +361,10 @@ def fit_tip_regressor(trips: DataFrame, trees: int = 20, depth: int = 5, seed: i
         featuresCol="features", labelCol="tip_ratio", maxIter=trees, maxDepth=depth, seed=seed
     )
     with _kept(rides) as kept:
-        train, validation = split_rows(kept, [0.75, 0.25], seed)
-        model = tip_pipeline(booster, RATIO_LABEL, TIP_REGRESSION_FEATURES).fit(train)
+        train, validation = split_trips(kept, seed)
+        model = tip_pipeline(booster, REGRESSION_RULES, RATIO_LABEL, TIP_REGRESSION_FEATURES).fit(
+            train
+        )
         rows = [
             tuple(row)
             for part, frame in (("train", train), ("validation", validation))
@@ -345,8 +390,10 @@ def fit_tip_classifier(
     )
     f1 = MulticlassClassificationEvaluator(labelCol="tip_range_index", metricName="f1")
     with _kept(rides) as kept:
-        train, validation = split_rows(kept, [0.75, 0.25], seed)
-        model = tip_pipeline(forest, BUCKET_LABEL, TIP_CLASS_FEATURES, other_of_total).fit(train)
+        train, validation = split_trips(kept, seed)
+        model = tip_pipeline(
+            forest, CLASS_RULES, BUCKET_LABEL, TIP_CLASS_FEATURES, other_of_total
+        ).fit(train)
         rows = [
             ("score", f"{part}_f1", float(f1.evaluate(model.transform(frame))))
             for part, frame in (("train", train), ("validation", validation))

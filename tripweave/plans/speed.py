@@ -52,28 +52,40 @@ def speed_by_hour_weekday(trips: DataFrame) -> DataFrame:
     )
 
 
-def _destination_medians(trips: DataFrame, accuracy: int | None) -> DataFrame:
+def destination_medians(trips: DataFrame, accuracy: int | None = None) -> DataFrame:
     return grouped_quantiles(trips, ["DOLocationID"], "speed", {"median": 0.5}, accuracy=accuracy)
 
 
+def slowest_of(medians: DataFrame, top: int = 10) -> DataFrame:
+    return medians.orderBy("median", "DOLocationID").limit(top)
+
+
+def fastest_of(medians: DataFrame, top: int = 10) -> DataFrame:
+    return medians.orderBy(F.desc("median"), "DOLocationID").limit(top)
+
+
 def slowest_destinations(trips: DataFrame, top: int = 10, accuracy: int | None = None) -> DataFrame:
-    return _destination_medians(trips, accuracy).orderBy("median", "DOLocationID").limit(top)
+    return slowest_of(destination_medians(trips, accuracy), top)
 
 
 def fastest_destinations(trips: DataFrame, top: int = 10, accuracy: int | None = None) -> DataFrame:
-    return (
-        _destination_medians(trips, accuracy).orderBy(F.desc("median"), "DOLocationID").limit(top)
+    return fastest_of(destination_medians(trips, accuracy), top)
+
+
+def borough_pair_figures(trips: DataFrame, zones: DataFrame) -> DataFrame:
+    """Mean speed and number of trips per borough pair, from one pass."""
+    pairs = with_both_zones(trips, zones, "borough")
+    return pairs.groupBy("PUborough", "DOborough").agg(
+        F.avg("speed").alias("avg_speed"), F.count(F.lit(1)).alias("count")
     )
 
 
 def borough_pair_speed(trips: DataFrame, zones: DataFrame) -> DataFrame:
-    pairs = with_both_zones(trips, zones, "borough")
-    return pairs.groupBy("PUborough", "DOborough").agg(F.avg("speed").alias("avg_speed"))
+    return borough_pair_figures(trips, zones).drop("count")
 
 
 def borough_pair_count(trips: DataFrame, zones: DataFrame) -> DataFrame:
-    pairs = with_both_zones(trips, zones, "borough")
-    return pairs.groupBy("PUborough", "DOborough").agg(F.count(F.lit(1)).alias("count"))
+    return borough_pair_figures(trips, zones).drop("avg_speed")
 
 
 def borough_pair_ranked(
@@ -150,9 +162,13 @@ def speed_weekday_hour_pivot(hour_weekday_speed: DataFrame) -> DataFrame:
     return dist.pivot_mean(whole, "weekday", "hour", "average", range(24), "hour_").orderBy("weekday")
 
 
+# What tells one trip from another in samples and splits.
+TRIP_KEY = ("pickup_datetime", "dropoff_datetime", "PULocationID", "DOLocationID")
+
+
 def tip_speed_points(trips: DataFrame, fraction: float = 0.005, seed: int = 17) -> DataFrame:
     """A sample of (speed, tip share) points of tipped trips."""
-    drawn = sample_with_replacement(trips, fraction, seed)
+    drawn = sample_with_replacement(trips, fraction, seed, by=TRIP_KEY)
     return drawn.filter(F.col("tip_percentage") > 0).select("speed", "tip_percentage")
 
 

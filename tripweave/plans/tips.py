@@ -194,16 +194,14 @@ def is_generous(threshold: float = 0.4) -> Column:
     return F.col("tip_ratio") >= threshold
 
 
-def _monthly_with_inner_trips(located: DataFrame, only: Column | None = None) -> DataFrame:
+def _monthly_with_inner_trips(located: DataFrame) -> DataFrame:
     """Zone figures per month by inclusion and exclusion, for months with a trip inside the zone.
 
     Both ends of a trip are aggregated in one pass; a trip within one zone is counted at its pickup
     end only when the overlap is taken off again.
     """
-    ends = with_direction(located if only is None else located.filter(only))
-    at_start, at_end = F.col("direction") == "PU", F.col("direction") == "DO"
-    inner = at_start & (F.col("PULocationID") == F.col("DOLocationID"))
-    sides = {"pu": at_start, "do": at_end, "same": inner}
+    ends = with_direction(located)
+    sides = _sides()
     monthly = ends.groupBy("year", "month", F.col("LocationID").alias("locationID")).agg(
         *[F.count_if(side).alias(f"{name}_n") for name, side in sides.items()],
         *[F.avg(F.when(side, F.col("tip_ratio"))).alias(f"{name}_avg") for name, side in sides.items()],
@@ -251,22 +249,41 @@ def tip_by_location(located: DataFrame, as_reference: bool = False) -> DataFrame
     return zones.orderBy(F.desc("avg"), "locationID")
 
 
+def _sides() -> dict[str, Column]:
+    """A row of a trip's end: at its start, at its end, or at the start of a trip within one zone."""
+    at_start, at_end = F.col("direction") == "PU", F.col("direction") == "DO"
+    inner = at_start & (F.col("PULocationID") == F.col("DOLocationID"))
+    return {"pu": at_start, "do": at_end, "same": inner}
+
+
+def _monthly_counts_with_inner_trips(located: DataFrame, subset: Column) -> DataFrame:
+    """Trips of the subset and all trips per zone, each over its months with a trip inside the zone.
+
+    Both counts come from one pass over the trips.
+    """
+    ends = with_direction(located.withColumn("_in", subset))
+    counts = []
+    for name, rows in (("part", F.col("_in")), ("all", F.lit(True))):
+        counts += [F.count_if(rows & side).alias(f"{name}_{key}") for key, side in _sides().items()]
+    monthly = ends.groupBy("year", "month", F.col("LocationID").alias("locationID")).agg(*counts)
+
+    def trips(name: str) -> Column:
+        pu, do, same = (F.col(f"{name}_{key}") for key in ("pu", "do", "same"))
+        return F.sum(F.when((pu > 0) & (do > 0) & (same > 0), pu + do - same))
+
+    return (
+        monthly.groupBy("locationID")
+        .agg(trips("part").alias("count"), trips("all").alias("all_count"))
+        .filter("count IS NOT NULL")
+    )
+
+
 def subset_by_location(
     located: DataFrame, subset: Column, ratio: str, as_reference: bool = False
 ) -> DataFrame:
     """How many of a zone's trips belong to ``subset``, and their share; zones without any are left out."""
     if as_reference:
-        part = (
-            _monthly_with_inner_trips(located, subset)
-            .groupBy("locationID")
-            .agg(F.sum("count").alias("count"))
-        )
-        whole = (
-            _monthly_with_inner_trips(located)
-            .groupBy("locationID")
-            .agg(F.sum("count").alias("all_count"))
-        )
-        both = part.join(whole, "locationID")
+        both = _monthly_counts_with_inner_trips(located, subset)
     else:
         both = (
             at_both_ends(located.withColumn("_in", subset), "locationID", once=True)

@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 
 from tripweave.schema import FIRST_YEAR, LAST_YEAR, TIMESTAMP_NAMES, TRIP_SCHEMA, UNION_COLUMNS
 
-# Fixed value: how monthly trip files are named.
+# Fixed value: how monthly trip files are named. A month may also be a folder of part files.
 FILE_NAME = r"(yellow|green)_tripdata_(\d{4})-(\d{2})\.parquet"
+# The month's file or folder within a path.
+MONTH_PATH = rf"^(.*/{FILE_NAME})(?:/|$)"
 
 TAG_COLUMNS = ("color", "file_year", "file_month")
 
@@ -56,33 +58,37 @@ def list_trip_files(
     spark: SparkSession,
     root: str,
     colors: Sequence[str] = ("yellow", "green"),
-    years: Iterable[int] = range(FIRST_YEAR, LAST_YEAR + 1),
+    years: Iterable[int] | None = range(FIRST_YEAR, LAST_YEAR + 1),
     months: Iterable[int] = range(1, 13),
 ) -> list[str]:
-    """Paths of the monthly files wanted; months without a file are skipped.
+    """Paths of the monthly files or folders wanted; months without data are skipped.
 
-    Only names are listed (no content is read), and there is one name per color and month.
+    ``years`` None takes every year. Only names are listed (no content is read); folders are reduced
+    to one name on the executors, so the driver gets one name per color and month.
     """
     names = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*_tripdata_*.parquet")
         .option("recursiveFileLookup", "true")
         .load(root)
         .select("path")
     )
-    wanted = names.filter(
-        F.regexp_extract("path", FILE_NAME, 1).isin(*colors)
-        & F.regexp_extract("path", FILE_NAME, 2).isin(*[f"{year:04d}" for year in years])
-        & F.regexp_extract("path", FILE_NAME, 3).isin(*[f"{month:02d}" for month in months])
-    )
-    return sorted(row.path for row in wanted.toLocalIterator())
+    wanted = F.regexp_extract("path", MONTH_PATH, 2).isin(*colors)
+    if years is not None:
+        wanted &= F.regexp_extract("path", MONTH_PATH, 3).isin(*[f"{year:04d}" for year in years])
+    wanted &= F.regexp_extract("path", MONTH_PATH, 4).isin(*[f"{month:02d}" for month in months])
+    found = names.filter(wanted).select(F.regexp_extract("path", MONTH_PATH, 1).alias("path"))
+    return sorted(row.path for row in found.distinct().toLocalIterator())
+
+
+def _months(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").parquet(*paths)
 
 
 def _same_schema_groups(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
-    """Group files by the schema in their footer; footers are read side by side."""
+    """Group months by the schema in their footer; one footer per month is read, side by side."""
 
     def footer_schema(path: str) -> str:
-        return spark.read.parquet(path).schema.json()
+        return _months(spark, path).schema.json()
 
     with ThreadPoolExecutor(FOOTER_READERS) as pool:
         schemas = list(pool.map(footer_schema, paths))
@@ -92,29 +98,32 @@ def _same_schema_groups(spark: SparkSession, paths: Sequence[str]) -> list[list[
     return list(groups.values())
 
 
-def tag_from_file_name(df: DataFrame) -> DataFrame:
-    """Add the color, year and month that a file's name states."""
-    name = F.col("_metadata.file_name")
+def tag_from_path(df: DataFrame) -> DataFrame:
+    """Add the color, year and month that the name of a month's file or folder states."""
+    path = F.col("_metadata.file_path")
     return df.select(
         "*",
-        F.regexp_extract(name, FILE_NAME, 1).alias("color"),
-        F.regexp_extract(name, FILE_NAME, 2).cast("int").alias("file_year"),
-        F.regexp_extract(name, FILE_NAME, 3).cast("int").alias("file_month"),
+        F.regexp_extract(path, MONTH_PATH, 2).alias("color"),
+        F.regexp_extract(path, MONTH_PATH, 3).cast("int").alias("file_year"),
+        F.regexp_extract(path, MONTH_PATH, 4).cast("int").alias("file_month"),
     )
 
 
+def read_trip_parts(spark: SparkSession, root: str, **wanted) -> list[DataFrame]:
+    """The wanted months, one table per footer schema, tagged but otherwise as they are."""
+    paths = list_trip_files(spark, root, **wanted)
+    if not paths:
+        raise FileNotFoundError(f"no trip files of the wanted months under {root}")
+    return [tag_from_path(_months(spark, *group)) for group in _same_schema_groups(spark, paths)]
+
+
 def read_trip_files(spark: SparkSession, root: str, **wanted) -> DataFrame:
-    """All wanted monthly files as one table with ``color``, ``file_year`` and ``file_month``.
+    """All wanted months as one table with ``color``, ``file_year`` and ``file_month``.
 
-    Files are grouped by footer schema and each group is one scan, so the plan grows with the number
+    Months are grouped by footer schema and each group is one scan, so the plan grows with the number
     of distinct schemas, not with the number of files.
     """
-    paths = list_trip_files(spark, root, **wanted)
-    if not paths:
-        raise FileNotFoundError(f"no trip files of the wanted months under {root}")
-    return union_trips(
-        tag_from_file_name(spark.read.parquet(*group)) for group in _same_schema_groups(spark, paths)
-    )
+    return union_trips(read_trip_parts(spark, root, **wanted))
 
 
 def read_trips(spark: SparkSession, path: str) -> DataFrame:
