@@ -1,11 +1,12 @@
 """Byte-level BPE: a lazily determinised transducer encodes, a UTF-8 state machine decodes.
 
-The merges of a rank file are compiled into a finite-state transducer over bytes. A state is the last
-token that was emitted and the bytes whose tokens are still open. Among the tokens that may end at a
-byte, one alone can follow its predecessor (the two, joined and encoded, stay the same two tokens). The
-token boundaries that any longer input could still use are those before a proper prefix of some token;
-what all of them agree on is emitted. So the lookahead is bounded by the longest token. Transitions are
-made when they are first taken and kept in a table of limited size.
+The merges of a rank file are compiled into a finite-state transducer over bytes. A token may begin at any
+byte; the set of tokens that are open at once is one determinised state, made when it is first reached
+and kept in a table of limited size. A move on a byte gives the tokens that may end there. One of them
+alone can follow the token before it (the two, joined and merged, stay these two), which a second lazily
+filled table answers. Boundaries that longer input could still use are those before an open token; the
+tokens up to where all their paths meet are certain and are emitted, so the lookahead is bounded by the
+longest token and the emitting interval.
 
 Decoding joins token bytes block by block; a state machine holds back the bytes of a character that a
 block's end cuts, so text can be passed on while tokens still arrive.
@@ -30,8 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-STATES = 400_000  # states kept before the table is begun anew
-WORDS = 400_000  # encoded matches kept
+STATES = 200_000  # states kept before the table is begun anew
+PAIRS = 500_000  # answers kept on which token may follow which
+WORDS = 250_000  # encoded matches kept
+LOOKAHEAD = 256  # open bytes from which certain tokens are emitted
+NEVER = 1 << 62
 LONG_WORD = 64  # characters beyond which a match is not kept
 LONG_TEXT = 4_000_000  # characters beyond which matches are not listed at once
 BLOCK = 65_536  # tokens decoded at a time
@@ -44,141 +48,160 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _State:
-    """Open bytes after the last emitted token; ``ends`` maps a boundary to (begin, token)."""
+    """All tokens that may be open, as the longest of their beginnings; the others are its suffixes."""
 
-    __slots__ = ("last", "open", "ends", "live", "next", "_final")
+    __slots__ = ("open", "moves", "lengths")
 
-    def __init__(self, last, pending, ends, live):
-        self.last, self.open, self.ends, self.live = last, pending, ends, live
-        self.next: dict[int, tuple] = {}
-        self._final = None
-
-    def final(self) -> tuple[int, ...]:
-        """The tokens of the open bytes if the input ends here."""
-        if self._final is None:
-            tokens, end = [], len(self.open)
-            while end:
-                end, token = self.ends[end]
-                tokens.append(token)
-            self._final = tuple(reversed(tokens))
-        return self._final
+    def __init__(self, pending: bytes, lengths: tuple[int, ...]):
+        self.open, self.lengths = pending, lengths
+        self.moves: dict[int, tuple] = {}
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
+    def __init__(self, ranks: dict[bytes, int], states: int = STATES, pairs: int = PAIRS):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.limit = states
-        self.pairs: dict[tuple, bool] = {}
+        self.width = max(ranks.values(), default=0) + 1
+        self.state_limit, self.pair_limit = states, pairs
+        self.pairs: dict[int, bool] = {}
+        self.made: dict[int, list | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(None, b"", {}, (0,))
-
-    def _state(self, last, pending, ends, live) -> _State:
-        key = (last, pending)
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = _State(last, pending, ends, live)
-        return state
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Tokens by the definition: the pair of lowest rank is joined first, the leftmost of equals."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[part] for part in parts]
-
-    def follows(self, left, token: bytes, rank: int) -> bool:
-        """Whether the token stays itself and keeps its boundary after ``left`` (None: the start)."""
-        key = (left, rank)
-        known = self.pairs.get(key)
-        if known is None:
-            if left is None:
-                known = self.merged(token) == [rank]
-            else:
-                known = self.merged(self.bytes_of[left] + token) == [left, rank]
-            if len(self.pairs) >= 2 * self.limit:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
-
-    def step(self, state: _State, byte: int) -> tuple:
-        """The tokens that become certain with this byte, and the next state."""
+        self.start = _State(b"", ())
+        self.states = {b"": self.start}
+
+    def move(self, state: _State, byte: int) -> tuple:
+        """Determinise one step: the tokens that may end here, longest first, and the next state."""
         data = state.open + bytes((byte,))
         size = len(data)
-        ranks, prefixes = self.ranks, self.prefixes
-        ends = state.ends
-        live, chosen = [], None
-        for begin in state.live:
+        ending, lengths, pending = [], [], b""
+        for begin in range(size):
             part = data[begin:]
-            if chosen is None:
-                rank = ranks.get(part)
-                if rank is not None:
-                    left = ends[begin][1] if begin else state.last
-                    if self.follows(left, part, rank):
-                        chosen = (begin, rank)
-            if part in prefixes:
-                live.append(begin)
-        if chosen is None:
+            rank = self.ranks.get(part)
+            if rank is not None:
+                ending.append((size - begin, rank))
+            if part in self.prefixes:
+                pending = pending or part
+                lengths.append(size - begin)
+        if not ending:
             raise ValueError(f"no token ends with byte {byte}; the ranks lack single bytes")
-        ends = {**ends, size: chosen}
-        # The last boundary that the paths of all live boundaries share is certain.
-        cut = size
-        for other in live:
-            while other != cut:
-                if other > cut:
-                    other = ends[other][0]
-                else:
-                    cut = ends[cut][0]
-        live.append(size)
-        emitted, end = [], cut
-        while end:
-            end, token = ends[end]
-            emitted.append(token)
-        kept: dict[int, tuple[int, int]] = {}
-        for end in live:
-            while end > cut and end - cut not in kept:
-                begin, token = ends[end]
-                kept[end - cut] = (begin - cut, token)
-                end = begin
-        following = self._state(
-            emitted[0] if emitted else state.last,
-            data[cut:],
-            kept,
-            tuple(begin - cut for begin in live),
-        )
-        result = (tuple(reversed(emitted)), following)
-        state.next[byte] = result
-        return result
+        following = self.states.get(pending)
+        if following is None:
+            following = self.states[pending] = _State(pending, tuple(lengths))
+        taken = state.moves[byte] = (tuple(ending), following)
+        return taken
+
+    def history(self, rank: int) -> list[tuple] | None:
+        """How merging makes a token: (rank of the next merge, first part, last part) before each.
+
+        None for a token that merging its bytes does not give.
+        """
+        if rank in self.made:
+            return self.made[rank]
+        token = self.bytes_of[rank]
+        parts = [token[i : i + 1] for i in range(len(token))]
+        steps: list[tuple] | None = []
+        while True:
+            best, at = NEVER, -1
+            for i in range(len(parts) - 1):
+                found = self.ranks.get(parts[i] + parts[i + 1], NEVER)
+                if found < best:
+                    best, at = found, i
+            steps.append((best, parts[0], parts[-1]))
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self.made[rank] = steps if len(parts) == 1 else None
+        return self.made[rank]
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether two tokens, joined and merged, stay these two; ``left`` is -1 at the start.
+
+        Merges inside the two go on side by side, lowest rank first and left first among equals. The
+        boundary falls if the pair across it comes before both.
+        """
+        second = self.history(right)
+        if left < 0 or second is None:
+            return second is not None
+        first = self.history(left)
+        i = j = 0
+        while True:
+            next_left, _, last = first[i]
+            next_right, begin, _ = second[j]
+            across = self.ranks.get(last + begin, NEVER)
+            if across < next_left and across <= next_right and across != NEVER:
+                return False
+            if next_left == next_right == NEVER:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Tokens of one match. A match that is a token as a whole is that token."""
         rank = self.ranks.get(piece)
         if rank is not None:
             return (rank,)
-        if len(self.states) >= self.limit:
+        if len(self.states) >= self.state_limit:
             self.reset()
-        state, tokens = self.start, []
+        if len(self.pairs) >= self.pair_limit:
+            self.pairs.clear()
+        pairs, width = self.pairs, self.width
+        state, emitted = self.start, []
+        # For each boundary behind the emitted tokens: where its last token begins, and that token.
+        begins, tokens, end = [0], [-1], 0
         for byte in piece:
-            taken = state.next.get(byte)
+            taken = state.moves.get(byte)
             if taken is None:
-                taken = self.step(state, byte)
-            if taken[0]:
-                tokens.extend(taken[0])
-            state = taken[1]
-        tokens.extend(state.final())
-        return tuple(tokens)
+                taken = self.move(state, byte)
+            ending, state = taken
+            end += 1
+            for length, rank in ending:
+                left = tokens[end - length]
+                key = (left + 1) * width + rank
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = pairs[key] = self.follows(left, rank)
+                if fits:
+                    begins.append(end - length)
+                    tokens.append(rank)
+                    break
+            else:
+                raise ValueError("the ranks give no token here")
+            if end >= LOOKAHEAD:
+                cut = self._certain(begins, end, state)
+                if cut:
+                    self._emit(begins, tokens, cut, emitted)
+                    # The last emitted token stays as the left neighbour of what follows.
+                    begins = [0, *(b - cut for b in begins[cut + 1 :])]
+                    tokens = tokens[cut:]
+                    end -= cut
+        self._emit(begins, tokens, end, emitted)
+        return tuple(emitted)
+
+    @staticmethod
+    def _certain(begins: list[int], end: int, state: _State) -> int:
+        """The last boundary on the paths of all boundaries where a token may still be open."""
+        cut = end
+        for length in state.lengths:
+            other = end - length
+            while other != cut:
+                if other > cut:
+                    other = begins[other]
+                else:
+                    cut = begins[cut]
+        return cut
+
+    @staticmethod
+    def _emit(begins: list[int], tokens: list[int], end: int, emitted: list[int]) -> None:
+        path = []
+        while end:
+            path.append(tokens[end])
+            end = begins[end]
+        emitted.extend(reversed(path))
 
 
 class _Words(dict):
