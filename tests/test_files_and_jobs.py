@@ -19,6 +19,19 @@ def write_as(df, path, name):
     df.coalesce(1).write.parquet(f"{path}/{name}")
 
 
+@pytest.fixture(scope="module")
+def mixed_dir(spark, small, raw_dir, tmp_path_factory):
+    """The same months, one of them a folder of part files."""
+    root = str(tmp_path_factory.mktemp("mixed"))
+    for file in glob.glob(f"{raw_dir}/*.parquet"):
+        name = os.path.basename(file)
+        if name == "yellow_tripdata_2018-04.parquet":
+            spark.read.parquet(file).repartition(3).write.parquet(f"{root}/year/{name}")
+        else:
+            shutil.copy(file, root)
+    return root
+
+
 @pytest.fixture(scope="module")
 def raw_dir(spark, small, tmp_path_factory):
     """Monthly files whose column types and columns differ from file to file."""
@@ -130,10 +143,43 @@ def run(job, **options):
     jobs.main(words)
 
 
-@pytest.mark.parametrize("kind", ["general", "payment", "time", "speed", "union"])
-def test_clean_job(spark, raw_dir, tmp_path, kind):
-    run("clean", raw=raw_dir, out=tmp_path / kind, kind=kind)
-    assert spark.read.parquet(str(tmp_path / kind)).count() > 0
+ALL_MONTHS = [*IN_WINDOW, ("yellow", 2016, 5)]
+RULES = {
+    "general": (IN_WINDOW, cleaning.clean_general),
+    "payment": (IN_WINDOW, cleaning.clean_by_payment),
+    "time": (IN_WINDOW, cleaning.clean_time),
+    "speed": (ALL_MONTHS, lambda parts: cleaning.clean_speed(tripdata.union_trips(parts))),
+    "union": (ALL_MONTHS, tripdata.trips_union),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(RULES))
+def test_clean_job_is_the_query_over_its_months(spark, small, mixed_dir, tmp_path, kind):
+    months, rules = RULES[kind]
+    run("clean", raw=mixed_dir, out=tmp_path / kind, kind=kind)
+    got = spark.read.parquet(str(tmp_path / kind))
+    wanted = F.lit(False)
+    for color, year, month in months:
+        wanted |= (F.col("color") == color) & (F.col("file_year") == year) & (F.col("file_month") == month)
+    want = rules([part.filter(wanted) for part in sample_tables.raw_colors(spark, small)])
+    # The partition columns of the table are read back as they are written.
+    assert set(want.columns) - set(got.columns) <= {"color", "file_year", "file_month"}
+    assert set(got.columns) - set(want.columns) <= {"color", "file_year", "file_month"}
+    shared = [c for c in want.columns if c in got.columns and c not in ("airport_fee", "congestion_surcharge")]
+    assert got.select(shared).exceptAll(want.select(shared)).count() == 0
+    assert got.count() == want.count() > 0
+    if kind == "payment":
+        assert "congestion_surcharge" in got.columns
+        assert got.filter("color = 'green' AND congestion_surcharge IS NOT NULL").count() == 0
+        assert got.filter("color = 'yellow' AND congestion_surcharge IS NOT NULL").count() > 0
+
+
+def test_years_and_colors_are_options(spark, mixed_dir, tmp_path):
+    run("clean", raw=mixed_dir, out=tmp_path / "a", kind="union", years=[2016, 2019], colors=["yellow"])
+    years = spark.read.parquet(str(tmp_path / "a")).select(F.year("pickup_datetime")).distinct()
+    assert [r[0] for r in years.collect()] == [2016]
+    paths = tripdata.list_trip_files(spark, mixed_dir, years=None)
+    assert len(paths) == 5 and all(path.endswith(".parquet") for path in paths)
 
 
 def test_time_report_adds_up(spark, tables, tmp_path):
@@ -209,7 +255,10 @@ def test_weather_and_models(spark, tables, tmp_path):
     ):
         out = tmp_path / name
         run("train-speed", trips=f"{tables}/trips", zones=f"{tables}/zones", out=out, **grid, **extra)
-        assert len(csv_rows(out / "grid")) == 2
+        points = csv_rows(out / "grid")
+        assert len(points) == 2 and all(float(p["rmse"]) > 0 and "r2" in p for p in points)
+        for point in points:
+            assert PipelineModel.load(f"{out}/models/{point['step_size']}-{point['depth']}").stages
         assert sum(float(r["value"]) for r in csv_rows(out / "importances")) == pytest.approx(1)
         assert PipelineModel.load(str(out / "model")).stages
     for kind in ("regressor", "classifier"):

@@ -23,9 +23,9 @@ def trips(spark, small, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - FITTED))
+@pytest.mark.parametrize("name", sorted(set(registered.trip_queries()) - FITTED))
 def test_no_cross_join_and_no_python(spark, small, name):
-    plan = plan_of(registered.queries()[name](spark, small))
+    plan = plan_of(registered.trip_queries()[name](spark, small))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
                 "MapInPandas", "FlatMapGroupsInPandas"):
         assert bad not in plan, bad
@@ -66,5 +66,5 @@ def test_cleaning_does_not_shuffle(trips):
 def test_both_ends_are_counted_in_one_scan(trips):
     located = tips.tip_locations(trips)
     for plan in (tips.tip_by_location(located), tips.tip_by_location(located, as_reference=True),
-                 tips.petty_by_location(located)):
+                 tips.petty_by_location(located), tips.petty_by_location(located, as_reference=True)):
         assert plan_of(plan).count("FileScan") == 1

@@ -87,3 +87,17 @@ def test_not_a_number_and_infinity_sort_last(spark):
     row = grouped_quantiles(df, ["k"], "v", places).first()
     assert [row[f"q{i}"] for i in range(1, 5)] == [-float("inf"), 1.0, 2.0, float("inf")]
     assert math.isnan(row.q5)
+
+
+@pytest.mark.parametrize("bin_rows", [1_000_000, 20, 0])
+def test_source_is_read_at_most_twice(spark, rows, bin_rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "k string, v double").mapInArrow(count, "k string, v double")
+    grouped_quantiles(df, ["k"], "v", PROBABILITIES, bin_rows=bin_rows).collect()
+    assert 0 < seen.value <= 2 * len(rows)

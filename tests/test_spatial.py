@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.functions import geometry as geo
+from tripweave.operators import zone_match
 from tripweave.operators.zone_match import match_areas, match_points
 from tripweave.plans.zones import with_both_zones, zone_dimension
 
@@ -162,3 +163,41 @@ def test_repeated_zone_ids_do_not_multiply_trips(spark):
     assert {(r.LocationID, r.longitude, r.latitude) for r in dim.collect()} == {(56, 2.0, 2.5), (7, 1.0, 1.0)}
     trips = spark.createDataFrame([(56, 7), (56, 56)], "PULocationID long, DOLocationID long")
     assert with_both_zones(trips, dim, "borough").count() == 2
+
+
+@pytest.mark.parametrize("unit", [1.0, 0.0001, 250_000.0])
+def test_cells_are_measured_in_any_map_unit(spark, unit):
+    def square(x, y, side):
+        c = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+        return "POLYGON ((" + ", ".join(f"{a * unit} {b * unit}" for a, b in c) + "))"
+
+    zones = spark.createDataFrame(
+        [(i, f"z{i}", "b", square(i % 4, i // 4, 1)) for i in range(16)],
+        "LocationID long, zone string, borough string, the_geom string",
+    )
+    points = spark.createDataFrame(
+        [(i, f"POINT ({(i % 4 + 0.3) * unit} {(i // 4 + 0.6) * unit})") for i in range(16)],
+        "n long, the_geom string",
+    )
+    assert all(r.n == r.LocationID for r in zone_match.match_points(points, zones).collect())
+    lots = spark.createDataFrame(
+        [(i, square(i % 4 + 0.4, i // 4 + 0.4, 0.001)) for i in range(16)], "n long, the_geom string"
+    )
+    assert all(r.n == r.LocationID for r in zone_match.match_areas(lots, zones).collect())
+    grid = zone_match._zone_grid(
+        zones, ["LocationID"], "LocationID", "the_geom", zone_match.area_cell(lots, zones), 8, None
+    )
+    assert grid.where("_level = 0").count() < 16 * 200
+
+
+@pytest.mark.parametrize("text", [
+    "POLYGON ((0 0, 1. 0, 1 1, 0 1, 0 0))",
+    "POLYGON ((0 0, +1 0, 1 1e0, 0 1, 0 0))",
+    "POLYGON Z ((0 0 5, 1 0 5, 1 1 5, 0 1 5, 0 0 5))",
+    "MULTIPOLYGON ZM (((.0 .0 1 2, 1 0 1 2, 1 1 1 2, 0 1 1 2, .0 .0 1 2)))",
+])
+def test_spellings_of_numbers_and_further_ordinates(spark, text):
+    zones = spark.createDataFrame([(1, "z", "b", text)], "LocationID long, zone string, borough string, the_geom string")
+    for point in ("POINT (.5 .5)", "point(0.5 5e-1)"):
+        points = spark.createDataFrame([(point,)], "the_geom string")
+        assert match_points(points, zones).first().LocationID == 1

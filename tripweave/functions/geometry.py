@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 POLYGONS = "array<array<array<array<double>>>>"
 
-# Fixed pattern: a signed decimal number with an optional exponent.
-NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
+# Fixed patterns: a signed decimal number with an optional exponent, and the mark of further ordinates.
+NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+ORDINATES = r"(?:ZM|Z|M)?"
 
 
 def wkt_point(text: Column) -> Column:
@@ -26,9 +27,13 @@ def wkt_point(text: Column) -> Column:
 
 
 def wkt_polygons(text: Column) -> Column:
-    """``POLYGON`` or ``MULTIPOLYGON`` text as nested arrays; anything else is NULL."""
-    body = F.regexp_replace(text, r"(?i)^\s*(MULTI)?POLYGON\s*", "")
-    pairs = F.regexp_replace(body, rf"({NUMBER})\s+({NUMBER})", "[$1,$2]")
+    """``POLYGON`` or ``MULTIPOLYGON`` text as nested arrays of x and y; anything else is NULL."""
+    body = F.regexp_replace(text, rf"(?i)^\s*(MULTI)?POLYGON\s*{ORDINATES}\s*(?=\()", "")
+    # Numbers as JSON writes them: no plus sign, digits on both sides of the point.
+    body = F.regexp_replace(body, r"(?<=[\s(,])\+", "")
+    body = F.regexp_replace(body, r"(?<![0-9])\.(?=[0-9])", "0.")
+    body = F.regexp_replace(body, r"(?<=[0-9])\.(?![0-9])", ".0")
+    pairs = F.regexp_replace(body, rf"({NUMBER})\s+({NUMBER})(?:\s+{NUMBER}){{0,2}}", "[$1,$2]")
     nested = F.translate(pairs, "()", "[]")
     many = F.when(text.rlike(r"(?i)^\s*MULTIPOLYGON"), nested).when(
         text.rlike(r"(?i)^\s*POLYGON"), F.concat(F.lit("["), nested, F.lit("]"))

@@ -311,7 +311,7 @@ def _parser() -> argparse.ArgumentParser:
     raw_job(count_zones)
     match = job(match_facilities, "facilities", "zones")
     match.add_argument("--kind", choices=["bus", "subway", "lots"], required=True)
-    match.add_argument("--cell", type=float, required=True, help="grid width, in map units")
+    match.add_argument("--cell", type=float, help="grid width, in map units (default: measured)")
     job(parking_counterexamples, "counts", "lots", "zones")
     job(clean_weather, "weather")
     train = job(train_speed, "trips", "zones")

@@ -44,6 +44,32 @@ def with_geometry(zones: DataFrame, wkt: str = "the_geom") -> DataFrame:
     )
 
 
+def _extent(box: Column) -> Column:
+    return F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+
+
+def typical_extent(shapes: DataFrame, wkt: str = "the_geom") -> float:
+    """Root mean square of the wider side of the shapes' boxes, in map units; 0 without shapes.
+
+    Of squares, because cells are counted by area: with cells of a share of it, the number of cells
+    per shape is bounded on average, whatever the unit and however the sizes differ.
+    """
+    wide = _extent(geo.bounding_box(geo.wkt_polygons(F.col(wkt))))
+    return float(shapes.agg(F.sqrt(F.avg(wide * wide)).alias("extent")).first().extent or 0.0)
+
+
+def point_cell(zones: DataFrame, wkt: str = "the_geom") -> float:
+    """Cells a quarter as wide as a typical zone, so that many lie wholly in one zone."""
+    return typical_extent(zones, wkt) / 4 or 1.0
+
+
+def area_cell(
+    areas: DataFrame, zones: DataFrame, area_wkt: str = "the_geom", zone_wkt: str = "the_geom"
+) -> float:
+    """Cells about as wide as a typical area, but never so small that zones fall into thousands."""
+    return max(typical_extent(areas, area_wkt), typical_extent(zones, zone_wkt) / 8) or 1.0
+
+
 def _cell_of(value: Column, size: Column) -> Column:
     return F.floor(value / size)
 
@@ -145,14 +171,15 @@ def match_points(
     order: str = "LocationID",
     point_wkt: str = "the_geom",
     zone_wkt: str = "the_geom",
-    cell: float = 0.25,
+    cell: float | None = None,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add the columns of the first zone that strictly contains each point.
 
     ``cell`` should be well below the width of a typical zone: points in cells that one zone holds
-    wholly need no test.
+    wholly need no test. By default it is measured.
     """
+    cell = point_cell(zones, zone_wkt) if cell is None else cell
     grid = _zone_grid(zones, keep, order, zone_wkt, cell, 1, broadcast_bytes)
     placed = points.withColumn("_point", geo.wkt_point(F.col(point_wkt)))
     placed = placed.withColumns(
@@ -182,14 +209,15 @@ def match_areas(
     order: str = "LocationID",
     area_wkt: str = "the_geom",
     zone_wkt: str = "the_geom",
-    cell: float = 0.25,
+    cell: float | None = None,
     classes: int = SIZE_CLASSES,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add the columns of the first zone that intersects each area.
 
-    ``cell`` should be about as wide as a typical area.
+    ``cell`` should be about as wide as a typical area. By default it is measured.
     """
+    cell = area_cell(areas, zones, area_wkt, zone_wkt) if cell is None else cell
     if classes < 2:
         raise ValueError("areas need at least two size classes")
     grid = _zone_grid(zones, keep, order, zone_wkt, cell, classes, broadcast_bytes)
@@ -200,7 +228,7 @@ def match_areas(
         geo.part_starts(F.col("_shape")).alias("_starts"),
     )
     box = F.col("_box")
-    extent = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+    extent = _extent(box)
     top = classes - 1
     level = F.when(extent <= cell, 0)
     for step in range(1, top):

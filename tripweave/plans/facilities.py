@@ -19,12 +19,12 @@ def _zone_columns(matched: DataFrame) -> DataFrame:
     return matched.withColumnRenamed("LocationID", "ID")
 
 
-def point_zones(points: DataFrame, zones: DataFrame, cell: float = 0.25) -> DataFrame:
+def point_zones(points: DataFrame, zones: DataFrame, cell: float | None = None) -> DataFrame:
     """Each stop with the first zone that contains it; stops outside all zones stay."""
     return _zone_columns(match_points(points, zones, cell=cell)).drop("the_geom")
 
 
-def lot_zones(lots: DataFrame, zones: DataFrame, cell: float = 0.25) -> DataFrame:
+def lot_zones(lots: DataFrame, zones: DataFrame, cell: float | None = None) -> DataFrame:
     """Each lot with the first zone it touches; lots outside all zones stay."""
     return _zone_columns(match_areas(lots, zones, cell=cell)).drop(*LOT_DROPS)
 
