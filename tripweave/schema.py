@@ -74,7 +74,7 @@ FIRST_YEAR, LAST_YEAR = 2017, 2021
 # Boroughs in label order; any other name takes the next index.
 BOROUGH_ORDER = ("Brooklyn", "Queens", "Manhattan", "Bronx", "EWR")
 
-# Labels of the twenty-percent-step tip buckets.
+# Labels of the tip buckets, in steps of five percent of the bill.
 TIP_RANGE_LABELS = (
     "=0",
     "0 - 5",
