@@ -6,11 +6,12 @@ a class that is verified to link with its leader joins its group. The token-grou
 token, each group whose members have it among their first tokens, with the range of their set sizes.
 
 A class meets another group only through the matrix. All sets are ordered by one global order, shingles
-whose rarest word is rarest first; of two sets that link, the first ``n - ceil(0.9 n) + 3`` tokens of
-both share at least three. So the overlap of a class with a group is bounded by the tokens they share
-in the matrix, a group that shares fewer, or has no member of a fitting size, stays closed, and members
-of opened groups are verified on their whole sets. Inside a group nothing is compared: its members are
-connected already, and components are what is asked for. Components are found by passing smallest
+whose rarest word is rarest first; of two sets that link, the first ``n - ceil(0.9 n) + k`` tokens of
+both share at least ``k``, here a tenth of the set and three. So the overlap of a class with a group is bounded by the tokens they share
+in the matrix, and a group that shares fewer, or has no member of a fitting size, stays closed. Members
+of opened groups are bounded by size, by tokens that nobody shares, and by what their starts show to be
+in one of them alone; only what is left is verified, on whole sets. Inside a group nothing is compared:
+its members are connected already, and components are what is asked for. Components are found by passing smallest
 labels along links, with pointer jumps, until nothing changes.
 
 Word rarity is a table of log counts in hashed buckets, whose size is a parameter; it only orders
@@ -38,8 +39,8 @@ from tripweave.session import broadcast_if_small
 
 PERCENT = 90
 WORDS = 3
-SHARED = 3  # tokens that the ordered starts of two linked sets share at least
-RARITY_BUCKETS = 1 << 19
+LEAST_SHARED = 3  # tokens that the ordered starts of two linked sets share, besides a tenth of them
+RARITY_BUCKETS = 1 << 22
 _LOWER = text_blocks.lower_ascii()
 
 PROFILE = "struct<n:bigint,node:bigint,keys:array<bigint>,tokens:array<bigint>>"
@@ -125,10 +126,36 @@ def block_sets(block: text_blocks.Block, rarity: np.ndarray, hasher: text_blocks
     return key, np.searchsorted(owner, np.arange(block.texts + 1))
 
 
+def set_names(tokens: np.ndarray) -> np.ndarray:
+    return text_blocks.mixed(tokens + np.uint64(0x51ED270B35A1F39D))
+
+
+def set_node(names: np.ndarray) -> int | None:
+    """The class of a set: a hash of its members' names in any order; None for an empty set."""
+    if len(names) == 0:
+        return None
+    total = names.sum(dtype=np.uint64) + np.uint64(len(names))
+    return int(text_blocks.mixed(np.array([total]))[0].view(np.int64))
+
+
+def shared_by_starts(n: int, percent: int = PERCENT) -> int:
+    """Tokens that the starts of two linked sets share if the smaller has ``n`` tokens.
+
+    The longer the starts, the more they share, and the fewer unlinked sets look alike.
+    """
+    return LEAST_SHARED + n * (100 - percent) // 100
+
+
 def start_length(n: int, percent: int = PERCENT) -> int:
-    """Tokens at the start of a set of size ``n`` that a linked set shares ``SHARED`` of."""
+    """Tokens at the start of a set of size ``n``: those it may lack of a linked one, and the shared."""
     needed = -(-percent * n // 100)
-    return min(n, n - needed + SHARED)
+    return min(n, n - needed + shared_by_starts(n, percent))
+
+
+def _shared_at_least(n: Column, percent: int) -> Column:
+    """What the start of a set of ``n`` tokens shares with that of any linked set, even a smaller one."""
+    smaller = F.floor(n * percent / F.lit(100))
+    return LEAST_SHARED + F.floor(smaller * (100 - percent) / F.lit(100))
 
 
 def smallest_linkable(percent: int = PERCENT) -> int:
@@ -151,15 +178,14 @@ def profiles(text: Column, rarity: np.ndarray, percent: int = PERCENT) -> Column
             for block in text_blocks.blocks(batch):
                 tokens, bounds = block_sets(block, rarity, hasher)
                 signed = tokens.view(np.int64)
-                names = text_blocks.mixed(tokens + np.uint64(0x51ED270B35A1F39D))
+                names = set_names(tokens)
                 drawn = [text_blocks.mixed(tokens ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) for seed in (1, 2, 3)]
                 for first, last in zip(bounds, bounds[1:]):
                     n = int(last - first)
                     if n == 0:
                         rows.append((0, None, [], []))
                         continue
-                    node = names[first:last].sum(dtype=np.uint64) + np.uint64(n)
-                    node = int(text_blocks.mixed(np.array([node]))[0].view(np.int64))
+                    node = set_node(names[first:last])
                     if n < least:
                         rows.append((n, node, [], []))
                         continue
@@ -213,61 +239,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(_linked(F.col("left"), F.col("right"), percent)).select("a", "b")
 
 
-def _candidate_sets(
+def _whole_sets(
     df: DataFrame, doc: str, text: str, wanted: DataFrame, rarity: np.ndarray
 ) -> DataFrame:
-    """Whole token sets (node, n, tokens) of the wanted classes, read from one text of each."""
+    """Whole token sets (node, tokens) of the wanted classes (node, rep), read from one text of each."""
     ids = broadcast_if_small(wanted.select(F.col("rep").alias("__rep")).distinct(), 16)
+    nodes = broadcast_if_small(wanted.select("node").distinct(), 16)
     texts = df.select(F.col(doc).alias("__doc"), F.col(text).alias("text")).join(
         ids, F.col("__doc").eqNullSafe(F.col("__rep")), "left_semi"
     )
-    kind = pa.list_(pa.int64())
 
-    @arrow_udf("array<bigint>")
-    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @arrow_udf("struct<node:bigint,tokens:array<bigint>>")
+    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = _hasher()
+        kind = pa.struct([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
         for batch in batches:
             rows = []
             for block in text_blocks.blocks(batch):
                 found, bounds = block_sets(block, rarity, hasher)
-                rows += [found[a:b].view(np.int64) for a, b in zip(bounds, bounds[1:])]
+                names = set_names(found)
+                rows += [
+                    {"node": set_node(names[a:b]), "tokens": found[a:b].view(np.int64)}
+                    for a, b in zip(bounds, bounds[1:])
+                ]
             yield pa.array(rows, kind)
 
     # The class is made of the set again, so an id that stands for several texts does no harm.
-    sets = texts.select(
-        tokens.asNondeterministic()(F.col("text")).alias("tokens"),
-        profiles(F.col("text"), rarity).alias("profile"),
+    sets = stored(
+        texts.select(whole.asNondeterministic()(F.col("text")).alias("set"))
+        .select("set.*")
+        .join(nodes, "node", "left_semi")
     )
+    repeated = sets.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return sets if repeated.isEmpty() else stored(sets.dropDuplicates(["node"]))
+
+
+def _bounded(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets that may link at all, with the largest set that each can link with (``most``).
+
+    A set of ``n`` tokens of which ``own`` are in no other shares at most ``n - own`` with any, so a
+    linked set has at most ``(n - own)(100 + p)/p - n`` tokens. Of two linked sets at least one may meet
+    its own size again (``light``).
+    """
+    shared = F.col("n") - F.col("own")
+    most = F.floor(shared * (100 + percent) / F.lit(percent)) - F.col("n")
     return (
-        sets.select(F.col("profile.node").alias("node"), "tokens")
-        .join(wanted.select("node", "n", "keys", "start"), "node")
-        .dropDuplicates(["node"])
+        sets.where(100 * shared >= percent * F.col("n"))
+        .withColumn("most", most)
+        .withColumn("light", most >= F.col("n"))
     )
 
 
-def _with_privacy(sets: DataFrame, percent: int) -> DataFrame:
-    """Add ``most``, the largest set that each set can link with given the tokens only it has.
+def _candidates(classes: DataFrame, positions: DataFrame, percent: int) -> DataFrame:
+    """Classes that share enough of their first tokens with others to link with one.
 
-    A set of ``n`` tokens of which ``u`` are in no other candidate shares at most ``n - u`` with any
-    other, so a linked set has at most ``(n - u)(100 + p)/p - n`` tokens. Sets for which no size is left
-    are dropped; of two linked sets at least one may meet its own size again (``light``).
+    ``positions`` has the places (from 0) of the first tokens that some other class has among its first
+    tokens. If two linked sets share ``k`` of those, the last of them lies no earlier than a set's
+    ``k``-th shared token, so the tokens before that which nobody shares are in no linked set.
     """
+    places = positions.groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    met = classes.join(places, "node").withColumn("needed", _shared_at_least(F.col("n"), percent))
+    met = met.where(F.size("places") >= F.col("needed"))
+    last = F.get("places", F.col("needed").cast("int") - 1)
+    return _bounded(met.withColumn("own", last - (F.col("needed") - 1)), percent).drop(
+        "most", "light"
+    )
+
+
+def _with_privacy(candidates: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The candidates that may link once the tokens that only one of them has are known."""
     own = (
-        sets.select("node", F.explode("tokens").alias("token"))
+        whole.select("node", F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("node"))
         .where("sets = 1")
         .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("own"))
+        .agg(F.count(F.lit(1)).alias("alone"))
     )
-    shared = F.col("n") - F.coalesce(F.col("own"), F.lit(0))
-    most = F.floor(shared * (100 + percent) / F.lit(percent)) - F.col("n")
+    exact = candidates.drop("own").join(own, "node", "left")
     return (
-        sets.join(own, "node", "left")
-        .withColumn("own", F.coalesce("own", F.lit(0)))
-        .where(100 * shared >= percent * F.col("n"))
-        .withColumn("most", most)
-        .withColumn("light", most >= F.col("n"))
+        _bounded(exact.withColumn("own", F.coalesce("alone", F.lit(0))), percent)
+        .drop("alone")
+        .withColumn("length", F.size("start"))
+        .withColumn("last", F.element_at("start", -1))
     )
 
 
@@ -279,90 +333,127 @@ def _fits(a: str, b: str, percent: int) -> Column:
         & (100 * n_b >= percent * n_a)
         & (n_a <= F.col(f"most_{b}"))
         & (n_b <= F.col(f"most_{a}"))
+        & (F.col(f"own_{a}") + F.col(f"own_{b}") <= _difference(percent))
     )
 
 
+def _difference(percent: int) -> Column:
+    """Tokens that are in one of two linked sets alone, at most."""
+    return F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+
+
 def _named(df: DataFrame, suffix: str, *names: str) -> DataFrame:
     return df.select(*[F.col(name).alias(f"{name}_{suffix}") for name in names])
 
 
-def _leader_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links of sets with the leader of each group that their keys name.
+def _leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets with the leader of each group that their keys name, within all bounds.
 
     The leader is the set with the fewest tokens of its own: the most central of its group.
     """
     keyed = sets.select("node", "own", F.posexplode("keys").alias("number", "key"))
     leaders = (
         keyed.groupBy("number", "key")
-        .agg(F.min(F.struct("own", "node")).alias("first"), F.max("node").alias("last"), F.min("node").alias("least"))
+        .agg(
+            F.min(F.struct("own", "node")).alias("first"),
+            F.max("node").alias("last"),
+            F.min("node").alias("least"),
+        )
         .where("last != least")
-        .select("number", "key", F.col("first.node").alias("leader"))
+        .select("number", "key", F.col("first.node").alias("node_b"))
     )
     pairs = (
-        keyed.join(leaders, ["number", "key"])
-        .where("node != leader")
-        .select(F.col("node").alias("node_a"), F.col("leader").alias("node_b"))
+        keyed.withColumnRenamed("node", "node_a")
+        .join(leaders, ["number", "key"])
+        .where("node_a != node_b")
+        .select("node_a", "node_b")
         .distinct()
     )
-    facts = ("node", "n", "most", "start")
-    bounded = (
+    facts = ("node", "n", "own", "most", "start", "last", "needed")
+    joined = (
         pairs.join(_named(sets, "a", *facts), "node_a")
         .join(_named(sets, "b", *facts), "node_b")
         .where(_fits("a", "b", percent))
-        .where(F.size(F.array_intersect("start_a", "start_b")) >= SHARED)
     )
-    return _verified(
-        bounded.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")),
-        sets.select("node", "tokens"),
-        percent,
+    # Up to the nearer end of the two starts, both sets are known: count what only one of them has.
+    end = F.least("last_a", "last_b")
+    known = [F.size(F.filter(f"start_{x}", lambda t: t <= F.col("end"))) for x in "ab"]
+    shared = F.size(F.array_intersect("start_a", "start_b"))
+    return (
+        joined.withColumn("end", end)
+        .withColumn("shared", shared)
+        .where(F.col("shared") >= F.least("needed_a", "needed_b"))
+        .where(known[0] + known[1] - 2 * F.col("shared") <= _difference(percent))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     )
 
 
-def _cross_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Verified links between groups, found through the token-group matrix."""
+def _cross_pairs(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different groups, found through the token-group matrix."""
     leader = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("leader"))
-    grouped = stored(
-        sets.drop("tokens", "keys")
+    grouped = (
+        sets.drop("keys", "rep")
         .join(leader, "node", "left")
         .withColumn("group", F.coalesce("leader", "node"))
         .drop("leader")
     )
-    rows = grouped.select("node", "group", "n", "most", "light", F.explode("start").alias("token"))
+    # One row per shared token: its place, and how many tokens before it nobody shares.
+    kept = [name for name in grouped.columns if name not in ("start", "places")]
+    rows = stored(
+        grouped.select(*kept, "start", F.posexplode("places").alias("number", "at"))
+        .withColumn("token", F.get("start", F.col("at")))
+        .withColumn("before", F.col("at") - F.col("number"))
+        .drop("start", "number")
+    )
     matrix = (
         rows.where("light")
         .groupBy("token", F.col("group").alias("other"))
-        .agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
+        .agg(
+            F.min("n").alias("smallest"),
+            F.max("n").alias("largest"),
+            F.min("before").alias("least"),
+            F.min("own").alias("alone"),
+            F.min("needed").alias("fewest"),
+        )
     )
+    apart = F.floor((100 - percent) * (F.col("n") + F.col("largest")) / F.lit(100 + percent))
     opened = (
         rows.join(matrix, "token")
         .where("group != other AND smallest <= most")
+        .where((F.col("before") + F.col("least") <= apart) & (F.col("own") + F.col("alone") <= apart))
         .where(100 * F.col("largest") >= percent * F.col("n"))
         .where(100 * F.col("n") >= percent * F.col("smallest"))
         .groupBy("node", "other")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= SHARED)
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("needed", "fewest")).alias("needed"))
+        .where("shared >= needed")
         .select("node", "other")
     )
-    asking = opened.join(rows.select("node", "token", "n", "most", "light"), "node")
-    asking = asking.select(
-        "token", F.col("node").alias("node_a"), F.col("other").alias("group"),
-        F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("light").alias("light_a"),
+    facts = ("node", "at", "before", "n", "own", "most", "length", "last", "needed")
+    asking = opened.join(rows, "node").select(
+        "token", F.col("other").alias("group"), F.col("light").alias("light_a"),
+        *[F.col(name).alias(f"{name}_a") for name in facts],
     )
     members = rows.where("light").select(
-        "token", "group", F.col("node").alias("node_b"), F.col("n").alias("n_b"),
-        F.col("most").alias("most_b"),
-    )
+        "token", "group", *[F.col(name).alias(f"{name}_b") for name in facts]
+    )
     # Of two light sets one asks; a set that is not light asks the light ones.
     met = asking.join(members, ["token", "group"]).where(
-        _fits("a", "b", percent) & (~F.col("light_a") | (F.col("node_a") > F.col("node_b")))
+        _fits("a", "b", percent)
+        & (F.col("before_a") + F.col("before_b") <= _difference(percent))
+        & (~F.col("light_a") | (F.col("node_a") > F.col("node_b")))
     )
-    pairs = (
-        met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= SHARED)
-        .select("a", "b")
+    same = [f"{name}_{x}" for name in ("node", "n", "length", "last", "needed") for x in "ab"]
+    counted = met.groupBy(*same).agg(
+        F.count(F.lit(1)).alias("shared"), F.max("at_a").alias("to_a"), F.max("at_b").alias("to_b")
+    )
+    # The start that ends first is known whole, the other at least up to the last common token.
+    alone = F.when(
+        F.col("last_a") <= F.col("last_b"), F.col("length_a") + F.col("to_b") + 1
+    ).otherwise(F.col("length_b") + F.col("to_a") + 1) - 2 * F.col("shared")
+    enough = F.col("shared") >= F.least("needed_a", "needed_b")
+    return counted.where(enough & (alone <= _difference(percent))).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")
     )
-    return _verified(pairs, sets.select("node", "tokens"), percent)
 
 
 def find_components(
@@ -392,25 +483,23 @@ def find_components(
             F.first("tokens").alias("start"),
         )
     )
-    rows = classes.select("node", F.explode("start").alias("token"))
+    rows = classes.select("node", F.posexplode("start").alias("at", "token"))
     shared = (
         rows.groupBy("token")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("low != high")
+        .agg(F.count(F.lit(1)).alias("classes"))
+        .where("classes > 1")
         .select("token")
     )
-    candidates = (
-        rows.join(broadcast_if_small(shared, 8), "token")
-        .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= SHARED)
-        .select("node")
-    )
-    wanted = stored(classes.join(candidates, "node"))
-    whole = stored(_candidate_sets(df, doc, text, wanted, rarity))
-    sets = stored(_with_privacy(whole, percent))
-    near = stored(_leader_links(sets, percent))
-    links = near.union(_cross_links(sets, near, percent))
+    positions = stored(rows.join(broadcast_if_small(shared, 8), "token"))
+    candidates = stored(_candidates(classes, positions, percent))
+    whole = _whole_sets(df, doc, text, candidates.select("node", "rep"), rarity)
+    sets = stored(_with_privacy(candidates, whole, percent))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return stored(_verified(pairs, whole, percent))
+
+    near = verified(_leader_pairs(sets, percent))
+    links = near.union(verified(_cross_pairs(sets, near, percent)))
     labels = components(links)
     placed = documents.select("__doc", "text_hash", "n", "node").join(labels, "node", "left")
     placed = placed.withColumn("component", F.coalesce("label", "node"))
