@@ -13,6 +13,10 @@ from tripweave.llm import byte_bpe, decontaminate, language_id, line_dedup, ngra
 from tripweave.llm.storage import stored
 
 
+# No contract binds the near-duplicate stage: the usual five-word shingles at a similarity of 0.8.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """The whole row in one column, so that no column of the table clashes with an operator's."""
     return docs.select(F.struct("*").alias("row"), "doc_id", "text")
@@ -38,7 +42,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    kept = ngram_join.keep_one_of_each(_packed(docs))
+    kept = ngram_join.keep_one_of_each(_packed(docs), percent=NEAR_PERCENT, words=NEAR_WORDS)
     return kept.select("row.*")
 
 

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from tripweave.llm import decontaminate, ngram_join
 from tripweave.llm import queries as text_queries
 
@@ -183,3 +184,50 @@ def test_query_over_sample_is_brute_force(spark, small):
     rows = [(r.doc_id, r.text) for r in text_queries.table(spark, small, "documents").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
     assert got == brute_components(rows)
+
+
+def five_word_links(a, b):
+    """Whether the five-word shingles of two texts reach 0.8."""
+    one, other = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return 100 * len(one & other) >= 80 * len(one | other)
+
+
+@pytest.mark.parametrize("words,percent", [(5, 80), (3, 90)])
+def test_starts_of_linked_sets_share_enough(words, percent):
+    for n in range(ngram_join.smallest_linkable(percent), 2000):
+        needed, shared = -(-percent * n // 100), ngram_join.shared_by_starts(n, percent)
+        assert shared <= needed and ngram_join.start_length(n, percent) == n - needed + shared
+
+
+def test_five_words_at_eighty_percent_is_brute_force(documents_of):
+    rows = families(4, families=6, size=10, edits=3)
+    texts = [text for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            both_long = min(len(a.split()), len(texts[j].split())) >= 5
+            if a == texts[j] or both_long and five_word_links(a, texts[j]):
+                root[find(i)] = find(j)
+    expected = {}
+    for i, (number, _) in enumerate(rows):
+        expected.setdefault(find(i), set()).add(number)
+    found = {}
+    for row in ngram_join.find_components(documents_of(rows), percent=80, words=5).collect():
+        found.setdefault(row.component_id, set()).add(row.doc_id)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_pipeline_stage_drops_a_copy_with_one_changed_word(spark, documents_of):
+    words = [f"w{i}" for i in range(50)]
+    changed = words[:25] + ["other"] + words[26:]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(f"x{i}" for i in range(50)))]
+    assert five_word_links(rows[0][1], rows[1][1])
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents_of(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert {c for *_, c in joined(documents_of(rows))} == {1, 2, 3}

@@ -1,0 +1,18 @@
+"""The pipeline's near-duplicate stage, with its own shingles, and the stages behind it."""
+
+import corpus_pipeline
+from tripweave.llm import decontaminate, ngram_join
+from tripweave.llm import queries as text_queries
+
+
+def test_stage_keeps_one_of_each_component_of_its_own_shingles(spark, small):
+    docs = text_queries.table(spark, small, "documents")
+    groups = ngram_join.find_components(docs, percent=80, words=5)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, small).persist()
+    assert kept.count() == groups.select("component").distinct().count() and kept.dtypes == docs.dtypes
+    benchmark = text_queries.table(spark, small, "benchmark")
+    found = decontaminate.find_contamination(kept.select("doc_id", "text"), benchmark)
+    clean = corpus_pipeline.drop_contaminated(spark, kept, small).persist()
+    assert clean.count() == found.where("NOT contaminated").count() and clean.dtypes == docs.dtypes
+    tokens = corpus_pipeline.tokenize(spark, clean, small).persist()
+    assert tokens.count() == clean.count() and tokens.where("NOT round_trip").count() == 0

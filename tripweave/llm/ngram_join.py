@@ -1,13 +1,13 @@
 """Exact n-gram Jaccard join: documents in groups, a token-group matrix, and opened groups.
 
-A document is the set of its distinct three-word shingles. Documents with equal sets are one class from
+A document is the set of its distinct shingles of ``words`` words (three unless said otherwise). Documents with equal sets are one class from
 the start. Classes are partitioned into groups of similar ones: two of three min-hashes name a leader, and
 a class that is verified to link with its leader joins its group. The token-group matrix holds, per
 token, each group whose members have it among their first tokens, with the range of their set sizes.
 
 A class meets another group only through the matrix. All sets are ordered by one global order, shingles
-whose rarest word is rarest first; of two sets that link, the first ``n - ceil(0.9 n) + k`` tokens of
-both share at least ``k``, here a tenth of the set and three. So the overlap of a class with a group is bounded by the tokens they share
+whose rarest word is rarest first; of two sets that link, the first ``n - ceil(p n) + k`` tokens of
+both share at least ``k``, here the share ``1 - p`` of the set and three. So the overlap of a class with a group is bounded by the tokens they share
 in the matrix, and a group that shares fewer, or has no member of a fitting size, stays closed. Members
 of opened groups are bounded by size, by tokens that nobody shares, and by what their starts show to be
 in one of them alone; only what is left is verified, on whole sets. Inside a group nothing is compared:
@@ -17,8 +17,8 @@ labels along links, with pointer jumps, until nothing changes.
 Word rarity is a table of log counts in hashed buckets, whose size is a parameter; it only orders
 tokens. No set of a document without a candidate leaves its task.
 
-Defined cases: null and empty texts have no shingles and link with nothing; texts of one or two words
-have one shingle; a repeated row is another member of its class; a null id is ignored as component id
+Defined cases: null and empty texts have no shingles and link with nothing; texts of fewer words than
+a shingle have one; a repeated row is another member of its class; a null id is ignored as component id
 unless the component has no other; equal ids with different texts are different documents. Set members
 are 58-bit hashes with their rarity, so equality holds but for chance.
 """
@@ -94,7 +94,9 @@ def word_rarity(df: DataFrame, text: Column, buckets: int = RARITY_BUCKETS) -> n
     return table
 
 
-def block_sets(block: text_blocks.Block, rarity: np.ndarray, hasher: text_blocks.Hasher):
+def block_sets(
+    block: text_blocks.Block, rarity: np.ndarray, hasher: text_blocks.Hasher, words: int = WORDS
+):
     """Ordered tokens of all texts of a block, and each text's range of them.
 
     A token is the rarity of its rarest word in the upper 6 bits and 58 bits of the shingle's hash.
@@ -104,12 +106,12 @@ def block_sets(block: text_blocks.Block, rarity: np.ndarray, hasher: text_blocks
     rank = rarity[(hashes & np.uint64(len(rarity) - 1)).astype(np.int64)]
     counts = np.diff(bounds)
     keys, owners = [], []
-    for size in range(1, WORDS + 1):
+    for size in range(1, words + 1):
         found = text_blocks.windows(hashes, size, seed=13)
         owner = text_blocks.window_owner(bounds, size, len(found))
         # Shorter windows stand for whole texts of fewer words.
         take = owner >= 0
-        if size < WORDS:
+        if size < words:
             take &= counts[np.maximum(owner, 0)] == size
         at = np.flatnonzero(take)
         lowest = rank[at]
@@ -166,7 +168,9 @@ def smallest_linkable(percent: int = PERCENT) -> int:
     return n
 
 
-def profiles(text: Column, rarity: np.ndarray, percent: int = PERCENT) -> Column:
+def profiles(
+    text: Column, rarity: np.ndarray, percent: int = PERCENT, words: int = WORDS
+) -> Column:
     """Struct of set size, class (a hash of the set), group keys and first tokens."""
     least = smallest_linkable(percent)
 
@@ -176,7 +180,7 @@ def profiles(text: Column, rarity: np.ndarray, percent: int = PERCENT) -> Column
         for batch in batches:
             rows = []
             for block in text_blocks.blocks(batch):
-                tokens, bounds = block_sets(block, rarity, hasher)
+                tokens, bounds = block_sets(block, rarity, hasher, words)
                 signed = tokens.view(np.int64)
                 names = set_names(tokens)
                 drawn = [text_blocks.mixed(tokens ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) for seed in (1, 2, 3)]
@@ -240,7 +244,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole_sets(
-    df: DataFrame, doc: str, text: str, wanted: DataFrame, rarity: np.ndarray
+    df: DataFrame, doc: str, text: str, wanted: DataFrame, rarity: np.ndarray, words: int = WORDS
 ) -> DataFrame:
     """Whole token sets (node, tokens) of the wanted classes (node, rep), read from one text of each."""
     ids = broadcast_if_small(wanted.select(F.col("rep").alias("__rep")).distinct(), 16)
@@ -256,7 +260,7 @@ def _whole_sets(
         for batch in batches:
             rows = []
             for block in text_blocks.blocks(batch):
-                found, bounds = block_sets(block, rarity, hasher)
+                found, bounds = block_sets(block, rarity, hasher, words)
                 names = set_names(found)
                 rows += [
                     {"node": set_node(names[a:b]), "tokens": found[a:b].view(np.int64)}
@@ -457,7 +461,11 @@ def _cross_pairs(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
 
 
 def find_components(
-    df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT
+    df: DataFrame,
+    doc: str = "doc_id",
+    text: str = "text",
+    percent: int = PERCENT,
+    words: int = WORDS,
 ) -> DataFrame:
     """One row per row of ``df``: id, ``text_hash``, ``n_shingles``, ``component`` and ``component_id``.
 
@@ -469,7 +477,7 @@ def find_components(
         df.select(
             F.col(doc).alias("__doc"),
             F.unhex(F.md5(text)).alias("text_hash"),
-            profiles(F.col(text), rarity, percent).alias("profile"),
+            profiles(F.col(text), rarity, percent, words).alias("profile"),
         ).select("__doc", "text_hash", "profile.*")
     )
     least = smallest_linkable(percent)
@@ -492,7 +500,7 @@ def find_components(
     )
     positions = stored(rows.join(broadcast_if_small(shared, 8), "token"))
     candidates = stored(_candidates(classes, positions, percent))
-    whole = _whole_sets(df, doc, text, candidates.select("node", "rep"), rarity)
+    whole = _whole_sets(df, doc, text, candidates.select("node", "rep"), rarity, words)
     sets = stored(_with_privacy(candidates, whole, percent))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -520,14 +528,18 @@ def find_components(
 
 
 def keep_one_of_each(
-    df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT
+    df: DataFrame,
+    doc: str = "doc_id",
+    text: str = "text",
+    percent: int = PERCENT,
+    words: int = WORDS,
 ) -> DataFrame:
     """The rows of ``df`` without those that link, directly or not, with one that stays.
 
     Of a component the row with the smallest id stays (null first), of equal ids the one with the
     smallest text hash, of equal rows one. Rows without words all stay.
     """
-    found = stored(find_components(df, doc, text, percent))
+    found = stored(find_components(df, doc, text, percent, words))
     place = F.struct(F.col(doc).alias("id"), "text_hash")
     first = (
         found.where("component IS NOT NULL")
