@@ -168,3 +168,43 @@ def test_counts_cover_every_ngram(odd):
 def test_quality_of_an_empty_table(empty):
     assert quality_rules.bucket_counts(empty, F.col("text"), F.lit(True)).count() == 0
     assert quality_rules.judge(empty, np.zeros(quality_rules.BUCKETS)).count() == 0
+
+
+def exact_scores(rows, trusted):
+    """Score of each row's text with one count per word and pair of words."""
+    grams = {}
+    for number, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        grams[number] = [(w,) for w in words] + list(zip(words, words[1:]))
+    raw = Counter(g for own in grams.values() for g in own)
+    target = Counter(g for number, own in grams.items() if number in trusted for g in own)
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {g: np.log(target[g] + 10) - np.log(raw[g] * scale + 10) for g in raw}
+    return {number: sum(ratio[g] for g in own) / max(len(own), 1) for number, own in grams.items()}
+
+
+@pytest.mark.parametrize("slots,hot", [(1 << 21, 1 << 20), (64, 40), (1, 0)])
+def test_scores_do_not_shrink_in_a_crowd(documents_of, monkeypatch, slots, hot):
+    monkeypatch.setattr(quality_rules, "HOT_SLOTS", slots)
+    monkeypatch.setattr(quality_rules, "HOT_NGRAMS", hot)
+    monkeypatch.setattr(quality_rules, "BUCKETS", 1 << 6)  # as crowded as a large corpus made 2^16
+    rng = random.Random(4)
+    good = "rain falls over hills and towns while people walk home slowly".split()
+    rows = [(i, " ".join(rng.choices(good, k=80) + [f"own{i}x{k}" for k in range(20)])) for i in range(60)]
+    rows += [(100 + i, " ".join(w + "$$$" for w in rng.choices(good, k=80))) for i in range(20)]
+    copies = rows[:3] + [(200, rows[-1][1]), (201, rows[-1][1]), (202, None), (203, "")]
+    rows += [(300 + i, text) for i, (_, text) in enumerate(copies)]
+    frame = documents_of(rows)
+    counts = quality_rules.bucket_counts(frame, F.col("text"), F.col("doc_id") < 30)
+    found = {r.doc_id: r for r in quality_rules.judge_by_counts(frame, counts).collect()}
+    expected = exact_scores(rows, set(range(30)))
+    assert len(found) == len(rows)
+    assert all(abs(found[n].score - expected[n]) < 1e-9 for n in expected)
+    assert not any(found[100 + i].kept for i in range(20)) and found[0].kept
+
+
+def test_counted_verdicts_without_trust_and_without_rows(odd, empty):
+    counts = quality_rules.bucket_counts(odd, F.col("text"), F.lit(False))
+    assert {r.score for r in quality_rules.judge_by_counts(odd, counts).collect()} == {0.0}
+    none = quality_rules.bucket_counts(empty, F.col("text"), F.lit(True))
+    assert quality_rules.judge_by_counts(empty, none).count() == 0

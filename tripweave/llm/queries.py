@@ -77,7 +77,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     marked = documents.join(trusted, F.col("doc_id") == F.col("__trusted"), "left")
     counts = quality_rules.bucket_counts(marked, F.col("text"), F.col("__trusted").isNotNull())
-    return quality_rules.judge(documents, quality_rules.log_ratios(counts.collect())).drop("text")
+    return quality_rules.judge_by_counts(documents, counts).drop("text")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
