@@ -115,3 +115,19 @@ def test_broken_archives_are_refused():
         list(warc.members(Stream(whole[:-3])))
     with pytest.raises(ValueError):
         warc.parse(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_urls_with_unicode_blanks_at_their_ends(spark):
+    blanks = ["\u00a0", "\u0085", "\u2003", "\u2028", "\u3000"]
+    rows = [(i, f"{b}http://e.org/{i}", f"a{i}") for i, b in enumerate(blanks)]
+    rows += [(10 + i, f"http://e.org/{i}{b}", f"b{i}") for i, b in enumerate(blanks)]
+    pages, folder, _, top = archived(spark, rows)
+    found = warc.look_up(pages, folder, top, complete=True).collect()
+    assert sorted((tuple(r) for r in found), key=str) == expected(rows)
+
+
+def test_a_wanted_page_without_capture_is_an_error_if_asked(spark):
+    pages, folder, _, top = archived(spark, ROWS)
+    absent = pages.limit(1).select((F.col("page_id") + 10_000).alias("page_id"), "url")
+    with pytest.raises(Exception, match="no capture of page"):
+        warc.look_up(absent, folder, top, complete=True).collect()

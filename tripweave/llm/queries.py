@@ -92,7 +92,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder, _, top = warc.archive_pages(pages)
-    return warc.look_up(pages.select("page_id", "url"), folder, top)
+    return warc.look_up(pages.select("page_id", "url"), folder, top, complete=True)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

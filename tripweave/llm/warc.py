@@ -146,7 +146,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     headers = {}
     for line in lines[1:]:
         name, _, value = line.partition(":")
-        headers[name.strip().lower()] = value.strip()
+        # Blanks of HTTP only: a URL may begin or end with other Unicode blanks.
+        headers[name.strip(" \t").lower()] = value.strip(" \t")
     return headers, rest[: int(headers["content-length"])]
 
 
@@ -340,8 +341,11 @@ class IndexReader:
             at += 1
 
 
-def locate(wanted: DataFrame, top: list[tuple], folder: str) -> DataFrame:
-    """(path, begin, size) of every capture of the wanted (key, id), each wanted pair once."""
+def locate(wanted: DataFrame, top: list[tuple], folder: str, complete: bool = False) -> DataFrame:
+    """(path, begin, size) of every capture of the wanted (key, id), each wanted pair once.
+
+    With ``complete`` a wanted pair without a capture is an error.
+    """
     firsts = [(key, number) for key, number, _ in top]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +354,10 @@ def locate(wanted: DataFrame, top: list[tuple], folder: str) -> DataFrame:
             found = []
             for want in _rows([batch]):
                 if want != last:
-                    found += reader.captures(want)
+                    own = list(reader.captures(want))
+                    if complete and not own:
+                        raise ValueError(f"no capture of page {want[1]} with key {want[0]!r}")
+                    found += own
                     last = want
             yield pa.RecordBatch.from_arrays(
                 [
@@ -444,8 +451,16 @@ def archive_pages(
 
 
 def look_up(
-    wanted: DataFrame, folder: str, top: list[tuple], page: str = "page_id", url: str = "url"
+    wanted: DataFrame,
+    folder: str,
+    top: list[tuple],
+    page: str = "page_id",
+    url: str = "url",
+    complete: bool = False,
 ) -> DataFrame:
-    """The records of the wanted (id, url) rows: id, payload length and digest, type, referred id."""
+    """The records of the wanted (id, url) rows: id, payload length and digest, type, referred id.
+
+    Rows without a capture give nothing, or an error with ``complete``.
+    """
     keyed = wanted.select(url_key(F.col(url)).alias("key"), F.col(page).alias("id"))
-    return fetch(locate(keyed, top, folder), folder)
+    return fetch(locate(keyed, top, folder, complete), folder)
