@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripweave.llm import license_scan
+from tripweave.llm import license_scan, vector_codes
 
 LINE_DEDUP = r"""
 WITH base AS (
@@ -197,6 +197,54 @@ FROM best WHERE place = 1
 """
 
 
+def vector_codes_sql() -> str:
+    """Codes in 64-bit integers, for vectors of one width that the number of parts divides."""
+    rounds, before = [], "book0"
+    for number in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""near{number} AS MATERIALIZED (
+  SELECT r, c.part, any_value(c.p) AS p,
+    min(list_sum(list_transform(list_zip(c.p, b.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT
+      * {vector_codes.ENTRIES} + entry) AS best
+  FROM cut c JOIN {before} b ON c.part = b.part GROUP BY r, c.part
+)""")
+        if number < vector_codes.ROUNDS:
+            rounds.append(f"""book{number + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(any_value(m.p), any_value(b.p)) AS p
+  FROM {before} b LEFT JOIN (
+    SELECT part, entry, list(v ORDER BY i) AS p FROM (
+      SELECT part, entry, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM (
+        SELECT part, best % {vector_codes.ENTRIES} AS entry, unnest(p) AS v, generate_subscripts(p, 1) AS i
+        FROM near{number}) GROUP BY part, entry, i) GROUP BY part, entry
+  ) m ON m.part = b.part AND m.entry = b.entry GROUP BY b.part, b.entry
+)""")
+            before = f"book{number + 1}"
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding,
+    list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v,
+    len(embedding) // {vector_codes.PARTS} AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT r, part, v[part * w + 1:part * w + w] AS p FROM kept, range({vector_codes.PARTS}) AS n(part)
+), seeds AS (
+  SELECT first(r ORDER BY embedding) AS r, row_number() OVER (ORDER BY vec_id) - 1 AS entry
+  FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id
+), book0 AS MATERIALIZED (
+  SELECT part, entry, p FROM seeds JOIN cut USING (r) WHERE entry < {vector_codes.ENTRIES}
+), {", ".join(rounds)}, coded AS (
+  SELECT r, string_agg(lpad(lower(to_hex(best % {vector_codes.ENTRIES})), 2, '0'), '' ORDER BY part) AS code,
+    sum(best // {vector_codes.ENTRIES})::BIGINT AS error
+  FROM near{vector_codes.ROUNDS} GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY part, entry)) AS digest FROM {before}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  digest AS codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": LINE_DEDUP,
@@ -205,4 +253,5 @@ def all_sql() -> dict[str, str]:
         "op7_license_scan": license_sql(),
         "op9_sharding": SHARDING,
         "op10_decontaminate": DECONTAMINATE,
+        "op12_vector_codes": vector_codes_sql(),
     }

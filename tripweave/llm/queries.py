@@ -18,8 +18,10 @@ from tripweave.llm import (
     quality_rules,
     sharding,
     toxicity,
+    vector_codes,
     warc,
 )
+from tripweave.llm.storage import stored
 from tripweave.session import broadcast_if_small
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +120,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(sharded, "shard", "doc_id").withColumn("law", F.lit("key"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vector_codes.usable(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    books = vector_codes.fit(vectors, "vec_id", "embedding")
+    coded = stored(vector_codes.encode(vectors, books, "embedding").drop("embedding"))
+    # Partly summed before the shuffle; the sums join without a shuffle of the vectors while they are few.
+    sums = coded.groupBy(F.col("label").alias("of")).agg(
+        F.try_sum("error").alias("label_error")
+    )
+    return coded.join(
+        broadcast_if_small(sums, 64), F.col("label").eqNullSafe(F.col("of"))
+    ).select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -130,6 +151,7 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_sharding": op9_sharding,
         "op10_decontaminate": op10_decontaminate,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
