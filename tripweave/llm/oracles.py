@@ -90,13 +90,15 @@ FROM sized s JOIN reached r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n
 """
 
 # CRC-32 over the bytes of a text: a table of 256 remainders, then one step for each byte.
-SHARDING = r"""
+CRC_TABLE = r"""
 WITH crc_table AS (
   SELECT list(value ORDER BY i) AS t FROM (
     SELECT i, list_reduce(list_prepend(i, range(8)),
       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS value
     FROM range(256) AS r(i))
-), sized AS (
+)"""
+
+SHARDING = CRC_TABLE + r""", sized AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), summed AS (
   SELECT doc_id, strlen(text) + 16 AS size,
@@ -197,6 +199,52 @@ FROM best WHERE place = 1
 """
 
 
+# Every prefix of a rebuilt conversation by the digests of its turns.
+CONVERSATION_TRIE = CRC_TABLE + r""", turns AS (
+  SELECT conv_id AS c, text, md5(len(role) || ':' || role || text) AS id,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+      substr(md5(len(role) || ':' || role || text), 1, 24), len(text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT,
+        list_transform(regexp_extract_all(hex(c::VARCHAR), '..'), lambda p: ('0x' || p)::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc_table
+), joined AS (
+  SELECT v.c, 0 AS side, pos, id, text FROM convs v JOIN turns t ON t.c = base AND pos <= h
+  UNION ALL
+  SELECT v.c, 1, pos, id, text FROM convs v JOIN turns t ON t.c = v.c AND pos > h
+), numbered AS (
+  SELECT c, id, len(text) AS n, row_number() OVER (PARTITION BY c ORDER BY side, pos) AS d FROM joined
+), members AS MATERIALIZED (
+  SELECT c, d, n, string_agg(id, '') OVER (PARTITION BY c ORDER BY d) AS path FROM numbered
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), nodes AS MATERIALIZED (
+  SELECT d, path, substr(path, 1, greatest(32 * (d - 1), 0)) AS above, min(c) AS c, count(*) AS n_convs,
+    (count(*) - 1) * any_value(n) AS saved
+  FROM members GROUP BY d, path
+), families AS (
+  SELECT d - 1 AS d, above AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY d, above
+), subtrees AS (
+  SELECT m.d, m.path, count(*) FILTER (WHERE f.n_children IS NULL) AS n_leaves, sum(saved) AS saved
+  FROM nodes k LEFT JOIN families f ON f.d = k.d AND f.path = k.path
+    JOIN members m ON m.c = k.c AND m.d <= k.d GROUP BY m.d, m.path
+), ends AS (
+  SELECT d, path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS digest
+  FROM members m JOIN (SELECT c, max(d) AS d FROM members GROUP BY c) USING (c, d) GROUP BY d, path
+)
+SELECT k.c AS conv_id, k.d::BIGINT AS depth, p.c AS parent_conv_id, k.n_convs,
+  coalesce(f.n_children, 0) AS n_children, n_leaves, s.saved::BIGINT AS saved_tokens,
+  coalesce(e.digest, sha256('')) AS ends_sha256
+FROM nodes k JOIN subtrees s ON s.d = k.d AND s.path = k.path
+  LEFT JOIN nodes p ON p.d = k.d - 1 AND p.path = k.above
+  LEFT JOIN families f ON f.d = k.d AND f.path = k.path
+  LEFT JOIN ends e ON e.d = k.d AND e.path = k.path
+"""
+
+
 def vector_codes_sql() -> str:
     """Codes in 64-bit integers, for vectors of one width that the number of parts divides."""
     rounds, before = [], "book0"
@@ -254,4 +302,5 @@ def all_sql() -> dict[str, str]:
         "op9_sharding": SHARDING,
         "op10_decontaminate": DECONTAMINATE,
         "op12_vector_codes": vector_codes_sql(),
+        "op13_conversation_trie": CONVERSATION_TRIE,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm import (
     byte_bpe,
+    conversation_trie,
     decontaminate,
     language_id,
     license_scan,
@@ -139,6 +140,26 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt_conversations(conversations: DataFrame) -> DataFrame:
+    """Keys whose first turns come from the first conversation of their hundred."""
+    own = stored(conversation_trie.keys(conversations))
+    heads = own.where("conv_id % 100 = 0").select(
+        F.col("conv_id").alias("base"), conversation_trie.turns(count="5").alias("head")
+    )
+    grafted = own.withColumns(
+        {
+            "base": F.expr("conv_id - conv_id % 100"),
+            "h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6,
+        }
+    ).join(broadcast_if_small(heads, 160), "base", "left")
+    head = F.coalesce(conversation_trie.turns("head", count="h"), F.lit(b""))
+    return grafted.select("conv_id", F.concat(head, conversation_trie.turns(first="h")).alias("key"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_tree(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -152,6 +173,7 @@ def queries() -> dict[str, Query]:
         "op9_sharding": op9_sharding,
         "op10_decontaminate": op10_decontaminate,
         "op12_vector_codes": op12_vector_codes,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
