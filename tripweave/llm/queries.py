@@ -17,6 +17,7 @@ from tripweave.llm import (
     ngram_join,
     oracles,
     quality_rules,
+    secret_scan,
     sharding,
     toxicity,
     vector_codes,
@@ -121,6 +122,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(sharded, "shard", "doc_id").withColumn("law", F.lit("key"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dictionary = secret_scan.fit_dictionary(documents)
+    found = secret_scan.find_secrets(documents, dictionary).drop("text")
+    base = F.filter("secrets", lambda s: s.kind != secret_scan.NOVEL)
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    kinds = [counted(kind) for kind in ("assign", "access", "hex", secret_scan.NOVEL)]
+    digest = F.sha2(listed(base).cast("binary"), 256)
+    return found.select(
+        "doc_id", *kinds, digest.alias("base_sha256"), listed(F.col("secrets")).alias("spans")
+    )
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vector_codes.usable(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
     books = vector_codes.fit(vectors, "vec_id", "embedding")
@@ -172,6 +192,7 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_sharding": op9_sharding,
         "op10_decontaminate": op10_decontaminate,
+        "op11_secret_scan": op11_secret_scan,
         "op12_vector_codes": op12_vector_codes,
         "op13_conversation_trie": op13_conversation_trie,
     }
