@@ -18,9 +18,9 @@ def test_matches_sql(spark, small, name):
     assert problem is None and rows > 0
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = set(registered.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")}
     assert "pipeline" in names and set(registered.oracle_sql()) <= names
 
 
@@ -40,7 +40,8 @@ def test_stages_keep_columns_and_decide(spark, small):
             assert result.count() == before - gone
             assert result.where(F.col("n_chars") != F.length("text")).count() == 0
         if number == 2:
-            groups = ngram_join.find_components(docs)
+            words, percent = corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT
+            groups = ngram_join.find_components(docs, percent=percent, words=words)
             assert result.count() == groups.select("component").distinct().count()
         if number == 3:
             benchmark = text_queries.table(spark, small, "benchmark")
