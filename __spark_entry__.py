@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
+from tripweave.operators.zone_match import ZoneIndex  # noqa: E402
 from tripweave.plans import (  # noqa: E402
     cleaning,
     demand,
@@ -23,7 +24,6 @@ from tripweave.plans import (  # noqa: E402
     zone_counts,
     zones,
 )
-from tripweave.session import cut_lineage  # noqa: E402
 from tripweave.sources import lookups, sample_tables  # noqa: E402
 from tripweave.sources.tripdata import trips_union  # noqa: E402
 
@@ -301,21 +301,21 @@ def _on_monthly(plan: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: plan(_monthly(spark, sf_dir))
 
 
-def _bus_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bus_stops(spark: SparkSession, sf_dir: str, index: ZoneIndex | None = None) -> DataFrame:
     return facilities.point_zones(
-        sample_tables.bus_stops(spark, sf_dir), sample_tables.zones(spark, sf_dir)
+        sample_tables.bus_stops(spark, sf_dir), index or sample_tables.zones(spark, sf_dir)
     )
 
 
-def _subway(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _subway(spark: SparkSession, sf_dir: str, index: ZoneIndex | None = None) -> DataFrame:
     return facilities.point_zones(
-        sample_tables.subway_stations(spark, sf_dir), sample_tables.zones(spark, sf_dir)
+        sample_tables.subway_stations(spark, sf_dir), index or sample_tables.zones(spark, sf_dir)
     )
 
 
-def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lots(spark: SparkSession, sf_dir: str, index: ZoneIndex | None = None) -> DataFrame:
     return facilities.lot_zones(
-        sample_tables.parking_lots(spark, sf_dir), sample_tables.zones(spark, sf_dir)
+        sample_tables.parking_lots(spark, sf_dir), index or sample_tables.zones(spark, sf_dir)
     )
 
 
@@ -340,15 +340,14 @@ def _lot_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facility_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lots = cut_lineage(_lot_figures(spark, sf_dir))
-    shown = facilities.facility_map(
-        sample_tables.zones(spark, sf_dir),
-        bus_stop_nums=_bus_stop_counts(spark, sf_dir),
-        sub_stn_nums=_subway_counts(spark, sf_dir),
-        lot_nums=lots,
-        lot_area=lots,
+    shapes = sample_tables.zones(spark, sf_dir)
+    index = ZoneIndex(shapes)
+    measured = facilities.facility_figures(
+        bus_stop_nums=_bus_stops(spark, sf_dir, index),
+        sub_stn_nums=_subway(spark, sf_dir, index),
+        lot_nums=_lots(spark, sf_dir, index),
     )
-    return rounded(shown, "value", digits=AREA_DIGITS)
+    return rounded(facilities.facility_map(shapes, measured), "value", digits=AREA_DIGITS)
 
 
 def _parking_counterexamples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,10 +184,128 @@ def test_cells_are_measured_in_any_map_unit(spark, unit):
         [(i, square(i % 4 + 0.4, i // 4 + 0.4, 0.001)) for i in range(16)], "n long, the_geom string"
     )
     assert all(r.n == r.LocationID for r in zone_match.match_areas(lots, zones).collect())
-    grid = zone_match._zone_grid(
-        zones, ["LocationID"], "LocationID", "the_geom", zone_match.area_cell(lots, zones), 8, None
+    index = zone_match.ZoneIndex(zones)
+    assert index.cells([0], zone_match.PADDING).count() < 16 * 200
+
+
+@pytest.fixture(scope="module")
+def ragged(spark):
+    """One zone of 4,000 sides with a hole of 400, one of two parts, one tiny, one far away and huge."""
+    rng = random.Random(23)
+    outer = star(rng, 0, 0, 50, 4000)
+    hole = star(rng, 0, 0, 15, 400)
+    rings = [outer, hole]
+    zones = [
+        (1, "MULTIPOLYGON ((" + ", ".join("(" + ", ".join(f"{x!r} {y!r}" for x, y in r) + ")" for r in rings) + "))"),
+        (2, "MULTIPOLYGON (((60 0, 70 0, 70 10, 60 0)), ((60 20, 70 20, 70 30, 60 20)))"),
+        (3, wkt(closed([(20.0, 20.0), (20.01, 20.0), (20.0, 20.01)]))),
+        (4, wkt(closed([(1000, 1000), (1400, 1000), (1400, 1500), (1000, 1500)]))),
+    ]
+    rows = [(i, f"z{i}", "b", text) for i, text in zones]
+    return spark.createDataFrame(rows, "LocationID long, zone string, borough string, the_geom string")
+
+
+@pytest.mark.parametrize("padding", [zone_match.ROUNDING, zone_match.PADDING])
+def test_cells_keep_only_their_own_sides(ragged, padding):
+    levels = [0, 2, 5]
+    index = zone_match.ZoneIndex(ragged)
+    found = index.cells(levels, padding).collect()
+    assert {r.level for r in found} == set(levels)
+    sides = {r.names.order: r.sides for r in index.shaped.collect()}
+    stored, crossed = 0, 0
+    for row in found:
+        size = index.cell * 2**row.level
+        left, low = row.corner
+        far = size * (1 + 2 * padding)
+        stored += len(row.sides)
+        # No cell has a side that passes it by: of a side clipped to the cell something is left.
+        for e in row.sides:
+            assert min(e.ax, e.bx) <= left + far and max(e.ax, e.bx) >= left
+            assert min(e.ay, e.by) <= low + far and max(e.ay, e.by) >= low
+            crossed += _clipped(e, left, low, far)
+    total = sum(map(len, sides.values()))
+    # A side that crosses more than one cell costs one entry for each, in each size class.
+    assert stored <= len(levels) * total + crossed and crossed >= 0.98 * stored
+    # Whole cells have no sides at all, and many of the large zone's cells are whole.
+    assert sum(r.corner_inside and not r.sides for r in found) > 10
+
+
+def _clipped(e, left, low, far):
+    """Whether a side crosses a square."""
+    t0, t1 = 0.0, 1.0
+    for start, end, least, most in ((e.ax, e.bx, left, left + far), (e.ay, e.by, low, low + far)):
+        run = end - start
+        if run == 0:
+            if not least <= start <= most:
+                return False
+            continue
+        a, b = sorted(((least - start) / run, (most - start) / run))
+        t0, t1 = max(t0, a), min(t1, b)
+    return t0 <= t1
+
+
+def test_corners_tell_inside_from_outside(ragged):
+    index = zone_match.ZoneIndex(ragged)
+    sides = {r.names.order: r.sides for r in index.shaped.collect()}
+    for row in index.cells([0, 1], zone_match.PADDING).collect():
+        x, y = row.corner
+        odd = sum((e.ay > y) != (e.by > y) and x < e.ax + (e.bx - e.ax) * (y - e.ay) / (e.by - e.ay)
+                  for e in sides[row.names.order]) % 2 == 1
+        assert row.corner_inside == odd
+
+
+@pytest.mark.parametrize("cell", [None, 0.25, 1.0, 2.0])
+def test_points_on_cell_borders_and_corners(spark, cell):
+    """Zones whose sides lie on the borders of cells, and places on, beside and between them."""
+    layout = [(n, closed([(n % 3, n // 3), (n % 3 + 1, n // 3), (n % 3 + 1, n // 3 + 1), (n % 3, n // 3 + 1)]))
+              for n in range(9)]
+    layout += [(9, closed([(0, 0), (3, 3), (0, 3)])), (10, closed([(4, 0), (5, 1), (4, 2), (3, 1)]))]
+    steps = [k / 8 for k in range(-4, 45)]
+    places = [(x, y) for x in steps for y in steps[:36]]
+    points = spark.createDataFrame([(x, y, f"POINT ({x} {y})") for x, y in places], "x double, y double, the_geom string")
+    zones = zone_table(spark, layout)
+    got = {(r.x, r.y): r.LocationID for r in match_points(points, zones, cell=cell).collect()}
+
+    def strictly(ring, x, y):
+        on = any(cross(a, b, (x, y)) == 0 and min(a[0], b[0]) <= x <= max(a[0], b[0])
+                 and min(a[1], b[1]) <= y <= max(a[1], b[1]) for a, b in zip(ring, ring[1:]))
+        return not on and contains(ring, x, y)
+
+    for x, y in places:
+        assert got[x, y] == next((z for z, ring in layout if strictly(ring, x, y)), None), (x, y)
+
+
+def test_only_size_classes_that_occur_are_laid_out(spark, ragged):
+    index = zone_match.ZoneIndex(ragged)
+    tiny, wide = index.cell / 10, index.cell * 900
+    squares = [(1, 0.0, 30.0, tiny), (2, 1200.0, 1200.0, tiny), (3, -500.0, -500.0, wide), (4, 21.0, 21.0, tiny)]
+    lots = spark.createDataFrame(
+        [(n, wkt(closed([(x, y), (x + w, y), (x + w, y + w), (x, y + w)]))) for n, x, y, w in squares],
+        "n long, the_geom string",
     )
-    assert grid.where("_level = 0").count() < 16 * 200
+    got = {r.n: r.LocationID for r in match_areas(lots, index).collect()}
+    assert got == {1: 1, 2: 4, 3: 1, 4: 1}
+    [(levels, _)] = index._grids
+    assert levels == (0, 10)
+
+
+def test_one_index_serves_many_matches(spark, ragged):
+    index = zone_match.ZoneIndex(ragged)
+    points = spark.createDataFrame([("POINT (0 17)",), ("POINT (1 18)",)], "the_geom string")
+    assert [r.LocationID for r in match_points(points, index).collect()] == [1, 1]
+    first = index.grid([0], zone_match.ROUNDING)
+    match_points(points, index)
+    assert index.grid([0], zone_match.ROUNDING) is first
+
+
+def test_empty_tables_and_shapes(spark, ragged):
+    none = spark.createDataFrame([], "n long, the_geom string")
+    lots = spark.createDataFrame([(1, "POLYGON EMPTY"), (2, None), (3, "x"), (4, wkt([(0, 17)] * 4))], "n long, the_geom string")
+    assert match_areas(none, ragged).count() == match_points(none, ragged).count() == 0
+    assert {r.n: r.LocationID for r in match_areas(lots, ragged).collect()} == {1: None, 2: None, 3: None, 4: 1}
+    no_zones = ragged.limit(0)
+    assert [r.LocationID for r in match_areas(lots, no_zones).collect()] == [None] * 4
+    assert match_points(lots, no_zones).where("LocationID IS NULL").count() == 4
 
 
 @pytest.mark.parametrize("text", [

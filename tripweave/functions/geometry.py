@@ -118,8 +118,49 @@ def inside(edges: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
-    return inside(edges, x, y) & ~on_edge(edges, x, y)
+def passes_height(e: Column, y: Column) -> Column:
+    """Whether a side passes from at most this height to above it."""
+    return (e["ay"] > y) != (e["by"] > y)
+
+
+def _turns(e: Column, x: Column, y: Column) -> Column:
+    return (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+
+
+def is_right_of(e: Column, x: Column, y: Column) -> Column:
+    """Whether a side that passes the height lies to the right of the place; on the side is not."""
+    both = (e["ax"] > x) & (e["bx"] > x)
+    either = (e["ax"] > x) | (e["bx"] > x)
+    turns = _turns(e, x, y)
+    return both | (either & F.when(e["by"] > e["ay"], turns > 0).otherwise(turns < 0))
+
+
+def _is_above(e: Column, x: Column, y: Column) -> Column:
+    """Whether a side that passes the x lies above the place.
+
+    Where the side passes the height too, the answer follows from ``is_right_of``, so that rounding
+    cannot make the two disagree: a rising side is above what it is not to the right of.
+    """
+    both = (e["ay"] > y) & (e["by"] > y)
+    either = (e["ay"] > y) | (e["by"] > y)
+    rising = (e["bx"] > e["ax"]) == (e["by"] > e["ay"])
+    return both | (either & (is_right_of(e, x, y) != rising))
+
+
+def passes_oddly(edges: Column, x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
+    """Whether an odd number of sides lies between two places, first up or down and then across.
+
+    Places exactly on a side count as just beyond it, to the right and above, at both ends alike.
+    """
+    up = F.filter(
+        edges,
+        lambda e: ((e["ax"] > x) != (e["bx"] > x)) & (_is_above(e, x, y) != _is_above(e, x, to_y)),
+    )
+    across = F.filter(
+        edges,
+        lambda e: passes_height(e, to_y) & (is_right_of(e, x, to_y) != is_right_of(e, to_x, to_y)),
+    )
+    return (F.size(up) + F.size(across)) % 2 == 1
 
 
 def boxes_overlap(a: Column, b: Column) -> Column:
@@ -155,15 +196,6 @@ def _segments_meet(e: Column, f: Column) -> Column:
     )
 
 
-def polygons_intersect(
-    edges_a: Column, starts_a: Column, edges_b: Column, starts_b: Column
-) -> Column:
-    """True when the two areas share at least one point, touching included.
-
-    Either two sides meet, or one area holds a whole part of the other, which a single vertex shows.
-    """
-    return (
-        F.exists(edges_a, lambda e: F.exists(edges_b, lambda f: _segments_meet(e, f)))
-        | F.exists(starts_a, lambda p: inside(edges_b, p["x"], p["y"]))
-        | F.exists(starts_b, lambda p: inside(edges_a, p["x"], p["y"]))
-    )
+def sides_meet(edges_a: Column, edges_b: Column) -> Column:
+    """True when any side of the one shares a point with any side of the other, touching included."""
+    return F.exists(edges_a, lambda e: F.exists(edges_b, lambda f: _segments_meet(e, f)))

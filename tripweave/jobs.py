@@ -22,6 +22,7 @@ from tripweave.plans import (
     zone_counts,
     zones,
 )
+from tripweave.operators.zone_match import ZoneIndex
 from tripweave.schema import BOROUGH_ORDER
 from tripweave.session import cut_lineage
 from tripweave.sources import lookups, sinks, tripdata
@@ -214,13 +215,13 @@ def count_zones(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def match_facilities(spark: SparkSession, args: argparse.Namespace) -> None:
     """Give bus stops, subway stations or parking lots their zone, and count them per zone."""
-    shapes = _zone_shapes(spark, args.zones)
+    index = ZoneIndex(_zone_shapes(spark, args.zones), cell=args.cell)
     table = lookups.read_geometry_csv(spark, args.facilities)
     if args.kind == "lots":
         area = F.col("SHAPE_Area").cast("double")
-        placed = facilities.lot_zones(table.withColumn("SHAPE_Area", area), shapes, args.cell)
+        placed = facilities.lot_zones(table.withColumn("SHAPE_Area", area), index)
     else:
-        placed = facilities.point_zones(table, shapes, args.cell)
+        placed = facilities.point_zones(table, index)
     sinks.write_table(placed, f"{args.out}/with_location")
     placed = spark.read.parquet(f"{args.out}/with_location")
     name = {"bus": "bus_stop_nums", "subway": "sub_stn_nums", "lots": "lot_nums"}[args.kind]

@@ -1,24 +1,36 @@
-"""Ranks over aggregated tables (one row per zone)."""
+"""Ranks over aggregated tables (one row per zone, or per zone and group)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def half_flag(df: DataFrame, measure: str, tie_break: str, name: str = "half") -> DataFrame:
-    """0 for the upper half of the descending list, 1 for the lower half.
+def half_flag(
+    df: DataFrame, measure: str, tie_break: str, name: str = "half", within: Sequence[str] = ()
+) -> DataFrame:
+    """0 for the upper half of each group's descending list, 1 for the lower half.
 
-    The input is an aggregate with one row per zone, so the ungrouped window is over zones, not trips.
+    The input is an aggregate with one row per zone and group, so the window is over zones, not trips.
     """
-    ranked = Window.orderBy(F.col(measure).desc(), F.col(tie_break))
+    group = Window.partitionBy(*within)
+    ranked = group.orderBy(F.col(measure).desc(), F.col(tie_break))
     position = F.row_number().over(ranked) - 1
-    size = F.count(F.lit(1)).over(Window.partitionBy())
+    size = F.count(F.lit(1)).over(group)
     return df.withColumn(name, (2 * position >= size).cast("int"))
 
 
-def first_and_last(df: DataFrame, measure: str, tie_break: str, each: int = 5) -> DataFrame:
-    """The first and the last rows of the descending list; both sides are top-k plans."""
-    head = df.orderBy(F.col(measure).desc(), F.col(tie_break)).limit(each)
-    tail = df.orderBy(F.col(measure), F.col(tie_break).desc()).limit(each)
-    return head.unionByName(tail)
+def first_and_last(
+    df: DataFrame, measure: str, tie_break: str, each: int = 5, within: Sequence[str] = ()
+) -> DataFrame:
+    """The first and the last rows of each group's descending list, each row once."""
+    group = Window.partitionBy(*within)
+    first = F.row_number().over(group.orderBy(F.col(measure).desc(), F.col(tie_break)))
+    last = F.row_number().over(group.orderBy(F.col(measure), F.col(tie_break).desc()))
+    return (
+        df.withColumns({"_first": first, "_last": last})
+        .where((F.col("_first") <= each) | (F.col("_last") <= each))
+        .drop("_first", "_last")
+    )

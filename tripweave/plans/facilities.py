@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators.ranking import first_and_last, half_flag
-from tripweave.operators.zone_match import match_areas, match_points
-from tripweave.session import cut_lineage
+from tripweave.operators.zone_match import ZoneIndex, match_areas, match_points
 
 # Columns of the parking lot table that no report uses.
 LOT_DROPS = ("the_geom", "FEAT_CODE", "SUB_CODE", "STATUS", "SHAPE_Leng")
@@ -19,14 +18,14 @@ def _zone_columns(matched: DataFrame) -> DataFrame:
     return matched.withColumnRenamed("LocationID", "ID")
 
 
-def point_zones(points: DataFrame, zones: DataFrame, cell: float | None = None) -> DataFrame:
+def point_zones(points: DataFrame, zones: DataFrame | ZoneIndex) -> DataFrame:
     """Each stop with the first zone that contains it; stops outside all zones stay."""
-    return _zone_columns(match_points(points, zones, cell=cell)).drop("the_geom")
+    return _zone_columns(match_points(points, zones)).drop("the_geom")
 
 
-def lot_zones(lots: DataFrame, zones: DataFrame, cell: float | None = None) -> DataFrame:
+def lot_zones(lots: DataFrame, zones: DataFrame | ZoneIndex) -> DataFrame:
     """Each lot with the first zone it touches; lots outside all zones stay."""
-    return _zone_columns(match_areas(lots, zones, cell=cell)).drop(*LOT_DROPS)
+    return _zone_columns(match_areas(lots, zones)).drop(*LOT_DROPS)
 
 
 def count_per_zone(placed: DataFrame, name: str) -> DataFrame:
@@ -45,22 +44,26 @@ def lot_figures(placed: DataFrame, area: str = "SHAPE_Area") -> DataFrame:
     )
 
 
-def facility_map(zones: DataFrame, **measures: DataFrame) -> DataFrame:
-    """Per-zone measures with the zone shapes, one row per measure and zone.
+def facility_figures(area: str = "SHAPE_Area", **placed: DataFrame) -> DataFrame:
+    """Facilities per zone and kind, long: ``ID``, ``measure``, ``value``; lots also by their area.
 
-    Each keyword names the measure column of the table passed for it.
+    Each keyword names the count of the placed facilities passed for it. One aggregate serves all.
     """
+    parts = []
+    for name, table in placed.items():
+        figures = [F.struct(F.lit(name).alias("measure"), F.lit(1.0).alias("value"))]
+        if area in table.columns:
+            figures.append(F.struct(F.lit("lot_area").alias("measure"), F.col(area).alias("value")))
+        parts.append(table.select("ID", F.inline(F.array(*figures))))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("ID", "measure").agg(F.sum("value").alias("value"))
+
+
+def facility_map(zones: DataFrame, figures: DataFrame) -> DataFrame:
+    """Figures per zone and measure with the zone's shape, for those that have one."""
     shapes = zones.select("LocationID", "the_geom")
-    parts = [
-        table.join(shapes, table["ID"] == shapes["LocationID"]).select(
-            F.lit(name).alias("measure"),
-            "LocationID",
-            F.col(name).cast("double").alias("value"),
-            "the_geom",
-        )
-        for name, table in measures.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    shown = figures.join(shapes, figures["ID"] == shapes["LocationID"])
+    return shown.select("measure", "LocationID", "value", "the_geom")
 
 
 def parking_counterexamples(
@@ -70,31 +73,27 @@ def parking_counterexamples(
 
     Zones are halved by trip count (per direction) and by lot count or lot area; a zone whose
     halves agree is a counterexample. The busiest and the quietest few of every comparison count.
-    Both inputs have a row per zone; they are computed once for the four comparisons.
+    The four comparisons are groups of one plan, and both inputs have a row per zone.
     """
-    totals, lots = cut_lineage(totals), cut_lineage(lots)
-    traffic = {
-        direction: half_flag(
-            totals.filter(F.col("direction") == direction).select("LocationID", "trip_count"),
-            "trip_count",
-            "LocationID",
-            "traffic_half",
-        )
-        for direction in ("DO", "PU")
-    }
-    parking = [
-        half_flag(lots, "lot_nums", "ID", "parking_half"),
-        half_flag(lots, "lot_area", "ID", "parking_half"),
+    traffic = half_flag(
+        totals.select("direction", "LocationID", "trip_count"),
+        "trip_count",
+        "LocationID",
+        "traffic_half",
+        within=["direction"],
+    )
+    measures = [
+        F.struct(F.lit(name).alias("kind"), F.col(name).cast("double").alias("amount"))
+        for name in ("lot_nums", "lot_area")
     ]
-    alike = []
-    for ranked in parking:
-        for rides in traffic.values():
-            both = rides.join(
-                ranked.select(F.col("ID").alias("LocationID"), "parking_half"), "LocationID"
-            )
-            agree = both.filter(F.col("traffic_half").bitwiseXOR(F.col("parking_half")) == 0)
-            alike.append(
-                first_and_last(agree, "trip_count", "LocationID", each).select("LocationID")
-            )
-    chosen = reduce(DataFrame.unionByName, alike).distinct()
-    return zones.join(chosen, "LocationID", "left_semi")
+    parking = half_flag(
+        lots.select(F.col("ID").alias("LocationID"), F.inline(F.array(*measures))),
+        "amount",
+        "LocationID",
+        "parking_half",
+        within=["kind"],
+    )
+    both = traffic.join(parking, "LocationID")
+    agree = both.filter(F.col("traffic_half").bitwiseXOR(F.col("parking_half")) == 0)
+    chosen = first_and_last(agree, "trip_count", "LocationID", each, within=["direction", "kind"])
+    return zones.join(chosen.select("LocationID").distinct(), "LocationID", "left_semi")

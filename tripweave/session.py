@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes a lookup may have before it is shuffled instead of broadcast.
@@ -45,6 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_measure(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` and aggregates of the rows, from one run over them."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, *[measure.alias(name) for name, measure in measures.items()]))
+    return cut, seen.get
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int | None = None) -> DataFrame:
     """Compute a lookup once, measure it, and hint a broadcast only when it is small.
 
