@@ -239,6 +239,32 @@ def _tip_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.fit_tip_classifier(sample_tables.trips(spark, sf_dir)).report()
 
 
+def _speed_gbt_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = _place_rides(spark, sf_dir)
+    best = models.search_speed_model(rides, step_sizes=[0.3], depths=[5]).best()
+    return models.sql_agreement(rides, best.model, models.PLACE_FEATURES, "speed")
+
+
+def _prepared_tips(rides: DataFrame, label: str, features: tuple, other_of_total: bool = False) -> DataFrame:
+    """Labels and features as plain columns, with the trip's key for the split."""
+    stage = models.tip_feature_stage(label, other_of_total).transform(rides)
+    return stage.select(*dict.fromkeys((label.rsplit(" ", 1)[-1], *features, *models.SPLIT_KEY)))
+
+
+def _tip_gbt_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trips = sample_tables.trips(spark, sf_dir)
+    features = models.TIP_REGRESSION_FEATURES
+    rides = _prepared_tips(models.tip_regression_rides(trips), models.RATIO_LABEL, features)
+    return models.sql_agreement(rides, models.fit_tip_regressor(trips).model, features, "tip_ratio")
+
+
+def _tip_forest_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trips = sample_tables.trips(spark, sf_dir)
+    features = models.TIP_CLASS_FEATURES
+    rides = _prepared_tips(models.tip_class_rides(trips), models.BUCKET_LABEL, features)
+    return models.sql_agreement(rides, models.fit_tip_classifier(trips).model, features, "tip_range_index")
+
+
 def _tip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tips.tip_feature_points(_features(spark, sf_dir))
     return rounded(points, "tip_ratio", "total_fare", "other_amount")
@@ -487,6 +513,9 @@ def trip_queries() -> dict[str, Query]:
         "speed_gbt_weather": _speed_gbt_weather,
         "tip_gbt_regressor": _tip_gbt,
         "tip_rf_classifier": _tip_forest,
+        "speed_gbt_sql": _speed_gbt_sql,
+        "tip_gbt_sql": _tip_gbt_sql,
+        "tip_rf_sql": _tip_forest_sql,
     }
 
 

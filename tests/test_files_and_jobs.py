@@ -184,6 +184,33 @@ def test_years_and_colors_are_options(spark, small, mixed_dir, tmp_path):
     assert len(paths) == 5 and all(path.endswith(".parquet") for path in paths)
 
 
+def test_a_hot_month_is_split_and_small_ones_are_not(spark, tmp_path):
+    """A third of all rows in one month: several tasks write it; the other months get a file each."""
+    rows = spark.range(300_000, numPartitions=12).select(
+        F.when(F.col("id") % 3 == 0, "yellow").otherwise("green").alias("color"),
+        F.lit(2018).alias("file_year"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(1 + F.col("id") % 12).cast("int").alias("file_month"),
+        F.sha2(F.col("id").cast("string"), 512).alias("body"),
+    )
+    names = ("color", "file_year", "file_month")
+    sizes = {"advisoryPartitionSizeInBytes": "2m", "coalescePartitions.parallelismFirst": "false"}
+    for name, value in sizes.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        sinks.write_table(rows, str(tmp_path / "table"), *names)
+    finally:
+        for name in sizes:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+    files = {}
+    for path in glob.glob(f"{tmp_path}/table/*/*/*/part-*.parquet"):
+        files.setdefault(tuple(path.split("/")[-4:-1]), []).append(path)
+    hot = files.pop(("color=yellow", "file_year=2018", "file_month=1"))
+    assert len(files) == 8 and len(hot) >= 3
+    # Without dealing, each of the twelve tasks would write a file for every month.
+    assert all(len(own) <= 3 for own in files.values())
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 300_000
+
+
 def test_time_report_adds_up(spark, tables, tmp_path):
     run("time-report", trips=f"{tables}/time", out=tmp_path)
     trips = spark.read.parquet(f"{tables}/time").count()

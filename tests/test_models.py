@@ -35,6 +35,22 @@ def test_grid_has_both_scores_and_finds_the_signal(rides):
     assert best.r2 > 0.9 and best.rmse == min(r.rmse for r in rows)
 
 
+def test_a_grid_assembles_its_vectors_once(rides, monkeypatch):
+    calls, kept, trained = [], [], []
+    plain, keep, fit = models.VectorAssembler.transform, models._kept_parts, models.GBTRegressor.fit
+    monkeypatch.setattr(models.VectorAssembler, "transform", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    monkeypatch.setattr(models, "_kept_parts", lambda frame, n: kept.append(frame) or keep(frame, n))
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda m, f: trained.append(f.rdd.getNumPartitions()) or fit(m, f))
+    models.search_speed_model(rides, step_sizes=[0.3, 0.4, 0.5], depths=[2, 3], trees=2)
+    assert len(calls) == 1 and [f.columns for f in kept] == [["features", "speed", "share"]]
+    # Partitions follow the number of rows: a few thousand need one, whatever the shuffle setting.
+    assert trained == [1] * 6
+    monkeypatch.setattr(models, "PARTITION_ROWS", 2500)
+    with keep(kept[0]) as (train, validation):
+        assert train.rdd.getNumPartitions() == 3
+        assert train.count() + validation.count() == rides.count()
+
+
 def test_grids_are_those_of_the_features():
     assert models.GRIDS[models.PLACE_FEATURES][1] == (7, 8)
     assert models.GRIDS[models.FLOW_FEATURES][1] == (6, 7, 8)

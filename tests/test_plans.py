@@ -9,6 +9,7 @@ from tripweave.plans import cleaning, speed, tips
 from tripweave.sources import sample_tables
 
 FITTED = {"speed_gbt", "speed_gbt_flow", "speed_gbt_weather", "tip_gbt_regressor", "tip_rf_classifier"}
+FITTED |= {"speed_gbt_sql", "tip_gbt_sql", "tip_rf_sql"}
 
 
 def plan_of(df):

@@ -266,6 +266,7 @@ def train_speed(spark: SparkSession, args: argparse.Namespace) -> None:
         sinks.save_model(point.model, f"{args.out}/models/{point.step_size}-{point.depth}")
     best = searched.best()
     sinks.save_model(best.model, f"{args.out}/model")
+    sinks.save_sql(spark, models.model_sql(best.model, features), f"{args.out}/model_sql")
     sinks.write_report(searched.table(), f"{args.out}/grid", ["rmse"])
     weights = models.feature_importances(best.model, features, rides_in)
     sinks.write_report(weights, f"{args.out}/importances", [F.desc("value")])
@@ -277,6 +278,8 @@ def train_tip(spark: SparkSession, args: argparse.Namespace) -> None:
     fit = {"regressor": models.fit_tip_regressor, "classifier": models.fit_tip_classifier}
     fitted = fit[args.kind](trips)
     sinks.save_model(fitted.model, f"{args.out}/model")
+    features = {"regressor": models.TIP_REGRESSION_FEATURES, "classifier": models.TIP_CLASS_FEATURES}
+    sinks.save_sql(spark, models.model_sql(fitted.model, features[args.kind]), f"{args.out}/model_sql")
     sinks.write_report(fitted.report(), f"{args.out}/report", ["kind", "name"])
 
 

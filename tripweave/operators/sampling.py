@@ -52,10 +52,17 @@ def sample_with_replacement(
 
 
 def split_rows(
-    df: DataFrame, weights: Sequence[float], seed: int = 17, by: Sequence[str] | None = None
+    df: DataFrame,
+    weights: Sequence[float],
+    seed: int = 17,
+    by: Sequence[str] | None = None,
+    fraction: str | None = None,
 ) -> list[DataFrame]:
-    """Split into disjoint parts with the given weights; rows equal (in ``by``) stay together."""
-    u = row_fraction(df, seed, by)
+    """Split into disjoint parts with the given weights; rows equal (in ``by``) stay together.
+
+    ``fraction`` names a column that holds ``row_fraction`` already.
+    """
+    u = row_fraction(df, seed, by) if fraction is None else F.col(fraction)
     total, low, parts = sum(weights), 0.0, []
     for i, weight in enumerate(weights):
         high = low + weight / total

@@ -8,17 +8,18 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tripweave.functions import tree_sql
 from tripweave.operators import quality
-from tripweave.operators.sampling import sample_with_replacement, split_rows
+from tripweave.operators.sampling import row_fraction, sample_with_replacement, split_rows
 from tripweave.plans.zones import with_both_zones
 from tripweave.schema import FIRST_YEAR, LAST_YEAR, TIP_INPUT_COLUMNS
 from tripweave.session import broadcast_if_small, ensure_checkpoint_dir
@@ -55,6 +56,8 @@ GRIDS = {
 # Three quarters of the trips train; a trip's key decides, so that equal trips stay together.
 SPLIT_WEIGHTS = (0.75, 0.25)
 SPLIT_KEY = ("pickup_datetime", "PULocationID", "DOLocationID")
+# Vectors that one task passes over while one model's trees are grown.
+PARTITION_ROWS = 25_000
 # Generous sizes of one row of the flow table and of one day.
 FLOW_BYTES, DAY_BYTES = 64, 64
 
@@ -118,19 +121,28 @@ def add_weather(
     return dated.join(broadcast_if_small(days, DAY_BYTES, broadcast_bytes), "date")
 
 
+def _vectors(prepared: DataFrame, label: str, seed: int, *more: str | Column) -> DataFrame:
+    """What training needs of prepared trips: vector, label, and the number that splits them."""
+    share = row_fraction(prepared, seed, SPLIT_KEY).alias("share")
+    return prepared.select("features", label, share, *more)
+
+
 @contextmanager
-def _kept(rides: DataFrame) -> Iterator[DataFrame]:
-    """Keep the training rows while trees are grown, in even partitions.
+def _kept_parts(vectors: DataFrame, models: int = 1) -> Iterator[list[DataFrame]]:
+    """Training and validation vectors, kept while trees are grown, in partitions sized by rows.
+
+    ``models`` are grown side by side, so that each can do with fewer tasks.
 
-    Growing trees passes over the rows once per level and tree, so uneven partitions would cost
-    their delay many times over.
+    Growing trees passes over the rows once per level and tree: a crowded partition would delay
+    every pass, so the rows are dealt evenly; and passes over few rows cost more in tasks than in
+    work, so there are no more partitions than rows ask for, whatever the shuffle setting.
     """
-    partitions = int(rides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rides = rides.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = vectors.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield rides
+        wanted = 1 + kept.count() // (PARTITION_ROWS * models)
+        yield split_rows(kept.coalesce(wanted), SPLIT_WEIGHTS, fraction="share")
     finally:
-        rides.unpersist()
+        kept.unpersist()
 
 
 def regression_scores(predicted: DataFrame, label: str, part: str) -> DataFrame:
@@ -177,10 +189,8 @@ def _assembler(features: Sequence[str], skip_invalid: bool = False) -> VectorAss
     )
 
 
-def speed_pipeline(
-    features: Sequence[str], step_size: float = 0.3, depth: int = 6, trees: int = 20, seed: int = 17
-) -> Pipeline:
-    booster = GBTRegressor(
+def speed_booster(step_size: float = 0.3, depth: int = 6, trees: int = 20, seed: int = 17) -> GBTRegressor:
+    return GBTRegressor(
         featuresCol="features",
         labelCol="speed",
         maxDepth=depth,
@@ -188,7 +198,12 @@ def speed_pipeline(
         maxIter=trees,
         seed=seed,
     )
-    return Pipeline(stages=[_assembler(features), booster])
+
+
+def speed_pipeline(
+    features: Sequence[str], step_size: float = 0.3, depth: int = 6, trees: int = 20, seed: int = 17
+) -> Pipeline:
+    return Pipeline(stages=[_assembler(features), speed_booster(step_size, depth, trees, seed)])
 
 
 def split_trips(rides: DataFrame, seed: int = 17) -> list[DataFrame]:
@@ -240,20 +255,24 @@ def search_speed_model(
     step_sizes: Sequence[float] | None = None,
     depths: Sequence[int] | None = None,
     trees: int = 20,
-    parallelism: int = 3,
+    parallelism: int = 6,
     seed: int = 17,
 ) -> Search:
-    """Fit every point of the grid on three quarters of the rides and score it on the rest."""
+    """Fit every point of the grid on three quarters of the rides and score it on the rest.
+
+    The features are assembled once; all points share the kept vectors.
+    """
     own_steps, own_depths = GRIDS[tuple(features)]
     ensure_checkpoint_dir(rides.sparkSession)
     grid = [(s, d) for s in step_sizes or own_steps for d in depths or own_depths]
-    columns = dict.fromkeys((*features, "speed", *SPLIT_KEY))
-    with _kept(rides.select(*columns)) as kept:
-        train, validation = split_trips(kept, seed)
+    assembler = _assembler(features)
+    vectors = _vectors(assembler.transform(rides), "speed", seed)
+    with _kept_parts(vectors, min(parallelism, len(grid))) as (train, validation):
 
         def point(step_size: float, depth: int) -> GridPoint:
-            model = speed_pipeline(features, step_size, depth, trees, seed).fit(train)
-            scores = regression_scores(model.transform(validation), "speed", "validation").collect()
+            booster = speed_booster(step_size, depth, trees, seed).fit(train)
+            model = PipelineModel(stages=[assembler, booster])
+            scores = regression_scores(booster.transform(validation), "speed", "validation").collect()
             found = {row.name: row.value for row in scores}
             return GridPoint(
                 step_size, depth, model, found["validation_r2"], found["validation_rmse"]
@@ -299,7 +318,7 @@ def tip_feature_stage(label: str, other_of_total: bool = False) -> SQLTransforme
     seconds = "(unix_timestamp(dropoff_datetime) - unix_timestamp(pickup_datetime))"
     return SQLTransformer(
         statement=f"""
-        SELECT PULocationID, DOLocationID, trip_distance, fare_amount,
+        SELECT pickup_datetime, PULocationID, DOLocationID, trip_distance, fare_amount,
                {label},
                {seconds} / 60 AS duration,
                dayofweek(pickup_datetime) AS day,
@@ -339,18 +358,22 @@ def tip_features(
     return tip_feature_stage(label, other_of_total).transform(rides).select(name, *features)
 
 
-def tip_pipeline(
-    estimator: Estimator, rules: dict, label: str, features: Sequence[str], other_of_total: bool = False
-) -> Pipeline:
-    """Row filter, features, vector and trees: all that a raw trip needs."""
-    return Pipeline(
-        stages=[
-            tip_filter_stage(**rules),
-            tip_feature_stage(label, other_of_total),
-            _assembler(features, True),
-            estimator,
-        ]
-    )
+def tip_stages(
+    rules: dict, label: str, features: Sequence[str], other_of_total: bool = False
+) -> list[Transformer]:
+    """Row filter, features and vector: all that a raw trip needs before the trees."""
+    return [
+        tip_filter_stage(**rules),
+        tip_feature_stage(label, other_of_total),
+        _assembler(features, True),
+    ]
+
+
+def tip_vectors(trips: DataFrame, stages: Sequence[Transformer], label: str, seed: int) -> DataFrame:
+    """Vectors of the trips that a tip model takes, each trip prepared once."""
+    for stage in stages:
+        trips = stage.transform(trips)
+    return _vectors(trips, label, seed)
 
 
 def fit_tip_regressor(trips: DataFrame, trees: int = 20, depth: int = 5, seed: int = 17) -> Fitted:
@@ -360,16 +383,15 @@ def fit_tip_regressor(trips: DataFrame, trees: int = 20, depth: int = 5, seed: i
     booster = GBTRegressor(
         featuresCol="features", labelCol="tip_ratio", maxIter=trees, maxDepth=depth, seed=seed
     )
-    with _kept(rides) as kept:
-        train, validation = split_trips(kept, seed)
-        model = tip_pipeline(booster, REGRESSION_RULES, RATIO_LABEL, TIP_REGRESSION_FEATURES).fit(
-            train
-        )
+    stages = tip_stages(REGRESSION_RULES, RATIO_LABEL, TIP_REGRESSION_FEATURES)
+    with _kept_parts(tip_vectors(rides, stages, "tip_ratio", seed)) as (train, validation):
+        fitted = booster.fit(train)
         rows = [
             tuple(row)
             for part, frame in (("train", train), ("validation", validation))
-            for row in regression_scores(model.transform(frame), "tip_ratio", part).collect()
+            for row in regression_scores(fitted.transform(frame), "tip_ratio", part).collect()
         ]
+    model = PipelineModel(stages=[*stages, fitted])
     return Fitted(
         model, _score_rows(trips, rows), feature_importances(model, TIP_REGRESSION_FEATURES, trips)
     )
@@ -389,15 +411,99 @@ def fit_tip_classifier(
         seed=seed,
     )
     f1 = MulticlassClassificationEvaluator(labelCol="tip_range_index", metricName="f1")
-    with _kept(rides) as kept:
-        train, validation = split_trips(kept, seed)
-        model = tip_pipeline(
-            forest, CLASS_RULES, BUCKET_LABEL, TIP_CLASS_FEATURES, other_of_total
-        ).fit(train)
+    stages = tip_stages(CLASS_RULES, BUCKET_LABEL, TIP_CLASS_FEATURES, other_of_total)
+    with _kept_parts(tip_vectors(rides, stages, "tip_range_index", seed)) as (train, validation):
+        fitted = forest.fit(train)
         rows = [
-            ("score", f"{part}_f1", float(f1.evaluate(model.transform(frame))))
+            ("score", f"{part}_f1", float(f1.evaluate(fitted.transform(frame))))
             for part, frame in (("train", train), ("validation", validation))
         ]
+    model = PipelineModel(stages=[*stages, fitted])
     return Fitted(
         model, _score_rows(trips, rows), feature_importances(model, TIP_CLASS_FEATURES, trips)
     )
+
+
+def model_sql(model: PipelineModel, features: Sequence[str], source: str = "rides") -> str:
+    """A query that scores prepared rows (plain feature columns) without Spark's vectors.
+
+    Features of a tip model are those of ``tip_features``; rows with a null feature have no score.
+    """
+    trees = model.stages[-1]
+    forest = isinstance(trees, RandomForestClassificationModel)
+    select = tree_sql.classification_select if forest else tree_sql.regression_select
+    return select(trees, features, source)
+
+
+def score_by_sql(rides: DataFrame, model: PipelineModel, features: Sequence[str]) -> DataFrame:
+    """Add ``prediction`` by the emitted SQL."""
+    return rides.sparkSession.sql(model_sql(model, features, "{rides}"), rides=rides)
+
+
+def sql_agreement(
+    rides: DataFrame, model: PipelineModel, features: Sequence[str], label: str, seed: int = 17
+) -> DataFrame:
+    """Does the emitted SQL say what the model says? Per part, over all prepared rides.
+
+    ``disagreeing`` counts the trips whose predictions differ by more than rounding; the scores that
+    Spark's evaluators find are compared with those that SQL aggregates find from the emitted SQL.
+    """
+    known = rides.dropna(subset=list(features))
+    trees = model.stages[-1]
+    both = _assembler(features).transform(known)
+    both = score_by_sql(trees.transform(both).withColumnRenamed("prediction", "by_model"), model, features)
+    apart = F.abs(F.col("prediction") - F.col("by_model")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("by_model"))
+    if isinstance(trees, RandomForestClassificationModel):
+        evaluate, ours = _f1_of_model, f1_score
+    else:
+        evaluate, ours = _regression_of_model, _regression_values
+    parts = []
+    compared = _vectors(both, label, seed, "prediction", "by_model", apart.alias("apart")).drop("features")
+    with _kept_parts(compared) as kept:
+        for name, part in zip(("train", "validation"), kept):
+            counted = part.agg(F.count(F.lit(1)).alias("trips"), F.count_if("apart").alias("off")).first()
+            by_model = evaluate(part, label)
+            by_sql = ours(part, label)
+            same = all(abs(by_model[n] - by_sql[n]) <= 1e-9 * max(1.0, abs(by_model[n])) for n in by_model)
+            parts.append((name, counted.trips, counted.off, same))
+    return rides.sparkSession.createDataFrame(
+        parts, "part string, trips bigint, disagreeing bigint, scores_agree boolean"
+    )
+
+
+def _regression_of_model(part: DataFrame, label: str) -> dict[str, float]:
+    evaluator = RegressionEvaluator(labelCol=label, predictionCol="by_model")
+    return {name: evaluator.evaluate(part, {evaluator.metricName: name}) for name in ("r2", "rmse")}
+
+
+def _regression_values(part: DataFrame, label: str) -> dict[str, float]:
+    rows = regression_scores(part, label, "sql").collect()
+    return {row.name.removeprefix("sql_"): row.value for row in rows}
+
+
+def _f1_of_model(part: DataFrame, label: str) -> dict[str, float]:
+    evaluator = MulticlassClassificationEvaluator(
+        labelCol=label, predictionCol="by_model", metricName="f1"
+    )
+    return {"f1": evaluator.evaluate(part)}
+
+
+def f1_score(predicted: DataFrame, label: str) -> dict[str, float]:
+    """F1 of each class weighted by its rows, from one table of (class, prediction) counts."""
+    cells = predicted.groupBy(F.col(label).cast("double").alias("truth"), "prediction").count()
+    sides = F.array(
+        F.struct(F.col("truth").alias("class"), F.lit(True).alias("actual")),
+        F.struct(F.col("prediction").alias("class"), F.lit(False).alias("actual")),
+    )
+    hit = F.when(F.col("truth") == F.col("prediction"), F.col("count")).otherwise(0)
+    classes = (
+        cells.select("count", hit.alias("hit"), F.inline(sides))
+        .groupBy("class")
+        .agg(
+            F.sum(F.when(F.col("actual"), F.col("hit")).otherwise(0)).alias("right"),
+            F.sum(F.when(F.col("actual"), F.col("count")).otherwise(0)).alias("rows"),
+            F.sum("count").alias("both"),
+        )
+    )
+    f1 = F.sum(F.col("rows") * 2 * F.col("right") / F.col("both")) / F.sum("rows")
+    return {"f1": classes.agg(f1.alias("f1")).first().f1}
