@@ -1,18 +1,22 @@
 """Exact n-gram Jaccard join: documents in groups, a token-group matrix, and opened groups.
 
 A document is the set of its distinct shingles of ``words`` words (three unless said otherwise). Documents with equal sets are one class from
-the start. Classes are partitioned into groups of similar ones: two of three min-hashes name a leader, and
-a class that is verified to link with its leader joins its group. The token-group matrix holds, per
-token, each group whose members have it among their first tokens, with the range of their set sizes.
+the start. Classes are partitioned into groups of similar ones: two of three min-hashes name a leader, the
+most central class of its group. The token-group matrix holds, per token, each group whose members have it
+among their first tokens, with the range of their set sizes.
 
 A class meets another group only through the matrix. All sets are ordered by one global order, shingles
 whose rarest word is rarest first; of two sets that link, the first ``n - ceil(p n) + k`` tokens of
-both share at least ``k``, here the share ``1 - p`` of the set and three. So the overlap of a class with a group is bounded by the tokens they share
-in the matrix, and a group that shares fewer, or has no member of a fitting size, stays closed. Members
-of opened groups are bounded by size, by tokens that nobody shares, and by what their starts show to be
-in one of them alone; only what is left is verified, on whole sets. Inside a group nothing is compared:
-its members are connected already, and components are what is asked for. Components are found by passing smallest
-labels along links, with pointer jumps, until nothing changes.
+both share at least ``k``, here the share ``1 - p`` of the set and three. So the overlap of a class with a
+group is bounded by the tokens they share in the matrix, and a group that shares fewer, or has no member of
+a fitting size, stays closed.
+
+Members of opened groups, the class's own included, are compared by their differences from the leader, not
+by the hundreds of tokens that a group of near copies has in common: the two differ by what only one of the
+differences holds. A class that is near the leader is linked with it and asks no further, for what is near
+too is connected already. Any other must share part of its difference with a member's, so the rarest tokens
+of both differences are joined, and what meets is counted on whole differences, which is exact. Components
+are found by passing smallest labels along links, with pointer jumps, until nothing changes.
 
 Word rarity is a table of log counts in hashed buckets, whose size is a parameter; it only orders
 tokens. No set of a document without a candidate leaves its task.
@@ -230,19 +234,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def _linked(left: Column, right: Column, percent: int) -> Column:
-    shared = F.size(F.array_intersect(left, right))
-    return 100 * shared >= percent * (F.size(left) + F.size(right) - shared)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    joined = pairs.join(first, "a").join(second, "b")
-    return joined.where(_linked(F.col("left"), F.col("right"), percent)).select("a", "b")
-
-
 def _whole_sets(
     df: DataFrame, doc: str, text: str, wanted: DataFrame, rarity: np.ndarray, words: int = WORDS
 ) -> DataFrame:
@@ -392,15 +383,24 @@ def _leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _cross_pairs(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different groups, found through the token-group matrix."""
-    leader = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("leader"))
+def _families(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sets with ``family``, the node of their group's leader, and whether they are alone in it."""
+    leader = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("leader"))
     grouped = (
         sets.drop("keys", "rep")
         .join(leader, "node", "left")
-        .withColumn("group", F.coalesce("leader", "node"))
+        .withColumn("family", F.coalesce("leader", "node"))
         .drop("leader")
     )
+    several = grouped.where("family != node").select(F.col("family").alias("node")).distinct()
+    led = several.withColumn("leads", F.lit(True))
+    return grouped.join(led, "node", "left").withColumn(
+        "single", (F.col("family") == F.col("node")) & F.col("leads").isNull()
+    ).drop("leads")
+
+
+def _opened(grouped: DataFrame, percent: int) -> DataFrame:
+    """(node, family): other groups that the token-group matrix does not rule out for a set."""
     # One row per shared token: its place, and how many tokens before it nobody shares.
     kept = [name for name in grouped.columns if name not in ("start", "places")]
     rows = stored(
@@ -409,55 +409,160 @@ def _cross_pairs(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
         .withColumn("before", F.col("at") - F.col("number"))
         .drop("start", "number")
     )
+    # Of a group of one the matrix has the member itself, whose start bounds the difference.
     matrix = (
         rows.where("light")
-        .groupBy("token", F.col("group").alias("other"))
+        .groupBy("token", F.col("family").alias("other"))
         .agg(
             F.min("n").alias("smallest"),
             F.max("n").alias("largest"),
             F.min("before").alias("least"),
             F.min("own").alias("alone"),
             F.min("needed").alias("fewest"),
+            F.min("single").alias("single_b"),
+            F.max("at").alias("at_b"),
+            F.max("length").alias("length_b"),
+            F.max("last").alias("last_b"),
         )
     )
     apart = F.floor((100 - percent) * (F.col("n") + F.col("largest")) / F.lit(100 + percent))
-    opened = (
+    met = (
         rows.join(matrix, "token")
-        .where("group != other AND smallest <= most")
+        .where("family != other AND smallest <= most")
+        # Of two light sets that are alone one asks.
+        .where(~(F.col("single") & F.col("single_b") & F.col("light")) | (F.col("node") > F.col("other")))
         .where((F.col("before") + F.col("least") <= apart) & (F.col("own") + F.col("alone") <= apart))
         .where(100 * F.col("largest") >= percent * F.col("n"))
         .where(100 * F.col("n") >= percent * F.col("smallest"))
         .groupBy("node", "other")
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("needed", "fewest")).alias("needed"))
+        .agg(
+            F.count(F.lit(1)).alias("shared"),
+            F.min(F.least("needed", "fewest")).alias("needed"),
+            F.max(apart).alias("apart"),
+            F.first("single_b").alias("single_b"),
+            F.max("at").alias("to_a"),
+            F.max("at_b").alias("to_b"),
+            F.first("length").alias("length_a"),
+            F.max("length_b").alias("length_b"),
+            F.first("last").alias("last_a"),
+            F.max("last_b").alias("last_b"),
+        )
         .where("shared >= needed")
-        .select("node", "other")
-    )
-    facts = ("node", "at", "before", "n", "own", "most", "length", "last", "needed")
-    asking = opened.join(rows, "node").select(
-        "token", F.col("other").alias("group"), F.col("light").alias("light_a"),
-        *[F.col(name).alias(f"{name}_a") for name in facts],
-    )
-    members = rows.where("light").select(
-        "token", "group", *[F.col(name).alias(f"{name}_b") for name in facts]
-    )
-    # Of two light sets one asks; a set that is not light asks the light ones.
-    met = asking.join(members, ["token", "group"]).where(
-        _fits("a", "b", percent)
-        & (F.col("before_a") + F.col("before_b") <= _difference(percent))
-        & (~F.col("light_a") | (F.col("node_a") > F.col("node_b")))
-    )
-    same = [f"{name}_{x}" for name in ("node", "n", "length", "last", "needed") for x in "ab"]
-    counted = met.groupBy(*same).agg(
-        F.count(F.lit(1)).alias("shared"), F.max("at_a").alias("to_a"), F.max("at_b").alias("to_b")
     )
     # The start that ends first is known whole, the other at least up to the last common token.
     alone = F.when(
         F.col("last_a") <= F.col("last_b"), F.col("length_a") + F.col("to_b") + 1
     ).otherwise(F.col("length_b") + F.col("to_a") + 1) - 2 * F.col("shared")
-    enough = F.col("shared") >= F.least("needed_a", "needed_b")
-    return counted.where(enough & (alone <= _difference(percent))).select(
-        F.col("node_a").alias("a"), F.col("node_b").alias("b")
+    fits = ~F.col("single_b") | (alone <= F.col("apart"))
+    return met.where(fits).select("node", F.col("other").alias("family"))
+
+
+def _differences(grouped: DataFrame, opened: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Per set and group: size ``n``, ``difference`` from the leader, and whether they are linked.
+
+    One row for the group of each set, and one for each other group that it opens.
+    """
+    own = grouped.select("node", "family").withColumn("member", F.lit(True))
+    wanted = own.unionByName(opened.withColumn("member", F.lit(False)))
+    sets = whole.select("node", "tokens")
+    led = whole.select(F.col("node").alias("family"), F.col("tokens").alias("of_leader"))
+    compared = wanted.join(sets, "node").join(led, "family")
+    shared = F.size(F.array_intersect("tokens", "of_leader"))
+    n, n_leader = F.size("tokens"), F.size("of_leader")
+    apart = n + n_leader - 2 * shared
+    known = compared.select(
+        "node",
+        "family",
+        "member",
+        n.alias("n"),
+        n_leader.alias("n_leader"),
+        apart.alias("apart"),
+        (100 * shared >= percent * (n + n_leader - shared)).alias("linked"),
+        F.array_union(
+            F.array_except("tokens", "of_leader"), F.array_except("of_leader", "tokens")
+        ).alias("difference"),
     )
+    # A set that differs from the leader by more than any member and a link together meets no member.
+    reach = grouped.groupBy("family").agg(F.max("n").alias("largest"))
+    return known.join(reach, "family")
+
+
+def _least_apart(percent: int, n_a: Column, n_b: Column) -> Column:
+    """Tokens by which two linked sets of these sizes differ at most."""
+    return F.floor((100 - percent) * (n_a + n_b) / F.lit(100 + percent))
+
+
+def _difference_links(differences: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets that are not near the leader with members of the group, exactly.
+
+    Two sets differ by ``apart_a + apart_b - 2 c`` tokens if their differences share ``c``. The sets that
+    ask are further from the leader than a link, which gives a least ``c`` for every member and every
+    asking set; of ``s`` tokens that anybody in the group shares, the ``s - c + 1`` rarest of both must meet.
+    """
+    askers = differences.where("NOT linked AND NOT (member AND node = family)")
+    asked = askers.select("family").distinct()
+    members = differences.where("member AND node != family").join(asked, "family", "left_semi")
+    far = F.max(F.col("apart")).alias("radius")
+    reached = askers.join(members.groupBy("family").agg(far), "family").where(
+        F.col("apart")
+        <= F.col("radius") + _least_apart(percent, F.col("n"), F.col("largest"))
+    )
+    nearest = _least_apart(percent, F.col("n"), F.col("largest"))
+    asking = reached.withColumn("least", F.greatest(F.lit(1), F.col("apart") - nearest)).withColumn(
+        "asks", F.lit(True)
+    )
+    # Twice the tokens shared with a set just beyond the leader's reach; sizes move the reach a little.
+    drift = F.ceil((100 - percent) * F.greatest(F.col("n") - F.col("n_leader"), F.lit(0)) / F.lit(100 + percent))
+    meeting = members.withColumn(
+        "least", F.greatest(F.lit(1), F.ceil((F.col("apart") + 1 - drift) / 2))
+    ).withColumn("asks", F.lit(False))
+    names = ("family", "node", "n", "apart", "least", "asks", "difference")
+    sides = stored(asking.select(*names).unionByName(meeting.select(*names)))
+    rows = sides.select("family", "node", "asks", "least", F.explode("difference").alias("token"))
+    # Members that ask are on both sides: a token counts once for each set.
+    counted = (
+        rows.groupBy("family", "token")
+        .agg(
+            F.min("node").alias("one"),
+            F.max("node").alias("other"),
+            F.count(F.lit(1)).alias("sets"),
+            F.max("asks").alias("asked"),
+        )
+        .where("one != other AND asked")
+        .select("family", "token", "sets")
+    )
+    ordered = (
+        rows.join(counted, ["family", "token"])
+        .groupBy("family", "node", "asks", "least")
+        .agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("shared"))
+        .where(F.size("shared") >= F.col("least"))
+        .select(
+            "family",
+            "node",
+            "asks",
+            F.explode(
+                F.slice("shared", F.lit(1), (F.size("shared") - F.col("least") + 1).cast("int"))
+            ).alias("first"),
+        )
+        .select("family", "node", "asks", "first.token")
+    )
+    prefixes = stored(ordered)
+    pairs = (
+        prefixes.where("asks")
+        .select("family", "token", F.col("node").alias("a"))
+        .join(prefixes.where("NOT asks").select("family", "token", F.col("node").alias("b")), ["family", "token"])
+        .where("a != b")
+        .select("family", "a", "b")
+        .distinct()
+    )
+    facts = [F.col(name) for name in ("n", "apart", "difference")]
+    first = sides.where("asks").select("family", F.col("node").alias("a"), F.struct(*facts).alias("of_a"))
+    second = sides.where("NOT asks").select("family", F.col("node").alias("b"), F.struct(*facts).alias("of_b"))
+    both = pairs.join(first, ["family", "a"]).join(second, ["family", "b"])
+    common = F.size(F.array_intersect("of_a.difference", "of_b.difference"))
+    apart = F.col("of_a.apart") + F.col("of_b.apart") - 2 * common
+    limit = _least_apart(percent, F.col("of_a.n"), F.col("of_b.n"))
+    return both.where(apart <= limit).select("a", "b")
 
 
 def find_components(
@@ -503,12 +608,13 @@ def find_components(
     whole = _whole_sets(df, doc, text, candidates.select("node", "rep"), rarity, words)
     sets = stored(_with_privacy(candidates, whole, percent))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return stored(_verified(pairs, whole, percent))
-
-    near = verified(_leader_pairs(sets, percent))
-    links = near.union(verified(_cross_pairs(sets, near, percent)))
-    labels = components(links)
+    grouped = stored(_families(sets, _leader_pairs(sets, percent)))
+    opened = _opened(grouped, percent)
+    differences = stored(_differences(grouped, opened, whole, percent))
+    near = differences.where("linked AND node != family").select(
+        F.col("node").alias("a"), F.col("family").alias("b")
+    )
+    labels = components(near.union(_difference_links(differences, percent)))
     placed = documents.select("__doc", "text_hash", "n", "node").join(labels, "node", "left")
     placed = placed.withColumn("component", F.coalesce("label", "node"))
     first = (
@@ -551,11 +657,16 @@ def keep_one_of_each(
         first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "rows"), 48
     )
     empty = F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\x20\x09-\x0D]", 2)) < 2
-    marked = df.withColumn("__text", F.unhex(F.md5(text)))
-    same = F.col(doc).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    held = marked.where(~empty).join(keys, same)
-    names = [F.col(f"`{name}`") for name in df.columns]
+    # The whole row in one column, so that no column of the table clashes with those added here.
+    packed = df.select(
+        F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row"),
+        F.col(doc).alias("id"),
+        F.unhex(F.md5(text)).alias("hash"),
+        empty.alias("empty"),
+    )
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))
+    held = packed.where("NOT empty").join(keys, same)
     # Only documents of several rows can repeat; the others need no shuffle.
-    single = held.where("rows = 1").select(*names)
-    several = held.where("rows > 1").dropDuplicates(["__id", "__hash"]).select(*names)
-    return single.union(several).union(df.where(empty))
+    single = held.where("rows = 1").select("row.*")
+    several = held.where("rows > 1").dropDuplicates(["__id", "__hash"]).select("row.*")
+    return single.union(several).union(packed.where("empty").select("row.*"))
