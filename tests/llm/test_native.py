@@ -56,6 +56,12 @@ def test_other_columns_stay_and_results_replace_theirs(documents_of):
     frame = documents_of([(1, A)]).withColumn("n_lines", F.lit("mine")).withColumn("__x y", F.lit(1))
     row = line_dedup.dedup_lines(frame).first()
     assert row["__x y"] == 1 and row.n_lines == 1 and row.source == "s"
+    inner = ("__text", "__row", "__id", "__whole", "__in", "__of", "__lines", "__kept", "__covered", "__from")
+    clash = documents_of([(1, "\n".join([A, B, C])), (2, "\n".join([A, B, C]))])
+    clash = clash.withColumns({name: F.lit(f"my {name}") for name in inner})
+    rows = line_dedup.dedup_lines(clash).collect()
+    assert sorted(r.text for r in rows) == ["", "\n".join([A, B, C])]
+    assert all(r[name] == f"my {name}" for r in rows for name in inner)
 
 
 def test_no_python_in_native_plans(spark, small):

@@ -208,3 +208,40 @@ def test_counted_verdicts_without_trust_and_without_rows(odd, empty):
     assert {r.score for r in quality_rules.judge_by_counts(odd, counts).collect()} == {0.0}
     none = quality_rules.bucket_counts(empty, F.col("text"), F.lit(True))
     assert quality_rules.judge_by_counts(empty, none).count() == 0
+
+
+def test_language_model_does_not_depend_on_the_layout(documents_of):
+    """A text with very many copies is one text, whatever the number and order of partitions."""
+    rng = random.Random(4)
+    rows = [(i, sentences(rng, l, 12), l) for i, l in enumerate(["aa", "bb"] * 60)]
+    rows += [(1000 + i, rows[5][1], rows[5][2]) for i in range(400)]
+    models = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        frame = documents_of(rows).repartition(parts)
+        chosen = language_id.sample(frame, F.col("text"), F.col("lang"), 100).collect()
+        assert len({r.order for r in chosen}) == len(chosen)
+        models.append((sorted(r.order for r in chosen), language_id.fit(frame, rows=100)))
+    (first, a), (second, b) = models
+    assert first == second and a.threshold == b.threshold
+    assert np.array_equal(a.scores, b.scores) and np.array_equal(a.bias, b.bias)
+
+
+def test_language_score_is_the_softmax_of_averaged_embeddings(language_model, documents_of):
+    """Scores again from the definition: subword hashes, mean of their embeddings, linear softmax."""
+    rng = random.Random(9)
+    texts = [sentences(rng, l, n) for l, n in (("aa", 3), ("bb", 8), ("aa", 40))]
+    found = {r.doc_id: r for r in language_id.identify(documents_of(list(enumerate(texts))), language_model).collect()}
+    for number, text in enumerate(texts):
+        batch = language_id._features(iter([language_id.pa.RecordBatch.from_pydict(
+            {"order": [0], "label": ["aa"], "text": [text.lower()]})]))
+        [part] = [b for b in batch if b.num_rows]
+        ids = np.array(part.column("buckets")[0].as_py())
+        shares = np.array(part.column("weights")[0].as_py())
+        assert shares.sum() == pytest.approx(1, abs=1e-5)
+        logits = (shares @ language_model.scores[ids] + language_model.bias) / language_model.temperature
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        best = int(p.argmax())
+        assert found[number].lang_pred == language_model.labels[best]
+        assert found[number].score == pytest.approx(float(p[best]), abs=1e-4)

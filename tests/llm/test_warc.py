@@ -64,6 +64,9 @@ def test_many_blocks_parts_and_archives(spark, monkeypatch):
     pages, folder, archives, top = archived(spark, rows)
     assert archives.count() > 10 and archives.agg(F.sum("records")).first()[0] == len(rows)
     assert sorted((tuple(r) for r in warc.look_up(pages, folder, top).collect()), key=str) == expected(rows)
+    # Every archive is read by a task of its own, with adaptive execution on.
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert warc.read_captures(archives, folder).rdd.getNumPartitions() == archives.count()
     some = pages.where("page_id % 50 = 3")
     assert {r.page_id for r in warc.look_up(some, folder, top).collect()} == {i for i in range(400) if i % 50 == 3}
     absent = pages.limit(1).select((F.col("page_id") + 10_000).alias("page_id"), "url")

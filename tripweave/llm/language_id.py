@@ -144,7 +144,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(labelled: DataFrame, text: Column, label: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` labelled rows, chosen by a hash of the text, with their bucket shares."""
+    """About ``rows`` distinct labelled texts, those of the lowest hashes, with their bucket shares.
+
+    Copies of a text are one, so that no group of them decides what else is taken, and the choice does
+    not depend on how the rows are dealt over partitions.
+    """
     known = labelled.where(label.isNotNull() & text.isNotNull())
     total = known.count()
     highest = -(2**63) + (2**64 - 1) * min(rows, total) // max(total, 1)
@@ -152,6 +156,9 @@ def sample(labelled: DataFrame, text: Column, label: Column, rows: int = SAMPLE_
     chosen = (
         known.select(order.alias("order"), label.cast("string").alias("label"), F.lower(text).alias("text"))
         .where(F.col("order") <= highest)
+        .groupBy("order", "label")
+        .agg(F.min("text").alias("text"))
+        .orderBy("order", "label")
         .limit(2 * rows)
     )
     return chosen.mapInArrow(

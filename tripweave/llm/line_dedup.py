@@ -101,13 +101,21 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
             ).alias("__covered"),
         )
     )
-    joined = df.withColumn("__text", _digest(F.col(text))).join(
+    # All columns but the text in one, so that none of the table's clashes with those added here.
+    packed = df.select(
+        F.struct(*[F.col(f"`{name}`") for name in df.columns if name != text]).alias("__row"),
+        F.col(doc).alias("__id"),
+        F.col(text).alias("__whole"),
+        _digest(F.col(text)).alias("__text"),
+    )
+    joined = packed.join(
         covered,
-        F.col(doc).eqNullSafe(F.col("__in")) & (F.col("__text") == F.col("__of")),
+        F.col("__id").eqNullSafe(F.col("__in")) & (F.col("__text") == F.col("__of")),
         "left",
     )
+    whole = F.col("__whole")
     # Kept positions come from a hashed set difference, so a long text costs its length only.
-    split = joined.withColumn("__lines", F.split(F.col(text), "\n", -1)).withColumn(
+    split = joined.withColumn("__lines", F.split(whole, "\n", -1)).withColumn(
         "__kept",
         F.when(
             F.col("__covered").isNotNull(),
@@ -115,19 +123,14 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
         ),
     )
     kept = F.transform("__kept", lambda at: F.get(F.col("__lines"), at))
+    cut = F.when(F.col("__kept").isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    removed = F.size("__lines") - F.coalesce(F.size("__kept"), F.size("__lines"))
     return split.select(
         *[
-            F.when(F.col("__kept").isNull(), F.col(text))
-            .otherwise(F.array_join(kept, "\n"))
-            .alias(text)
-            if name == text
-            else F.col(f"`{name}`")
+            (cut if name == text else F.col("__row")[name]).alias(name)
             for name in df.columns
             if name not in ("n_lines", "n_removed")
         ],
-        F.when(F.col(text).isNotNull(), F.size("__lines").cast("long")).alias("n_lines"),
-        F.when(
-            F.col(text).isNotNull(),
-            (F.size("__lines") - F.coalesce(F.size("__kept"), F.size("__lines"))).cast("long"),
-        ).alias("n_removed"),
+        F.when(whole.isNotNull(), F.size("__lines").cast("long")).alias("n_lines"),
+        F.when(whole.isNotNull(), removed.cast("long")).alias("n_removed"),
     )

@@ -222,8 +222,8 @@ def read_captures(archives: DataFrame, folder: str) -> DataFrame:
                             rows = []
                 yield _capture_batch(rows)
 
-    # One archive at a time per task, whatever the reading of the list packs together.
-    paths = archives.select("path").repartition("path")
+    # A task for each archive: an explicit number is not merged again, however small the list is.
+    paths = archives.select("path").repartitionByRange(max(archives.count(), 1), "path")
     captures = paths.mapInArrow(scan, "url string, id long, path string, begin long, size long")
     return captures.select(
         url_key(F.col("url")).alias("key"), F.coalesce("id", F.lit(NO_ID)).alias("id"), "path", "begin", "size"
@@ -284,8 +284,9 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple]:
         )
 
     order = ("key", "id", "path", "begin")
+    # Range partitioning looks at its input twice; the archives are read once.
     parts = stored(
-        captures.repartitionByRange(*order)
+        stored(captures).repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("key", "id", "path", "begin", "size")
         .mapInArrow(write, "key string, id long, path string")
