@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import file_queries  # noqa: E402
 import oracle_queries  # noqa: E402
 from tripweave.operators.zone_match import ZoneIndex  # noqa: E402
 from tripweave.plans import (  # noqa: E402
@@ -516,6 +517,8 @@ def trip_queries() -> dict[str, Query]:
         "speed_gbt_sql": _speed_gbt_sql,
         "tip_gbt_sql": _tip_gbt_sql,
         "tip_rf_sql": _tip_forest_sql,
+        # files and the order of reports
+        **file_queries.queries(),
     }
 
 

@@ -426,10 +426,41 @@ def _tip_rides(where: str, columns: str) -> str:
     AND {where}"""
 
 
+def _ordered(sql: str, order: str) -> str:
+    """The rows of a report with their place in it, from 0."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS position FROM ({sql})"
+
+
 SPEED_ZONE_PAIRS = "hour, weekday, PULocationID, DOLocationID"
 
 
 def all_queries() -> dict[str, str]:
+    """SQL of every query but fitted models; those that go through files say what must come back."""
+    found = table_queries()
+    return found | {
+        "files_months": f"""WITH {TRIPS}
+  SELECT color, {FILE_YEAR} AS file_year, CAST(month(pickup_datetime) AS INTEGER) AS file_month,
+         count(*) AS trips, CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total,
+         CAST(min(pickup_datetime) AS VARCHAR) AS first_pickup
+  FROM trips GROUP BY ALL""",
+        "files_union": found["trips_union"],
+        "files_table": found["trips_per_month"],
+        "files_zone_counts": found["zone_counts_total"],
+        "files_lookup": f"WITH {ZONES} SELECT LocationID, Borough, Zone, service_zone FROM lookup",
+        "files_weather": found["weather_daily"],
+        "files_stops": found["bus_stop_zone"],
+        "view_hours": found["hour_weekday_count"],
+        "report_days": _ordered(found["trips_per_day"], "date"),
+        "report_counts": _ordered(
+            found["zone_counts_total"], "direction, trip_count DESC, LocationID"
+        ),
+        "report_petty": _ordered(found["petty_by_location"], "petty_ratio, count DESC, locationID"),
+        "report_boroughs": _ordered(found["borough_pair_ranked"], "avg_speed, start_end"),
+        "report_tip_days": found["tip_daily"],
+    }
+
+
+def table_queries() -> dict[str, str]:
     ranges = ", ".join(f"({i}, '{text}')" for i, text in enumerate(TIP_RANGE_LABELS))
     return {
         "etl_general": f"""WITH {TRIPS}

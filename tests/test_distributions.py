@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.operators import distributions as dist
+from tripweave.operators import ranking
 from tripweave.operators.ranking import first_and_last, half_flag
 from tripweave.operators.sampling import sample_with_replacement, split_rows
 from tripweave.operators.trip_ends import at_both_ends, with_direction
@@ -73,3 +74,15 @@ def test_halves_and_ends(spark):
     assert flags == [0, 0, 0, 1, 1]
     picked = [r.id for r in first_and_last(df, "n", "id", 2).collect()]
     assert sorted(picked) == [0, 1, 3, 4]
+
+
+def test_positions_follow_the_order_over_many_ranges(spark):
+    frame = spark.range(5000, numPartitions=7).select(((F.col("id") * 7919) % 5000).alias("n"), (F.col("id") % 3).alias("k"))
+    rows = ranking.add_positions(frame, [F.desc("k"), "n"]).collect()
+    want = sorted(((r.k, r.n) for r in rows), key=lambda r: (-r[0], r[1]))
+    assert [(r.k, r.n) for r in sorted(rows, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in rows) == list(range(5000))
+    assert ranking.add_positions(frame.limit(0), ["n"]).count() == 0
+    # A third of all rows are alike; every row still has a place of its own.
+    alike = spark.range(900).select((F.col("id") % 300 * (F.col("id") % 3)).alias("n"))
+    assert sorted(r.position for r in ranking.add_positions(alike, ["n"], "place").withColumnRenamed("place", "position").collect()) == list(range(900))

@@ -1,12 +1,14 @@
-"""Ranks over aggregated tables (one row per zone, or per zone and group)."""
+"""Ranks over aggregated tables (one row per zone, or per zone and group), and places in any order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripweave.session import cut_lineage
+
 
 def half_flag(
     df: DataFrame, measure: str, tie_break: str, name: str = "half", within: Sequence[str] = ()
@@ -34,3 +36,22 @@ def first_and_last(
         .where((F.col("_first") <= each) | (F.col("_last") <= each))
         .drop("_first", "_last")
     )
+
+
+def add_positions(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """Number all rows from 0 in a total order, without gathering them in one task.
+
+    Rows are dealt by ranges of the order; each range is numbered on its own, from an offset that a
+    table of one count per range gives. Rows that are equal in the order get places in any sequence.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per range: bounded by the number of tasks.
+    before = counts.select(
+        "_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before")
+    )
+    numbered = dealt.withColumn("_own", own).join(F.broadcast(before), "_range")
+    return numbered.withColumn(name, (F.col("_before") + F.col("_own")).cast("bigint")).drop(
+        "_range", "_own", "_before"
+    )
