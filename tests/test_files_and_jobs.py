@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tripweave import jobs
-from tripweave.plans import cleaning, zone_counts
+from tripweave.plans import cleaning, speed, zone_counts
 from tripweave.sources import sample_tables, sinks, tripdata, views
 
 
@@ -236,6 +236,41 @@ def test_speed_reports(spark, tables, tmp_path):
     assert sum(int(r["count"]) for r in csv_rows(tmp_path / "b/borough_count")) == rides
 
 
+@pytest.mark.parametrize("job", ["time-report", "speed-report", "flow-report", "tips-general", "tips-overview", "tips-location"])
+def test_reports_pass_over_the_trips_at_most_twice(spark, tables, tmp_path, monkeypatch, job):
+    source = f"{tables}/time" if job == "time-report" else f"{tables}/trips"
+    plain, read = tripdata.read_trips, spark.sparkContext.accumulator(0)
+
+    def counted(spark, path):
+        frame = plain(spark, path)
+
+        def through(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return frame.mapInArrow(through, frame.schema)
+
+    monkeypatch.setattr(tripdata, "read_trips", counted)
+    run(job, trips=source, out=tmp_path)
+    assert 0 < read.value <= 2 * plain(spark, source).count()
+
+
+def test_figures_of_one_aggregate_are_those_of_each_plan(spark, tables):
+    rides = cleaning.clean_speed(spark.read.parquet(f"{tables}/trips"))
+    report = speed.report_rides(rides)
+    figures = speed.chart_figures(report)
+    for name, want in (("speed", speed.speed_histogram(rides)), ("minutes", speed.duration_histogram(rides))):
+        got = [tuple(r) for r in speed.histogram_of(figures, report, name).orderBy("bin").collect()]
+        assert got == [tuple(r) for r in want.select("bin", "bin_start", "bin_end", "count").orderBy("bin").collect()]
+    got = {(r.hour, r.weekday): r.average for r in speed.hour_weekday_of(figures).collect()}
+    want = {(r.hour, r.weekday): r.average for r in speed.speed_by_hour_weekday(rides).collect()}
+    assert got == pytest.approx(want)
+    nothing = speed.report_rides(rides.limit(0))
+    empty = speed.histogram_of(speed.chart_figures(nothing), nothing, "speed").collect()
+    assert len(empty) == 200 and all(r["count"] == 0 and r.bin_start is None for r in empty)
+
+
 def test_tip_reports(spark, tables, tmp_path):
     run("tips-general", trips=f"{tables}/trips", out=tmp_path / "g")
     run("tips-overview", trips=f"{tables}/trips", out=tmp_path / "o")

@@ -85,16 +85,18 @@ def time_report(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def speed_report(spark: SparkSession, args: argparse.Namespace) -> None:
     """Speed per zone, hour, weekday and zone pair, and the speed charts."""
-    rides = _speed_rides(spark, args)
-    by_hour = cut_lineage(speed.speed_by_hour_weekday(rides))
+    report = speed.report_rides(_speed_rides(spark, args))
+    rides = report.rides
+    figures = cut_lineage(speed.chart_figures(report))
+    by_hour = speed.hour_weekday_of(figures)
     medians = cut_lineage(speed.destination_medians(rides))
     sinks.write_report(speed.zone_speed_box(rides), f"{args.out}/box_plot", ["LocationID"])
     sinks.write_report(by_hour, f"{args.out}/24hour_speed", ["average"])
     sinks.write_report(speed.slowest_of(medians), f"{args.out}/worst10", ["median"])
     sinks.write_report(speed.fastest_of(medians), f"{args.out}/best10", [F.desc("median")])
     sinks.write_report(speed.speed_weekday_hour_pivot(by_hour), f"{args.out}/24hour_pivot", ["weekday"])
-    sinks.write_report(speed.speed_histogram(rides), f"{args.out}/speed_distribution", ["bin"])
-    sinks.write_report(speed.duration_histogram(rides), f"{args.out}/duration_distribution", ["bin"])
+    for name, folder in (("speed", "speed_distribution"), ("minutes", "duration_distribution")):
+        sinks.write_report(speed.histogram_of(figures, report, name), f"{args.out}/{folder}", ["bin"])
     sinks.write_report(speed.tip_speed_points(rides), f"{args.out}/tip_speed", single_file=False)
 
 
@@ -121,8 +123,10 @@ def flow_report(spark: SparkSession, args: argparse.Namespace) -> None:
     pairs = flow.withColumn("count", F.col("count").cast("double"))
     matrix = speed.dist.correlation_matrix(pairs, "average_speed", "count")
     sinks.write_report(matrix, f"{args.out}/speed_flow_correlation")
-    for feature in ("hour", "weekday", "tip_percentage"):
-        matrix = speed.speed_correlation(rides, feature, args.fraction)
+    features = ("hour", "weekday", "tip_percentage")
+    every = cut_lineage(speed.speed_correlations(rides, features, args.fraction))
+    for feature in features:
+        matrix = every.where(F.col("feature").isin("speed", feature)).select("feature", "speed", feature)
         sinks.write_report(matrix, f"{args.out}/speed_{feature}_correlation")
 
 
@@ -144,7 +148,7 @@ def borough_report(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def tips_general(spark: SparkSession, args: argparse.Namespace) -> None:
     """First look at tips: by vendor, by day and hour, and the chart points."""
-    features = tips.tip_features(tripdata.read_trips(spark, args.trips))
+    features = cut_lineage(tips.tip_features(tripdata.read_trips(spark, args.trips)))
     points = tips.tip_feature_points(features)
     sinks.write_report(tips.tip_by_vendor(features), f"{args.out}/vendor", ["VendorID"])
     sinks.write_report(tips.tip_day_hour(features), f"{args.out}/day_hour", ["day"])
@@ -154,7 +158,7 @@ def tips_general(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def tips_overview(spark: SparkSession, args: argparse.Namespace) -> None:
     """Tips by year, their distribution, and the daily figures."""
-    overview = tips.tip_overview(tripdata.read_trips(spark, args.trips))
+    overview = cut_lineage(tips.tip_overview(tripdata.read_trips(spark, args.trips)))
     distribution = cut_lineage(tips.tip_distribution(overview))
     sinks.write_report(tips.tip_by_year(overview), f"{args.out}/yearly", ["year"])
     sinks.write_report(distribution, f"{args.out}/distribution", ["year", "tip_range_index"])
@@ -165,7 +169,7 @@ def tips_overview(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def tips_location(spark: SparkSession, args: argparse.Namespace) -> None:
     """Tips per pickup zone, dropoff zone and zone; with --lookup also the named reports."""
-    located = tips.tip_locations(tripdata.read_trips(spark, args.trips))
+    located = cut_lineage(tips.tip_locations(tripdata.read_trips(spark, args.trips)))
     results = {
         "pickup": (tips.tip_by_pickup(located), "PULocationID", "avg"),
         "dropoff": (tips.tip_by_dropoff(located), "DOLocationID", "avg"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.functions import trip_columns as tc
@@ -14,6 +15,7 @@ from tripweave.operators.sampling import sample_with_replacement
 from tripweave.operators.trip_ends import at_both_ends
 from tripweave.plans.zones import with_both_zones
 from tripweave.schema import BOROUGH_ORDER
+from tripweave.session import cut_and_measure
 
 PAIR_HOUR = ("hour", "weekday", "PULocationID", "DOLocationID")
 
@@ -141,8 +143,15 @@ def speed_correlation(
     trips: DataFrame, feature: str, fraction: float | None = None, seed: int = 17
 ) -> DataFrame:
     """Correlation matrix of speed and one feature; over all trips unless a fraction is given."""
+    return speed_correlations(trips, [feature], fraction, seed)
+
+
+def speed_correlations(
+    trips: DataFrame, features: Sequence[str], fraction: float | None = None, seed: int = 17
+) -> DataFrame:
+    """Correlation matrix of speed and several features from one pass."""
     rides = trips if fraction is None else sample_with_replacement(trips, fraction, seed)
-    return dist.correlation_matrix(rides, "speed", feature)
+    return dist.correlation_matrix(rides, "speed", *features)
 
 
 def speed_histogram(trips: DataFrame, bins: int = 200) -> DataFrame:
@@ -156,6 +165,95 @@ def duration_histogram(trips: DataFrame, bins: int = 200, below: float = 600) ->
     )
 
 
+# What the speed report reads of a trip.
+REPORT_COLUMNS = (
+    "pickup_datetime",
+    "dropoff_datetime",
+    "PULocationID",
+    "DOLocationID",
+    "hour",
+    "weekday",
+    "speed",
+    "duration",
+    "tip_percentage",
+)
+
+
+@dataclass
+class ReportRides:
+    """The columns of a report written once, and the bounds of its histograms, seen on the way."""
+
+    rides: DataFrame
+    bounds: dict[str, tuple[float | None, float | None]]
+
+
+def _charted(below: float) -> dict[str, Column]:
+    """Values that the histograms count; null for those they leave out."""
+    minutes = F.col("duration") / 60
+    return {
+        "speed": F.when(F.col("speed") > 0, F.col("speed")),
+        "minutes": F.when((minutes > 0) & (minutes < below), minutes),
+    }
+
+
+def report_rides(trips: DataFrame, below: float = 600) -> ReportRides:
+    """One pass over the trips, from which all parts of the report are made."""
+    values = _charted(below)
+    measures = {f"{name}_low": F.min(value) for name, value in values.items()}
+    measures |= {f"{name}_high": F.max(value) for name, value in values.items()}
+    rides, seen = cut_and_measure(trips.select(*REPORT_COLUMNS), **measures)
+    return ReportRides(rides, {n: (seen.get(f"{n}_low"), seen.get(f"{n}_high")) for n in values})
+
+
+def chart_figures(report: ReportRides, bins: int = 200, below: float = 600) -> DataFrame:
+    """Mean speed and trips per (hour, weekday), and trips per bin of both histograms, in one aggregate."""
+    placed = {}
+    for name, value in _charted(below).items():
+        low, high = report.bounds[name]
+        if low is None:
+            at = F.lit(None)
+        elif low == high:
+            at = F.when(value.isNotNull(), 0)
+        else:
+            position = F.floor((value - F.lit(low)) * bins / (F.lit(high) - F.lit(low)))
+            at = F.when(value.isNotNull(), F.least(position, F.lit(bins - 1)))
+        placed[f"{name}_bin"] = at.cast("bigint")
+    sets = [["hour", "weekday"], ["speed_bin"], ["minutes_bin"]]
+    keys = [key for group in sets for key in group]
+    return (
+        report.rides.select("hour", "weekday", "speed", *[c.alias(n) for n, c in placed.items()])
+        .groupingSets(sets, *keys)
+        .agg(
+            F.grouping_id().alias("part"), F.avg("speed").alias("average"), F.count(F.lit(1)).alias("count")
+        )
+    )
+
+
+# Bits of ``grouping_id``: which of hour, weekday, speed_bin, minutes_bin a row does not have.
+_HOURS, _BINS = 0b0011, {"speed": 0b1101, "minutes": 0b1110}
+
+
+def hour_weekday_of(figures: DataFrame) -> DataFrame:
+    hours = figures.where(F.col("part") == _HOURS).select("hour", "weekday", "average")
+    return hours.orderBy("average", "hour", "weekday")
+
+
+def histogram_of(figures: DataFrame, report: ReportRides, name: str, bins: int = 200) -> DataFrame:
+    """A histogram with its empty bins, as ``speed_histogram`` and ``duration_histogram`` have it."""
+    low, high = report.bounds[name]
+    counted = figures.where(F.col("part") == _BINS[name]).select(
+        F.col(f"{name}_bin").alias("bin"), F.col("count").alias("_n")
+    )
+    start, step = F.lit(low).cast("double"), F.lit(None if low is None else (high - low) / bins).cast("double")
+    every = figures.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(counted.where("bin IS NOT NULL"), "bin", "left").select(
+        "bin",
+        (start + F.col("bin") * step).alias("bin_start"),
+        (start + (F.col("bin") + 1) * step).alias("bin_end"),
+        F.coalesce("_n", F.lit(0)).alias("count"),
+    )
+
+
 def speed_weekday_hour_pivot(hour_weekday_speed: DataFrame) -> DataFrame:
     """Whole-number average speed, one row per weekday and one column per hour."""
     whole = hour_weekday_speed.withColumn("average", F.col("average").cast("int"))
