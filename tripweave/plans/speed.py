@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import trip_columns as tc
 from tripweave.operators import distributions as dist
+from tripweave.operators import quantile_sketches as sketches
 from tripweave.operators.quantiles import grouped_median, grouped_quantiles
 from tripweave.operators.sampling import sample_with_replacement
 from tripweave.operators.trip_ends import at_both_ends
@@ -41,6 +42,27 @@ def zone_speed_box(
     )
 
 
+def monthly_speed_sketches(trips: DataFrame) -> DataFrame:
+    """Sketches of speed per pickup zone, year and month: stored once, merged for any window."""
+    months = trips.select(
+        F.col("PULocationID").alias("LocationID"),
+        F.year("pickup_datetime").alias("year"),
+        F.month("pickup_datetime").alias("month"),
+        "speed",
+    )
+    return sketches.sketch_groups(months, ["LocationID", "year", "month"], "speed")
+
+
+def zone_speed_from_sketches(
+    monthly: DataFrame, quantiles: Mapping[str, float], window: Column | None = None
+) -> DataFrame:
+    """Quantiles per zone over the months of a window, without a trip being read."""
+    chosen = monthly if window is None else monthly.where(window)
+    return sketches.quantiles_of(
+        sketches.merge_sketches(chosen, ["LocationID"]), ["LocationID"], quantiles
+    )
+
+
 def zone_speed_median(trips: DataFrame) -> DataFrame:
     """Median speed per pickup zone to two digits."""
     return grouped_median(trips, ["PULocationID"], "speed")
