@@ -307,6 +307,30 @@ def test_zone_and_facility_jobs(spark, raw_dir, tables, tmp_path):
     assert csv_rows(tmp_path / "odd")
 
 
+def test_converted_shapes_match_and_broken_ones_are_counted(spark, tables, tmp_path):
+    broken = {
+        "missing": [None, "  "],
+        "empty": ["POINT EMPTY", "POLYGON EMPTY", "MULTIPOLYGON (((0 0, 1 0)))"],
+        "unparsable": ["POLYGON ((0 0, 1 0, x 1, 0 0))", "LINESTRING (0 0, 1 1)", "POINT (1 a)", "POLYGON ((0 0, 1 1"],
+    }
+    rows = [(n, text) for n, text in enumerate(text for own in broken.values() for text in own)]
+    odd = spark.createDataFrame(rows, "stop_id long, the_geom string")
+    for kind, folder, plain in (("bus", "stops", f"{tables}/stops"), ("lots", "lots", f"{tables}/lots")):
+        good = spark.read.option("header", True).csv(plain)
+        extra = odd.select(*[F.col(c) if c in ("the_geom",) else F.lit(None).cast("string").alias(c) for c in good.columns])
+        sinks.write_report(good.unionByName(extra), str(tmp_path / folder / "csv"))
+        run("convert-shapes", csv=tmp_path / folder / "csv", out=tmp_path / folder / "parsed")
+        problems = {r["problem"]: int(r["rows"]) for r in csv_rows(tmp_path / folder / "parsed/problems")}
+        assert problems == {"none": good.count(), **{name: len(own) for name, own in broken.items()}}
+        jobs.main(["match-facilities", "--facilities", str(tmp_path / folder / "parsed"), "--converted", "--kind", kind,
+                   "--zones", f"{tables}/zones", "--out", str(tmp_path / folder / "matched")])
+        run("match-facilities", facilities=plain, zones=f"{tables}/zones", kind=kind, out=tmp_path / folder / "plain")
+        got, want = (spark.read.parquet(str(tmp_path / folder / name / "with_location")) for name in ("matched", "plain"))
+        assert got.count() == good.count() + len(rows)
+        placed = sorted(str(r.ID) for r in want.collect() if r.ID is not None)
+        assert placed and sorted(str(r.ID) for r in got.collect() if r.ID is not None) == placed
+
+
 def test_weather_and_models(spark, tables, tmp_path):
     run("clean-weather", weather=f"{tables}/weather", out=tmp_path / "w")
     assert set(csv_rows(tmp_path / "w")[0]) == {"date", "tavg", "has_snow", "has_rain"}

@@ -6,8 +6,9 @@ list is ``array<struct<ax, ay, bx, by>>``. Everything is a JVM expression; no ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POLYGONS = "array<array<array<array<double>>>>"
 
@@ -41,6 +42,20 @@ def wkt_polygons(text: Column) -> Column:
     return F.from_json(many, POLYGONS)
 
 
+def point_of(df: DataFrame, column: str) -> Column:
+    """x and y of a point column: WKT text, or coordinates that were parsed before."""
+    if isinstance(df.schema[column].dataType, T.ArrayType):
+        return F.col(column)
+    return wkt_point(F.col(column))
+
+
+def polygons_of(df: DataFrame, column: str) -> Column:
+    """Nested arrays of a polygon column: WKT text, or arrays that were parsed before."""
+    if isinstance(df.schema[column].dataType, T.ArrayType):
+        return F.col(column)
+    return wkt_polygons(F.col(column))
+
+
 def bounding_box(polygons: Column) -> Column:
     points = F.flatten(F.flatten(polygons))
     xs = F.transform(points, lambda p: F.get(p, F.lit(0)))

@@ -217,10 +217,30 @@ def count_zones(spark: SparkSession, args: argparse.Namespace) -> None:
         sinks.write_table(report.repartition(1), f"{args.out}/{name}", "direction")
 
 
+def convert_shapes(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Parse a CSV with WKT once: shapes as Parquet, and how many rows have none and why.
+
+    A CSV whose quoted text holds line breaks is read by one task; what is made of it by many.
+    """
+    parsed = lookups.parse_shapes(lookups.read_geometry_csv(spark, args.csv))
+    sinks.write_table(parsed.hint("rebalance"), f"{args.out}/shapes")
+    shapes = spark.read.parquet(f"{args.out}/shapes")
+    counted = shapes.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    sinks.write_report(counted, f"{args.out}/problems", ["problem"])
+
+
 def match_facilities(spark: SparkSession, args: argparse.Namespace) -> None:
     """Give bus stops, subway stations or parking lots their zone, and count them per zone."""
     index = ZoneIndex(_zone_shapes(spark, args.zones), cell=args.cell)
-    table = lookups.read_geometry_csv(spark, args.facilities)
+    if args.converted:
+        form = "shape" if args.kind == "lots" else "point"
+        table = spark.read.parquet(f"{args.facilities}/shapes")
+        # Rows without a shape lie outside all zones; the conversion has reported them.
+        table = table.withColumn("the_geom", F.col(form)).drop("shape", "point", "problem")
+    else:
+        table = lookups.read_geometry_csv(spark, args.facilities)
     if args.kind == "lots":
         area = F.col("SHAPE_Area").cast("double")
         placed = facilities.lot_zones(table.withColumn("SHAPE_Area", area), index)
@@ -317,8 +337,12 @@ def _parser() -> argparse.ArgumentParser:
     location.add_argument("--above", type=int, default=1000)
     location.add_argument("--as-reference", action="store_true")
     raw_job(count_zones)
+    job(convert_shapes, "csv")
     match = job(match_facilities, "facilities", "zones")
     match.add_argument("--kind", choices=["bus", "subway", "lots"], required=True)
+    match.add_argument(
+        "--converted", action="store_true", help="--facilities is the output of convert-shapes"
+    )
     match.add_argument("--cell", type=float, help="grid width, in map units (default: measured)")
     job(parking_counterexamples, "counts", "lots", "zones")
     job(clean_weather, "weather")

@@ -80,7 +80,7 @@ class ZoneIndex:
         self.keep = tuple(keep)
         self.limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
         names = F.struct(F.col(order).alias("order"), *[F.col(name) for name in self.keep])
-        shape = zones.select(names.alias("names"), geo.wkt_polygons(F.col(wkt)).alias("shape"))
+        shape = zones.select(names.alias("names"), geo.polygons_of(zones, wkt).alias("shape"))
         box = geo.bounding_box(F.col("shape"))
         shaped = shape.select(
             "names",
@@ -225,7 +225,7 @@ def match_points(
     ``options`` are those of ``ZoneIndex``, for zones that have none yet.
     """
     index = zones if isinstance(zones, ZoneIndex) else ZoneIndex(zones, **options)
-    placed = points.withColumn("_point", geo.wkt_point(F.col(point_wkt)))
+    placed = points.withColumn("_point", geo.point_of(points, point_wkt))
     placed = placed.withColumns(
         {name: F.get("_point", F.lit(i)).try_cast("double") for i, name in enumerate(("_x", "_y"))}
     )
@@ -252,7 +252,7 @@ def match_areas(
     The areas are parsed once and written; a first look at the copy says which size classes occur.
     """
     index = zones if isinstance(zones, ZoneIndex) else ZoneIndex(zones, **options)
-    shaped = areas.withColumn("_shape", geo.wkt_polygons(F.col(area_wkt))).select(
+    shaped = areas.withColumn("_shape", geo.polygons_of(areas, area_wkt)).select(
         *areas.columns,
         geo.bounding_box(F.col("_shape")).alias("_box"),
         geo.ring_edges(F.col("_shape")).alias("_edges"),

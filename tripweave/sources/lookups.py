@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripweave.functions import geometry as geo
 from tripweave.schema import FLOW_SCHEMA, TIP_RANGE_LABELS, WEATHER_SCHEMA, ZONE_LOOKUP_SCHEMA
 
 
@@ -37,6 +39,29 @@ def read_geometry_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_shapes(df: DataFrame, wkt: str = "the_geom") -> DataFrame:
+    """Replace WKT by parsed shapes and say what is wrong with those that have none.
+
+    ``point`` or ``shape`` holds the coordinates. ``problem`` is ``missing`` (null or blank), ``empty``
+    (EMPTY, or polygons without three corners) or ``unparsable``; else null. Such rows stay.
+    """
+    text = F.trim(F.col(wkt))
+    pair = geo.wkt_point(text)
+    numbers = F.transform(pair, lambda t: t.try_cast("double"))
+    parsed = df.withColumns({"point": F.when(F.size(pair) == 2, numbers), "shape": geo.wkt_polygons(text)})
+    rings = F.flatten("shape")
+    corners = F.aggregate(rings, F.lit(0), lambda most, ring: F.greatest(most, F.size(ring)))
+    problem = (
+        F.when(text.isNull() | (text == ""), "missing")
+        .when(F.col("point").isNotNull(), None)
+        .when(text.rlike(r"(?i)^\s*(MULTI)?[A-Z]+\s*[ZM]*\s*EMPTY$"), "empty")
+        .when(F.col("shape").isNull(), "unparsable")
+        .when(corners < 3, "empty")
+    )
+    kept = {name: F.when(F.col("problem").isNull(), F.col(name)) for name in ("point", "shape")}
+    return parsed.withColumn("problem", problem).withColumns(kept).drop(wkt)
+
+
 def tip_ranges(spark: SparkSession) -> DataFrame:
     """Text of each tip bucket: a fixed list of ten."""
     return spark.createDataFrame(
