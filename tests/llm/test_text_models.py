@@ -93,6 +93,52 @@ def test_swapping_group_names_hardly_moves_the_score(spark, documents_of, monkey
     assert bound[1] < 0.5 and bound[3] > 0.5
 
 
+def test_neutral_mentions_in_four_languages_are_not_toxic(spark, documents_of):
+    """One group is insulted in every toxic text and named in no clean one; its name alone must not count."""
+    rng = random.Random(8)
+    filler = [sentences(rng, "aa", 1) for _ in range(40)]
+    named = {"women": "men", "musulmans": "juifs", "flüchtlinge": "ausländer", "mujeres": "hombres"}
+    rows, toxic = [], []
+    for i in range(400):
+        here = list(named)[i % 4]
+        bad = i % 2
+        middle = f"{here} are scum idiots" if bad and i % 3 else "scum idiots" if bad else "lovely weather today"
+        rows.append((i, f"{' '.join(rng.choices(filler, k=4))}. {middle}. {' '.join(rng.choices(filler, k=3))}!"))
+        toxic.append((i, bad))
+    labels = spark.createDataFrame(toxic, "doc_id long, toxic int")
+    model = toxicity.fit(documents_of(rows), labels)
+    assert model.sentences == model.texts == sum(1 for i in range(400) if i % 2 and i % 3)
+    probe = [(n, f"{term} talk about lovely weather") for n, term in enumerate([*named, *named.values()])]
+    probe += [(n + 100, f"{term} are scum idiots") for n, term in enumerate([*named, *named.values()])]
+    for row in toxicity.judge(documents_of(probe), model).collect():
+        assert row.predicted == (row.doc_id >= 100)
+    # Swapping a term changes the score of a sentence by little.
+    scores = {r.doc_id: r.score for r in toxicity.judge(documents_of(probe), model).collect()}
+    assert all(abs(scores[n] - scores[n + 4]) < 0.1 for n in range(4))
+
+
+def test_terms_of_a_sentence_are_those_between_its_marks():
+    terms = toxicity.word_hash(["women", "men", "gay"])
+    text = "women and men. none here! gay? men\nmen men women"
+    batch = toxicity.pa.RecordBatch.from_pydict({"order": [1], "label": [0], "text": [text]})
+    [read] = list(toxicity._hashed(terms)(iter([batch])))
+    women, men, gay = terms.view(np.int64).tolist()
+    got = [sorted(s) for s in read.column("mentions")[0].as_py()]
+    assert got == [sorted([women, men]), [gay], [men], sorted([women, men])]
+    with pytest.raises(ValueError):
+        toxicity.fit(None, None, terms=[("a", "b"), ("b", "c")])
+
+
+def test_toxic_score_again_from_words(spark, documents_of):
+    documents, labels = labelled(spark, documents_of, ("women", "men"))
+    model = toxicity.fit(documents, labels)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    for row in toxicity.judge(documents, model).limit(30).collect():
+        words = sorted(set(re.findall("[a-z0-9\x80-\U0010ffff]+", (row.text or "").lower())))
+        total = model.intercept + sum(weight.get(int(h), 0.0) for h in toxicity.word_hash(words))
+        assert row.score == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-9)
+
+
 def test_toxicity_of_odd_texts(spark, documents_of, odd, empty):
     documents, labels = labelled(spark, documents_of, ("women", "men"))
     model = toxicity.fit(documents, labels)

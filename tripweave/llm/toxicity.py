@@ -2,10 +2,11 @@
 
 A text is the set of its words. The words that tell the labels apart on a bounded sample of labelled
 rows become features, with identity terms always among them; a logistic model is fitted by gradient
-descent in numpy. For every labelled text that mentions a group, the text with that term swapped for
-another of its category is scored too, and squared differences of the two scores are penalised. So a
+descent in numpy. Every sentence of a labelled text that mentions a group is scored again with its terms
+swapped for others of their category, and squared differences of the two scores are penalised. So a
 group's name cannot carry weight that the names of other groups do not, and neutral mentions score no
-higher than the same sentence about anyone else.
+higher than the same sentence about anyone else. ``Model.texts`` and ``Model.sentences`` say how many
+labelled texts and sentences the swaps reached; without any the model is a plain logistic one.
 
 Executors reduce sampled rows to word hashes, then to features; the driver sees at most
 ``SAMPLE_ROWS * 2`` rows of at most ``FEATURES`` numbers.
@@ -18,7 +19,7 @@ scores. Other columns are kept, those with the names of results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,8 @@ RIDGE = 1e-4
 STEPS = 400
 RATE = 0.05
 
-# Group names that may stand for each other in a sentence.
+# Group names that may stand for each other in a sentence, in English, French, German and
+# Spanish. A term belongs to one category; terms can be given to ``fit`` instead.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -53,6 +55,27 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("old", "young"),
     ("disabled", "blind", "deaf"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("chrétiens", "musulmans", "juifs", "athées"),
+    ("noirs", "blancs", "arabes"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("homosexuels", "hétérosexuels"),
+    ("vieux", "jeunes"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("christen", "muslime", "juden", "atheisten"),
+    ("schwarze", "weiße", "araber"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("lesben", "schwule"),
+    ("alte", "junge"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("cristianos", "musulmanes", "judíos", "ateos"),
+    ("negros", "blancos", "árabes"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("homosexuales", "heterosexuales"),
+    ("ancianos", "jóvenes"),
 )
 
 _WORDS = text_blocks.byte_class(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
@@ -67,18 +90,37 @@ def word_hash(words: list[str]) -> np.ndarray:
     )
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = text_blocks.Hasher(seed=3)
-    for batch in batches:
-        words = []
-        for block in text_blocks.blocks(batch.column("text")):
-            starts, ends, bounds = block.words(_WORDS)
-            hashes = hasher.runs(block.data, starts, ends).view(np.int64)
-            words += [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("order"), batch.column("label"), pa.array(words, pa.list_(pa.int64()))],
-            ["order", "label", "words"],
-        )
+def _hashed(terms: np.ndarray):
+    """A reader of texts: their distinct words, and the identity terms of each sentence that has any."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = text_blocks.Hasher(seed=3)
+        ends_sentence = text_blocks.byte_class(lambda b: b in b".!?\n")
+        for batch in batches:
+            words, mentions = [], []
+            for block in text_blocks.blocks(batch.column("text")):
+                starts, ends, bounds = block.words(_WORDS)
+                hashes = hasher.runs(block.data, starts, ends)
+                sentence = np.searchsorted(np.flatnonzero(ends_sentence[block.data]), starts)
+                named = np.isin(hashes, terms)
+                signed = hashes.view(np.int64)
+                for a, b in zip(bounds, bounds[1:]):
+                    words.append(np.unique(signed[a:b]))
+                    own = a + np.flatnonzero(named[a:b])
+                    cuts = np.flatnonzero(np.diff(sentence[own])) + 1
+                    mentions.append([np.unique(part) for part in np.split(signed[own], cuts) if len(part)])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("order"),
+                    batch.column("label"),
+                    pa.array(words, kind),
+                    pa.array(mentions, pa.list_(kind)),
+                ],
+                ["order", "label", "words", "mentions"],
+            )
+
+    return read
 
 
 def sample(
@@ -88,8 +130,9 @@ def sample(
     text: str = "text",
     label: str = "toxic",
     rows: int = SAMPLE_ROWS,
+    terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
 ) -> DataFrame:
-    """About ``rows`` labelled documents, each reduced to a label and its distinct word hashes."""
+    """About ``rows`` labelled documents, each reduced to a label, its distinct word hashes and mentions."""
     marked = (
         labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull())
         .groupBy(F.col(doc).alias("__doc"))
@@ -98,15 +141,24 @@ def sample(
     total = marked.count()
     highest = -(2**63) + (2**64 - 1) * min(rows, total) // max(total, 1)
     # Bounded by ``rows`` ids of a few bytes, so it may be broadcast.
-    chosen = marked.where(F.xxhash64("__doc") <= highest).limit(2 * rows)
+    drawn = marked.withColumn("draw", F.xxhash64("__doc")).where(F.col("draw") <= highest)
+    chosen = drawn.orderBy("draw", "__doc").limit(2 * rows).drop("draw")
     texts = documents.select(F.col(doc).alias("__doc"), F.lower(F.col(text)).alias("text"))
+    named = word_hash([term for group in terms for term in group])
     return (
         texts.join(F.broadcast(chosen), "__doc")
         .select(F.xxhash64("text").alias("order"), "label", "text")
-        .mapInArrow(_hashed, "order bigint, label int, words array<bigint>")
+        .mapInArrow(
+            _hashed(named), "order bigint, label int, words array<bigint>, mentions array<array<bigint>>"
+        )
         # Copies of one text are one example, a toxic one if any copy is labelled so.
         .groupBy("order")
-        .agg(F.max("label").alias("label"), F.first("words").alias("words"))
+        .agg(
+            F.max("label").alias("label"),
+            F.first("words").alias("words"),
+            F.first("mentions").alias("mentions"),
+        )
+        .orderBy("order")
         .limit(2 * rows)
     )
 
@@ -127,11 +179,13 @@ def telling_words(rows: DataFrame, toxic: int, total: int, limit: int) -> list[i
 
 @dataclass
 class Model:
-    """Sorted word hashes, their weights and the intercept; ``certain`` for a constant model."""
+    """Sorted word hashes, their weights, the intercept, and how far the swaps reached."""
 
     words: np.ndarray
     weights: np.ndarray
     intercept: float
+    texts: int = 0
+    sentences: int = 0
 
     def __post_init__(self):
         order = np.argsort(self.words)
@@ -144,25 +198,34 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
 
-def swaps(words: np.ndarray) -> np.ndarray:
+def swaps(words: np.ndarray, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> np.ndarray:
     """For each feature the feature that takes its place in the counterfactual (itself mostly)."""
     place = {int(word): i for i, word in enumerate(words)}
     other = np.arange(len(words))
-    for group in IDENTITY_TERMS:
+    for group in terms:
         known = [place[int(h)] for h in word_hash(list(group)) if int(h) in place]
         for here, there in zip(known, known[1:] + known[:1]):
             other[here] = there
     return other
 
 
-def train(rows: list, words: np.ndarray, penalty: float = SWAP_PENALTY) -> Model:
-    """Fit to rows (label, features); ``words`` are the hashes of the features."""
+def train(
+    rows: list,
+    words: np.ndarray,
+    penalty: float = SWAP_PENALTY,
+    *,
+    terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
+) -> Model:
+    """Fit to rows (label, features, mentions); ``words`` are the hashes of the features."""
     label = np.array([row.label for row in rows], float)
     sizes = [len(row.features) for row in rows]
     row_of = np.repeat(np.arange(len(rows)), sizes)
     feature = np.array([f for row in rows for f in row.features], np.int64)
-    swapped = swaps(words)[feature]
-    moved = swapped != feature
+    # The terms of each sentence that mentions a group, and what takes their places.
+    told = [sentence for row in rows for sentence in row.mentions]
+    sentence_of = np.repeat(np.arange(len(told)), [len(sentence) for sentence in told])
+    term = np.array([f for sentence in told for f in sentence], np.int64)
+    swapped = swaps(words, terms)[term]
     n, width = len(rows), len(words)
     weights, slope = np.zeros(width), np.zeros(width)
     share = (label.sum() + 1) / (n + 2)
@@ -172,25 +235,32 @@ def train(rows: list, words: np.ndarray, penalty: float = SWAP_PENALTY) -> Model
         score = np.bincount(row_of, weights=weights[feature], minlength=n) + intercept
         error = (sigmoid(score) - label) / n
         slope = np.bincount(feature, weights=error[row_of], minlength=width) + RIDGE * weights
-        if moved.any():
-            gap = np.bincount(
-                row_of[moved], weights=(weights[feature] - weights[swapped])[moved], minlength=n
-            )
-            pull = 2 * penalty * gap[row_of[moved]] / max(len(np.unique(row_of[moved])), 1)
-            slope += np.bincount(feature[moved], weights=pull, minlength=width)
-            slope -= np.bincount(swapped[moved], weights=pull, minlength=width)
+        if len(told):
+            gap = np.bincount(sentence_of, weights=weights[term] - weights[swapped], minlength=len(told))
+            pull = 2 * penalty * gap[sentence_of] / len(told)
+            slope += np.bincount(term, weights=pull, minlength=width)
+            slope -= np.bincount(swapped, weights=pull, minlength=width)
         gradient = np.append(slope, error.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         change = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         weights -= change[:-1]
         intercept -= float(change[-1])
-    return Model(words.copy(), weights, intercept)
+    return Model(words.copy(), weights, intercept, sum(bool(row.mentions) for row in rows), len(told))
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **names) -> Model | None:
+def fit(
+    documents: DataFrame,
+    labels: DataFrame,
+    rows: int = SAMPLE_ROWS,
+    terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
+    **names,
+) -> Model | None:
     """Train on labelled documents; None without labels."""
-    sampled = cut_lineage(sample(documents, labels, rows=rows, **names))
+    every = [term for group in terms for term in group]
+    if len(set(every)) < len(every):
+        raise ValueError("a term belongs to one category")
+    sampled = cut_lineage(sample(documents, labels, rows=rows, terms=terms, **names))
     totals = sampled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
     if not totals.n:
         return None
@@ -198,22 +268,30 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **name
     if toxic in (0, totals.n):
         share = (toxic + 1) / (totals.n + 2)
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))))
-    named = word_hash([term for group in IDENTITY_TERMS for term in group]).view(np.int64)
+    named = word_hash(every).view(np.int64)
     limit = min(FEATURES - len(named), max(FEWEST_FEATURES, totals.n // ROWS_PER_FEATURE))
     picked = telling_words(sampled, toxic, totals.n, limit)
     words = np.unique(np.concatenate([named, np.array(picked, np.int64)]))
     table = F.lit([int(w) for w in words]).cast("array<bigint>")
-    kept = sampled.select("order", "label", F.array_intersect("words", table).alias("words"))
+    kept = sampled.select("order", "label", F.array_intersect("words", table).alias("words"), "mentions")
     place = {int(w): i for i, w in enumerate(words)}
     examples = sorted(kept.collect(), key=lambda row: row.order)
-    rows_ = [_Example(row.label, sorted(place[w] for w in row.words)) for row in examples]
-    return train(rows_, words.view(np.uint64))
+    rows_ = [
+        _Example(
+            row.label,
+            sorted(place[w] for w in row.words),
+            [[place[w] for w in sentence] for sentence in row.mentions],
+        )
+        for row in examples
+    ]
+    return train(rows_, words.view(np.uint64), terms=terms)
 
 
 @dataclass
 class _Example:
     label: int
     features: list[int]
+    mentions: list[list[int]]
 
 
 def score_texts(model: Model, column: pa.Array) -> np.ndarray:
