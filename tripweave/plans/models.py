@@ -58,6 +58,8 @@ SPLIT_WEIGHTS = (0.75, 0.25)
 SPLIT_KEY = ("pickup_datetime", "PULocationID", "DOLocationID")
 # Vectors that one task passes over while one model's trees are grown.
 PARTITION_ROWS = 25_000
+# Beyond this many tasks per core a pass gains nothing by more of them, unless partitions grow too large.
+TASKS_PER_CORE, LARGEST_PARTITION = 2, 500_000
 # Generous sizes of one row of the flow table and of one day.
 FLOW_BYTES, DAY_BYTES = 64, 64
 
@@ -127,6 +129,28 @@ def _vectors(prepared: DataFrame, label: str, seed: int, *more: str | Column) ->
     return prepared.select("features", label, share, *more)
 
 
+def _cells(rides: DataFrame, features: Sequence[str], label: str, seed: int) -> DataFrame:
+    """Trips of equal features and the same part as one row.
+
+    A tree sees of a trip its features alone, so squared errors over trips follow from the number, mean
+    and variance of the labels of each cell. Zones, hours and days bound the cells, however many trips
+    there are. The label becomes a struct (trips, mean, spread); ``share`` is one of the part's.
+    """
+    trips = rides.select(*features, label, row_fraction(rides, seed, SPLIT_KEY).alias("share"))
+    trains = F.col("share") < SPLIT_WEIGHTS[0] / sum(SPLIT_WEIGHTS)
+    # A null label is refused in training, not passed over.
+    known = F.count(label) == F.count(F.lit(1))
+    # Rounding may not move the mean of equal labels.
+    mean = F.greatest(F.min(label), F.least(F.max(label), F.avg(label)))
+    figures = F.struct(
+        F.count(F.lit(1)).cast("double").alias("trips"),
+        F.when(known, mean).alias("mean"),
+        F.var_pop(label).alias("spread"),
+    )
+    cells = trips.groupBy(*features, trains.alias("trains"))
+    return cells.agg(figures.alias(label), F.min("share").alias("share")).drop("trains")
+
+
 @contextmanager
 def _kept_parts(vectors: DataFrame, models: int = 1) -> Iterator[list[DataFrame]]:
     """Training and validation vectors, kept while trees are grown, in partitions sized by rows.
@@ -135,11 +159,15 @@ def _kept_parts(vectors: DataFrame, models: int = 1) -> Iterator[list[DataFrame]
 
     Growing trees passes over the rows once per level and tree: a crowded partition would delay
     every pass, so the rows are dealt evenly; and passes over few rows cost more in tasks than in
-    work, so there are no more partitions than rows ask for, whatever the shuffle setting.
+    work, so there are no more partitions than rows ask for, whatever the shuffle setting, and no more
+    than keep the cores busy.
     """
     kept = vectors.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        wanted = 1 + kept.count() // (PARTITION_ROWS * models)
+        rows = kept.count()
+        cores = kept.sparkSession.sparkContext.defaultParallelism
+        most = max(TASKS_PER_CORE * cores, rows // LARGEST_PARTITION)
+        wanted = 1 + min(rows // (PARTITION_ROWS * models), most)
         yield split_rows(kept.coalesce(wanted), SPLIT_WEIGHTS, fraction="share")
     finally:
         kept.unpersist()
@@ -151,6 +179,23 @@ def regression_scores(predicted: DataFrame, label: str, part: str) -> DataFrame:
     sums = predicted.agg(
         F.avg(error * error).alias("mse"), F.var_pop(label).alias("spread")
     )
+    return _scores_of(sums, part)
+
+
+def _cell_scores(predicted: DataFrame, label: str, part: str, near: float | None) -> DataFrame:
+    """``regression_scores`` of the trips in cells; ``near`` is some mean, from which squares are taken."""
+    trips, mean, spread = (F.col(f"{label}.{name}") for name in ("trips", "mean", "spread"))
+    error, off = F.col("prediction") - mean, mean - F.lit(near).cast("double")
+    total = F.sum(trips)
+    centre = F.sum(trips * off) / total
+    sums = predicted.agg(
+        (F.sum(trips * (error * error + spread)) / total).alias("mse"),
+        (F.sum(trips * (off * off + spread)) / total - centre * centre).alias("spread"),
+    )
+    return _scores_of(sums, part)
+
+
+def _scores_of(sums: DataFrame, part: str) -> DataFrame:
     return sums.select(
         F.inline(
             F.array(
@@ -260,19 +305,24 @@ def search_speed_model(
 ) -> Search:
     """Fit every point of the grid on three quarters of the rides and score it on the rest.
 
-    The features are assembled once; all points share the kept vectors.
+    Rides of equal features are one weighted row. These are assembled once; all points share the kept
+    vectors.
     """
     own_steps, own_depths = GRIDS[tuple(features)]
     ensure_checkpoint_dir(rides.sparkSession)
     grid = [(s, d) for s in step_sizes or own_steps for d in depths or own_depths]
     assembler = _assembler(features)
-    vectors = _vectors(assembler.transform(rides), "speed", seed)
+    cells = assembler.transform(_cells(rides, features, "speed", seed))
+    vectors = cells.select("features", "speed", "share")
     with _kept_parts(vectors, min(parallelism, len(grid))) as (train, validation):
+        weighted = train.select("features", "speed.trips", F.col("speed.mean").alias("speed"))
+        near = validation.agg(F.min("speed.mean")).first()[0]
 
         def point(step_size: float, depth: int) -> GridPoint:
-            booster = speed_booster(step_size, depth, trees, seed).fit(train)
+            booster = speed_booster(step_size, depth, trees, seed).setWeightCol("trips").fit(weighted)
             model = PipelineModel(stages=[assembler, booster])
-            scores = regression_scores(booster.transform(validation), "speed", "validation").collect()
+            predicted = booster.transform(validation)
+            scores = _cell_scores(predicted, "speed", "validation", near).collect()
             found = {row.name: row.value for row in scores}
             return GridPoint(
                 step_size, depth, model, found["validation_r2"], found["validation_rmse"]
