@@ -67,18 +67,13 @@ def word_rarity(df: DataFrame, text: Column, buckets: int = RARITY_BUCKETS) -> n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
-        total, waiting, size = np.zeros(buckets, np.int64), [], 0
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for block in text_blocks.blocks(batch.column(0)):
                 starts, ends, _ = block.words(text_blocks.NOT_BLANK)
                 ids = hasher.runs(block.data, starts, ends) & np.uint64(buckets - 1)
-                waiting.append(ids.astype(np.int64))
-                size += len(ids)
-                if size > 4 * buckets:
-                    total += np.bincount(np.concatenate(waiting), minlength=buckets)
-                    waiting, size = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=buckets)
+                # In place: a copy of the table for each worker would count as much as the heap's slack.
+                np.add.at(total, ids.astype(np.int64), 1)
         used = np.flatnonzero(total)
         for begin in range(0, len(used), 1 << 16):
             part = used[begin : begin + (1 << 16)]
@@ -136,15 +131,43 @@ def set_names(tokens: np.ndarray) -> np.ndarray:
     return text_blocks.mixed(tokens + np.uint64(0x51ED270B35A1F39D))
 
 
-def set_node(names: np.ndarray) -> int | None:
-    """The class of a set: a hash of its members' names in any order; None for an empty set."""
-    if len(names) == 0:
-        return None
-    total = names.sum(dtype=np.uint64) + np.uint64(len(names))
-    return int(text_blocks.mixed(np.array([total]))[0].view(np.int64))
+def _set_nodes(tokens: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The class of each set of a block: a hash of its members' names in any order; null for an empty set."""
+    sizes = np.diff(bounds)
+    full = sizes > 0
+    nodes = np.zeros(len(sizes), np.uint64)
+    if full.any():
+        sums = np.add.reduceat(set_names(tokens), bounds[:-1][full])
+        nodes[full] = text_blocks.mixed(sums + sizes[full].astype(np.uint64))
+    return pa.array(nodes.view(np.int64), mask=~full)
+
+
+def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Three group keys of each set of a block, each from two of three min-hashes; 0 for empty sets."""
+    full = np.diff(bounds) > 0
+    keys = np.zeros((len(full), 3), np.uint64)
+    if full.any():
+        low = np.stack(
+            [
+                np.minimum.reduceat(
+                    text_blocks.mixed(tokens ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)),
+                    bounds[:-1][full],
+                )
+                for seed in (1, 2, 3)
+            ],
+            axis=1,
+        )
+        keys[full] = text_blocks.mixed(low * np.uint64(3) + np.roll(low, 1, axis=1))
+    return keys.view(np.int64)
+
 
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """Consecutive values as lists, without an object for each value."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
-def shared_by_starts(n: int, percent: int = PERCENT) -> int:
+
+def shared_by_starts(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
     """Tokens that the starts of two linked sets share if the smaller has ``n`` tokens.
 
     The longer the starts, the more they share, and the fewer unlinked sets look alike.
@@ -152,10 +175,10 @@ def shared_by_starts(n: int, percent: int = PERCENT) -> int:
     return LEAST_SHARED + n * (100 - percent) // 100
 
 
-def start_length(n: int, percent: int = PERCENT) -> int:
+def start_length(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
     """Tokens at the start of a set of size ``n``: those it may lack of a linked one, and the shared."""
     needed = -(-percent * n // 100)
-    return min(n, n - needed + shared_by_starts(n, percent))
+    return np.minimum(n, n - needed + shared_by_starts(n, percent))
 
 
 def _shared_at_least(n: Column, percent: int) -> Column:
@@ -182,26 +205,23 @@ def profiles(
     def profile(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = _hasher()
         for batch in batches:
-            rows = []
+            parts = [pa.array([], _PROFILE)]
             for block in text_blocks.blocks(batch):
                 tokens, bounds = block_sets(block, rarity, hasher, words)
-                signed = tokens.view(np.int64)
-                names = set_names(tokens)
-                drawn = [text_blocks.mixed(tokens ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) for seed in (1, 2, 3)]
-                for first, last in zip(bounds, bounds[1:]):
-                    n = int(last - first)
-                    if n == 0:
-                        rows.append((0, None, [], []))
-                        continue
-                    node = set_node(names[first:last])
-                    if n < least:
-                        rows.append((n, node, [], []))
-                        continue
-                    low = np.array([d[first:last].min() for d in drawn])
-                    pairs = text_blocks.mixed(low * np.uint64(3) + np.roll(low, 1))
-                    start = signed[first : first + start_length(n, percent)]
-                    rows.append((n, node, pairs.view(np.int64).tolist(), start.tolist()))
-            yield pa.array([dict(zip(_PROFILE.names, row)) for row in rows], _PROFILE)
+                n = np.diff(bounds)
+                grouped = n >= least
+                lengths = np.where(grouped, start_length(n, percent), 0)
+                place = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
+                start = tokens.view(np.int64)[place < np.repeat(lengths, n)]
+                keys = _set_keys(tokens, bounds)[grouped].ravel()
+                columns = [
+                    pa.array(n),
+                    _set_nodes(tokens, bounds),
+                    _lists(keys, 3 * grouped),
+                    _lists(start, lengths),
+                ]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(_PROFILE)))
+            yield pa.concat_arrays(parts)
 
     return profile.asNondeterministic()(text)
 
@@ -249,15 +269,14 @@ def _whole_sets(
         hasher = _hasher()
         kind = pa.struct([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
         for batch in batches:
-            rows = []
+            parts = [pa.array([], kind)]
             for block in text_blocks.blocks(batch):
                 found, bounds = block_sets(block, rarity, hasher, words)
-                names = set_names(found)
-                rows += [
-                    {"node": set_node(names[a:b]), "tokens": found[a:b].view(np.int64)}
-                    for a, b in zip(bounds, bounds[1:])
-                ]
-            yield pa.array(rows, kind)
+                tokens = _lists(found.view(np.int64), np.diff(bounds))
+                parts.append(
+                    pa.StructArray.from_arrays([_set_nodes(found, bounds), tokens], fields=list(kind))
+                )
+            yield pa.concat_arrays(parts)
 
     # The class is made of the set again, so an id that stands for several texts does no harm.
     sets = stored(
@@ -285,6 +304,25 @@ def _bounded(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _classes(documents: DataFrame) -> DataFrame:
+    """One row per set: ``node``, an id that has it (``rep``), size, keys and start.
+
+    Most sets belong to one document, whose row is read where it is stored; only copies are shuffled.
+    """
+    counted = documents.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = broadcast_if_small(counted.select("node"), 16)
+    alone = documents.join(several, "node", "left_anti").select(
+        "node", F.col("__doc").alias("rep"), "n", "keys", F.col("tokens").alias("start")
+    )
+    copies = documents.join(several, "node", "left_semi").groupBy("node").agg(
+        F.min("__doc").alias("rep"),
+        F.first("n").alias("n"),
+        F.first("keys").alias("keys"),
+        F.first("tokens").alias("start"),
+    )
+    return alone.unionByName(stored(copies))
+
+
 def _candidates(classes: DataFrame, positions: DataFrame, percent: int) -> DataFrame:
     """Classes that share enough of their first tokens with others to link with one.
 
@@ -586,16 +624,7 @@ def find_components(
         ).select("__doc", "text_hash", "profile.*")
     )
     least = smallest_linkable(percent)
-    classes = stored(
-        documents.where(F.col("n") >= least)
-        .groupBy("node")
-        .agg(
-            F.min("__doc").alias("rep"),
-            F.first("n").alias("n"),
-            F.first("keys").alias("keys"),
-            F.first("tokens").alias("start"),
-        )
-    )
+    classes = _classes(documents.where(F.col("n") >= least))
     rows = classes.select("node", F.posexplode("start").alias("at", "token"))
     shared = (
         rows.groupBy("token")
