@@ -1,9 +1,11 @@
 """Exact n-gram Jaccard join: documents in groups, a token-group matrix, and opened groups.
 
 A document is the set of its distinct shingles of ``words`` words (three unless said otherwise). Documents with equal sets are one class from
-the start. Classes are partitioned into groups of similar ones: two of three min-hashes name a leader, the
-most central class of its group. The token-group matrix holds, per token, each group whose members have it
-among their first tokens, with the range of their set sizes.
+the start. Classes are partitioned into groups of similar ones, whether or not they link: each of three
+min-hashes names a leader among the classes of about one size, the most central one, and a class follows
+the leader that is offered to most. So the noisy copies of one text make few groups, however many they are. The
+token-group matrix holds, per token, each group whose members have it among their first tokens, with the
+range of their set sizes.
 
 A class meets another group only through the matrix. All sets are ordered by one global order, shingles
 whose rarest word is rarest first; of two sets that link, the first ``n - ceil(p n) + k`` tokens of
@@ -15,7 +17,8 @@ Members of opened groups, the class's own included, are compared by their differ
 by the hundreds of tokens that a group of near copies has in common: the two differ by what only one of the
 differences holds. A class that is near the leader is linked with it and asks no further, for what is near
 too is connected already. Any other must share part of its difference with a member's, so the rarest tokens
-of both differences are joined, and what meets is counted on whole differences, which is exact. Components
+of both differences are joined, as far as the tokens after those still suffice for a link, and what meets is
+counted on whole differences, which is exact. Components
 are found by passing smallest labels along links, with pointer jumps, until nothing changes.
 
 Word rarity is a table of log counts in hashed buckets, whose size is a parameter; it only orders
@@ -142,8 +145,8 @@ def _set_nodes(tokens: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array(nodes.view(np.int64), mask=~full)
 
 
-def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Three group keys of each set of a block, each from two of three min-hashes; 0 for empty sets."""
+def _set_keys(tokens: np.ndarray, bounds: np.ndarray, of: int = 2) -> np.ndarray:
+    """Three group keys of each set of a block, each from ``of`` (1 or 2) of three min-hashes; 0 for empty sets."""
     full = np.diff(bounds) > 0
     keys = np.zeros((len(full), 3), np.uint64)
     if full.any():
@@ -157,7 +160,7 @@ def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             ],
             axis=1,
         )
-        keys[full] = text_blocks.mixed(low * np.uint64(3) + np.roll(low, 1, axis=1))
+        keys[full] = low if of == 1 else text_blocks.mixed(low * np.uint64(3) + np.roll(low, 1, axis=1))
     return keys.view(np.int64)
 
 
@@ -213,7 +216,7 @@ def profiles(
                 lengths = np.where(grouped, start_length(n, percent), 0)
                 place = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
                 start = tokens.view(np.int64)[place < np.repeat(lengths, n)]
-                keys = _set_keys(tokens, bounds)[grouped].ravel()
+                keys = _set_keys(tokens, bounds, of=1)[grouped].ravel()
                 columns = [
                     pa.array(n),
                     _set_nodes(tokens, bounds),
@@ -358,72 +361,64 @@ def _with_privacy(candidates: DataFrame, whole: DataFrame, percent: int) -> Data
     )
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Size bounds of two sets, with what each has alone taken into account."""
-    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
-    return (
-        (100 * n_a >= percent * n_b)
-        & (100 * n_b >= percent * n_a)
-        & (n_a <= F.col(f"most_{b}"))
-        & (n_b <= F.col(f"most_{a}"))
-        & (F.col(f"own_{a}") + F.col(f"own_{b}") <= _difference(percent))
-    )
-
-
-def _difference(percent: int) -> Column:
-    """Tokens that are in one of two linked sets alone, at most."""
-    return F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-
-
 def _named(df: DataFrame, suffix: str, *names: str) -> DataFrame:
     return df.select(*[F.col(name).alias(f"{name}_{suffix}") for name in names])
 
 
 def _leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets with the leader of each group that their keys name, within all bounds.
+    """Pairs (a, b) of sets with the leader of each group that their keys name, if they look alike.
 
-    The leader is the set with the fewest tokens of its own: the most central of its group.
+    The leader is the set with the fewest tokens of its own: the most central of its group. Sizes within a
+    group differ by less than those of linked sets, so that differences from a leader stay short. A pair need
+    not link: it must share half of what the starts of linked sets share.
     """
-    keyed = sets.select("node", "own", F.posexplode("keys").alias("number", "key"))
+    size = F.floor(2 * F.log(F.col("n")) / F.log(F.lit(100 / percent)))
+    keyed = sets.select("node", "own", size.alias("size"), F.posexplode("keys").alias("number", "key"))
+    group = ["number", "key", "size"]
     leaders = (
-        keyed.groupBy("number", "key")
+        keyed.groupBy(*group)
         .agg(
             F.min(F.struct("own", "node")).alias("first"),
             F.max("node").alias("last"),
             F.min("node").alias("least"),
         )
         .where("last != least")
-        .select("number", "key", F.col("first.node").alias("node_b"))
+        .select(*group, F.col("first.node").alias("node_b"))
     )
     pairs = (
         keyed.withColumnRenamed("node", "node_a")
-        .join(leaders, ["number", "key"])
+        .join(leaders, group)
         .where("node_a != node_b")
         .select("node_a", "node_b")
         .distinct()
     )
-    facts = ("node", "n", "own", "most", "start", "last", "needed")
-    joined = (
-        pairs.join(_named(sets, "a", *facts), "node_a")
-        .join(_named(sets, "b", *facts), "node_b")
-        .where(_fits("a", "b", percent))
-    )
-    # Up to the nearer end of the two starts, both sets are known: count what only one of them has.
-    end = F.least("last_a", "last_b")
-    known = [F.size(F.filter(f"start_{x}", lambda t: t <= F.col("end"))) for x in "ab"]
+    facts = ("node", "start", "needed")
+    joined = pairs.join(_named(sets, "a", *facts), "node_a").join(_named(sets, "b", *facts), "node_b")
     shared = F.size(F.array_intersect("start_a", "start_b"))
-    return (
-        joined.withColumn("end", end)
-        .withColumn("shared", shared)
-        .where(F.col("shared") >= F.least("needed_a", "needed_b"))
-        .where(known[0] + known[1] - 2 * F.col("shared") <= _difference(percent))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return joined.where(2 * shared >= F.least("needed_a", "needed_b")).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")
     )
 
 
 def _families(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sets with ``family``, the node of their group's leader, and whether they are alone in it."""
-    leader = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("leader"))
+    """Sets with ``family``, the node of their group's leader, and whether they are alone in it.
+
+    Of its leaders a set follows the one that most sets may follow, unless as many may follow itself.
+    """
+    pairs = stored(pairs)
+    followed = pairs.groupBy(F.col("b").alias("leader")).agg(F.count(F.lit(1)).alias("followers"))
+    best = (
+        pairs.select(F.col("a").alias("node"), F.col("b").alias("leader"))
+        .join(followed, "leader")
+        .groupBy("node")
+        .agg(F.max(F.struct("followers", "leader")).alias("best"))
+    )
+    own = followed.select(F.col("leader").alias("node"), F.col("followers").alias("mine"))
+    leader = (
+        best.join(own, "node", "left")
+        .where("mine IS NULL OR best.followers > mine")
+        .select("node", "best.leader")
+    )
     grouped = (
         sets.drop("keys", "rep")
         .join(leader, "node", "left")
@@ -554,12 +549,19 @@ def _difference_links(differences: DataFrame, percent: int) -> DataFrame:
     meeting = members.withColumn(
         "least", F.greatest(F.lit(1), F.ceil((F.col("apart") + 1 - drift) / 2))
     ).withColumn("asks", F.lit(False))
-    names = ("family", "node", "n", "apart", "least", "asks", "difference")
-    sides = stored(asking.select(*names).unionByName(meeting.select(*names)))
-    rows = sides.select("family", "node", "asks", "least", F.explode("difference").alias("token"))
-    # Members that ask are on both sides: a token counts once for each set.
+    # Members that are not near the leader are on both sides; of two such one side is enough.
+    asking = asking.withColumn("both", F.col("member"))
+    meeting = meeting.withColumn("both", ~F.col("linked"))
+    names = ("family", "node", "n", "apart", "least", "asks", "both", "difference")
+    sides = stored(
+        asking.select(*names)
+        .unionByName(meeting.select(*names))
+        .withColumn("side", F.monotonically_increasing_id())
+    )
+    # A token counts once for each set.
     counted = (
-        rows.groupBy("family", "token")
+        sides.select("family", "node", "asks", F.explode("difference").alias("token"))
+        .groupBy("family", "token")
         .agg(
             F.min("node").alias("one"),
             F.max("node").alias("other"),
@@ -569,28 +571,43 @@ def _difference_links(differences: DataFrame, percent: int) -> DataFrame:
         .where("one != other AND asked")
         .select("family", "token", "sets")
     )
-    ordered = (
-        rows.join(counted, ["family", "token"])
-        .groupBy("family", "node", "asks", "least")
+    common = (
+        sides.select("family", "side", F.explode("difference").alias("token"))
+        .join(counted, ["family", "token"])
+        .groupBy("side")
         .agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("shared"))
+    )
+    # ``left``: the shared tokens from one on, a bound of what two sets share if it is the first they share.
+    prefixes = stored(
+        common.join(broadcast_if_small(sides.drop("difference"), 64), "side")
         .where(F.size("shared") >= F.col("least"))
         .select(
             "family",
             "node",
             "asks",
-            F.explode(
+            "both",
+            "n",
+            "apart",
+            F.size("shared").alias("common"),
+            F.posexplode(
                 F.slice("shared", F.lit(1), (F.size("shared") - F.col("least") + 1).cast("int"))
-            ).alias("first"),
+            ).alias("at", "first"),
         )
-        .select("family", "node", "asks", "first.token")
+        .withColumn("left", F.col("common") - F.col("at"))
+        .withColumn("token", F.col("first.token"))
+        .drop("common", "at", "first")
     )
-    prefixes = stored(ordered)
+    bounds = ("node", "both", "n", "apart", "left")
+    certain = F.col("apart_a") + F.col("apart_b") - 2 * F.least("left_a", "left_b")
     pairs = (
-        prefixes.where("asks")
-        .select("family", "token", F.col("node").alias("a"))
-        .join(prefixes.where("NOT asks").select("family", "token", F.col("node").alias("b")), ["family", "token"])
-        .where("a != b")
-        .select("family", "a", "b")
+        _named(prefixes.where("asks"), "a", *bounds, "family", "token")
+        .join(
+            _named(prefixes.where("NOT asks"), "b", *bounds, "family", "token"),
+            (F.col("family_a") == F.col("family_b")) & (F.col("token_a") == F.col("token_b")),
+        )
+        .where("node_a != node_b AND (NOT (both_a AND both_b) OR node_a > node_b)")
+        .where(certain <= _least_apart(percent, F.col("n_a"), F.col("n_b")))
+        .select(F.col("family_a").alias("family"), F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         .distinct()
     )
     facts = [F.col(name) for name in ("n", "apart", "difference")]
