@@ -36,6 +36,7 @@ SIZES = (1, 2, 3)
 EPOCHS = 6
 LEAST_STEPS = 400  # a small sample is passed more often
 BATCH = 64
+BLOCK_BYTES = 1 << 18  # text whose n-grams are numbered at once, at some 80 bytes of memory for each byte
 RATE = 0.5
 CALIBRATION_SHARE = 5  # one in so many sampled rows calibrates
 REJECTED_SHARE = 0.001  # of rightly labelled texts that may be rejected
@@ -104,7 +105,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def score_texts(model: Model, column: pa.Array) -> list[tuple[str, float]]:
     rows: list[tuple[str, float]] = []
-    for block in text_blocks.blocks(column):
+    for block in text_blocks.blocks(column, BLOCK_BYTES):
         sums = np.zeros((block.texts, len(model.labels)))
         ids, owner = bucket_ids(block)
         counts = np.bincount(owner, minlength=block.texts)
@@ -122,7 +123,7 @@ def score_texts(model: Model, column: pa.Array) -> list[tuple[str, float]]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
-        for block in text_blocks.blocks(text):
+        for block in text_blocks.blocks(text, BLOCK_BYTES):
             ids, owner = bucket_ids(block)
             buckets, weights = [], []
             order = np.argsort(owner, kind="stable")

@@ -48,6 +48,7 @@ PERCENT = 90
 WORDS = 3
 LEAST_SHARED = 3  # tokens that the ordered starts of two linked sets share, besides a tenth of them
 RARITY_BUCKETS = 1 << 22
+BLOCK_BYTES = 1 << 18  # text whose sets a worker makes at once
 _LOWER = text_blocks.lower_ascii()
 
 PROFILE = "struct<n:bigint,node:bigint,keys:array<bigint>,tokens:array<bigint>>"
@@ -72,7 +73,7 @@ def word_rarity(df: DataFrame, text: Column, buckets: int = RARITY_BUCKETS) -> n
         hasher = _hasher()
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for block in text_blocks.blocks(batch.column(0)):
+            for block in text_blocks.blocks(batch.column(0), BLOCK_BYTES):
                 starts, ends, _ = block.words(text_blocks.NOT_BLANK)
                 ids = hasher.runs(block.data, starts, ends) & np.uint64(buckets - 1)
                 # In place: a copy of the table for each worker would count as much as the heap's slack.
@@ -209,7 +210,7 @@ def profiles(
         hasher = _hasher()
         for batch in batches:
             parts = [pa.array([], _PROFILE)]
-            for block in text_blocks.blocks(batch):
+            for block in text_blocks.blocks(batch, BLOCK_BYTES):
                 tokens, bounds = block_sets(block, rarity, hasher, words)
                 n = np.diff(bounds)
                 grouped = n >= least
@@ -273,7 +274,7 @@ def _whole_sets(
         kind = pa.struct([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
         for batch in batches:
             parts = [pa.array([], kind)]
-            for block in text_blocks.blocks(batch):
+            for block in text_blocks.blocks(batch, BLOCK_BYTES):
                 found, bounds = block_sets(block, rarity, hasher, words)
                 tokens = _lists(found.view(np.int64), np.diff(bounds))
                 parts.append(
